@@ -12,30 +12,16 @@ Marketing = Callable[[GrowthFrames], DataFrame]
 Subscription = Callable[[DataFrame], DataFrame]
 
 
-def _ltv_90(f: GrowthFrames) -> DataFrame:
-    return ltv.ltv_90(f.dim, f.booking_life)
-
-
 def _ltv_model(f: GrowthFrames) -> DataFrame:
-    return ltv.ltv_model(_ltv_90(f), ltv.retention_30_37(f.activity_life))
-
-
-def _retention(f: GrowthFrames) -> DataFrame:
-    return retention.retention_weekly(f.dim, f.activity_life)
-
-
-def _retention_revenue(f: GrowthFrames) -> DataFrame:
-    return retention.cohort_retention_revenue(
-        _retention(f), retention.payments_weekly(f.booking_life)
-    )
+    return ltv.ltv_model(f.ltv_90, ltv.retention_30_37(f.activity_life))
 
 
 def _summary(f: GrowthFrames) -> DataFrame:
-    return retention.retention_channel_summary(_retention_revenue(f))
+    return retention.retention_channel_summary(f.cohort_retention_revenue)
 
 
 def _weighted(f: GrowthFrames) -> DataFrame:
-    return retention.retention_platform_weighted(_retention(f))
+    return retention.retention_platform_weighted(f.retention_weekly)
 
 
 def _rpu(f: GrowthFrames) -> DataFrame:
@@ -51,11 +37,11 @@ def _efficiency_per_country(f: GrowthFrames) -> DataFrame:
 
 
 def recommendation(f: GrowthFrames, **channels) -> DataFrame:
-    return recommend.channel_recommendation(_ltv_90(f), _efficiency(f), **channels)
+    return recommend.channel_recommendation(f.ltv_90, _efficiency(f), **channels)
 
 
 def recommendation_per_country(f: GrowthFrames, **channels) -> DataFrame:
-    return recommend.channel_recommendation(_ltv_90(f), _efficiency_per_country(f), **channels)
+    return recommend.channel_recommendation(f.ltv_90, _efficiency_per_country(f), **channels)
 
 
 MARKETING_QUERIES: dict[str, Marketing] = {
@@ -89,18 +75,18 @@ MARKETING_QUERIES: dict[str, Marketing] = {
     # lifetime value
     "payers_90": lambda f: ltv.payers_90(f.booking_life),
     "installs_by_channel": lambda f: ltv.installs_by_channel(f.dim),
-    "ltv_90": _ltv_90,
+    "ltv_90": lambda f: f.ltv_90,
     "retention_30_37": lambda f: ltv.retention_30_37(f.activity_life),
     "ltv_model": _ltv_model,
     "ltv_regression": lambda f: ltv.ltv_regression(_ltv_model(f)),
-    "ltv_rank": lambda f: ltv.ltv_rank(_ltv_90(f)),
+    "ltv_rank": lambda f: ltv.ltv_rank(f.ltv_90),
     "cumulative_ltv_curve": lambda f: ltv.cumulative_ltv_curve(f.dim, f.booking_life),
-    "ltv_drivers": lambda f: ltv.ltv_drivers(_ltv_90(f)),
+    "ltv_drivers": lambda f: ltv.ltv_drivers(f.ltv_90),
     # cohorts
     "cohort_sizes": lambda f: retention.cohort_sizes(f.dim),
-    "retention_weekly": _retention,
+    "retention_weekly": lambda f: f.retention_weekly,
     "payments_weekly": lambda f: retention.payments_weekly(f.booking_life),
-    "cohort_retention_revenue": _retention_revenue,
+    "cohort_retention_revenue": lambda f: f.cohort_retention_revenue,
     "retention_channel_summary": _summary,
     "retention_ios_android": lambda f: retention.retention_ios_android(_summary(f)),
     "retention_platform_weighted": _weighted,
@@ -108,15 +94,15 @@ MARKETING_QUERIES: dict[str, Marketing] = {
     "weekly_rpu": _rpu,
     "weekly_rpu_platform": lambda f: retention.weekly_rpu_platform(_rpu(f)),
     "week1_scorecard": lambda f: retention.week1_scorecard(_summary(f)),
-    "retention_curve_platform": lambda f: retention.retention_curve_platform(_retention(f)),
-    "arpru_platform": lambda f: retention.arpru_platform(_retention_revenue(f)),
+    "retention_curve_platform": lambda f: retention.retention_curve_platform(f.retention_weekly),
+    "arpru_platform": lambda f: retention.arpru_platform(f.cohort_retention_revenue),
     "week1_channel_platform": lambda f: retention.week1_channel_platform(_summary(f)),
     "retention_heatmap": lambda f: retention.retention_heatmap(_summary(f)),
     # recommendation and summaries
     "channel_recommendation": recommendation,
     "channel_recommendation_per_country": recommendation_per_country,
     "summary_q1": lambda f: segments.summary_q1(_efficiency(f)),
-    "summary_q2": lambda f: ltv.summary_q2(_ltv_90(f)),
+    "summary_q2": lambda f: ltv.summary_q2(f.ltv_90),
     "summary_q3": lambda f: retention.summary_q3(retention.week1_scorecard(_summary(f))),
     "summary_q5": lambda f: recommend.summary_q5(recommendation(f)),
     # chart feeds that are not simply one of the tables above
@@ -132,7 +118,7 @@ MARKETING_QUERIES: dict[str, Marketing] = {
     "feed_payer_rate": lambda f: feeds.bar_feed(
         segments.payer_rate_by_channel(f.segments), "acquisition_source", "payer_rate"
     ),
-    "feed_ltv_90": lambda f: feeds.bar_feed(_ltv_90(f), "acquisition_source", "ltv_90_usd"),
+    "feed_ltv_90": lambda f: feeds.bar_feed(f.ltv_90, "acquisition_source", "ltv_90_usd"),
     "feed_installs_vs_rpi": lambda f: feeds.log_feed(
         segments.segment_rpi(f.segments),
         "installs",
@@ -140,7 +126,7 @@ MARKETING_QUERIES: dict[str, Marketing] = {
         *segments.SEGMENT,
     ),
     "feed_ltv_vs_installs": lambda f: feeds.log_feed(
-        _ltv_90(f), "installs", "ltv_90_usd", "acquisition_source"
+        f.ltv_90, "installs", "ltv_90_usd", "acquisition_source"
     ),
     "feed_channel_value_vs_scale": lambda f: feeds.log_feed(
         recommendation(f), "installs", "ltv_90_usd", "acquisition_source"

@@ -21,6 +21,7 @@ from growthgrain.functions.columns import (
 )
 from growthgrain.operators.dedup import first_row_by
 from growthgrain.operators.keys import KEY, with_key
+from growthgrain.plans import ltv, retention
 
 PROFILE_COLUMNS = [
     "acquisition_source",
@@ -60,11 +61,9 @@ def keyed_bookings(payments: DataFrame) -> DataFrame:
 
 
 def bookings_per_day(bookings: DataFrame) -> DataFrame:
-    """One row per profile and dated payment day."""
-    return (
-        bookings.where(F.col("reported_date").isNotNull())
-        .groupBy(KEY, "reported_date")
-        .agg(F.sum("bookings_micro").alias("bookings_micro"))
+    """One row per profile and payment day; undated payments are kept as one more day."""
+    return bookings.groupBy(KEY, "reported_date").agg(
+        F.sum("bookings_micro").alias("bookings_micro")
     )
 
 
@@ -73,7 +72,6 @@ def activity_per_day(activity: DataFrame) -> DataFrame:
     return (
         with_key(activity)
         .select(KEY, utc_day(activity, "activity_date").alias("activity_date"))
-        .where(F.col("activity_date").isNotNull())
         .distinct()
     )
 
@@ -137,6 +135,7 @@ class GrowthFrames:
         self.profiles = profiles
         self.payments = payments
         self.activity = activity
+        self._replacements: dict[str, DataFrame] = {}
 
     @cached_property
     def dim(self) -> DataFrame:
@@ -146,14 +145,42 @@ class GrowthFrames:
     def bookings(self) -> DataFrame:
         return keyed_bookings(self.payments)
 
+    @cached_property
+    def booking_days(self) -> DataFrame:
+        return bookings_per_day(self.bookings)
+
+    @cached_property
+    def activity_days(self) -> DataFrame:
+        return activity_per_day(self.activity)
+
     @cached_property
     def segments(self) -> DataFrame:
         return segment_facts(self.dim, self.bookings)
 
     @cached_property
     def booking_life(self) -> DataFrame:
-        return lifecycle(bookings_per_day(self.bookings), "reported_date", self.dim)
+        return lifecycle(self.booking_days, "reported_date", self.dim)
 
     @cached_property
     def activity_life(self) -> DataFrame:
-        return lifecycle(activity_per_day(self.activity), "activity_date", self.dim)
+        return lifecycle(self.activity_days, "activity_date", self.dim)
+
+    @cached_property
+    def ltv_90(self) -> DataFrame:
+        return ltv.ltv_90(self.dim, self.booking_life)
+
+    @cached_property
+    def retention_weekly(self) -> DataFrame:
+        return retention.retention_weekly(self.dim, self.activity_life)
+
+    @cached_property
+    def cohort_retention_revenue(self) -> DataFrame:
+        weekly = retention.payments_weekly(self.booking_life)
+        return retention.cohort_retention_revenue(self.retention_weekly, weekly)
+
+    def replaced(self, **frames: DataFrame) -> "GrowthFrames":
+        """The same tables with some derived frames read from elsewhere."""
+        copy = GrowthFrames(self.profiles, self.payments, self.activity)
+        vars(copy).update(self._replacements | frames)
+        copy._replacements = self._replacements | frames
+        return copy

@@ -1,0 +1,290 @@
+"""Hand-worked results on a small set of rows that holds every edge."""
+
+import math
+
+import pytest
+from conftest import day
+
+from growthgrain import MARKETING_QUERIES
+
+
+def rows(df, *columns):
+    return {tuple(r) for r in (df.select(*columns) if columns else df).collect()}
+
+
+def run(frames, name):
+    return MARKETING_QUERIES[name](frames)
+
+
+def by_source(df):
+    return {r["acquisition_source"]: r for r in df.collect()}
+
+
+def test_profile_dim_takes_one_whole_row(frames):
+    dim = {r["profile_id"]: r for r in run(frames, "profile_dim").collect()}
+    assert len(dim) == 7 and None in dim
+    p2 = dim["p2"]
+    assert (p2["acquisition_source"], p2["signup_country_code"], p2["signup_platform"]) == (
+        "src_1",
+        "US",
+        "Android",
+    )
+    assert p2["n_profile_rows"] == 2
+    assert dim["p1"]["first_activity_date"] == day("2024-01-07")
+    assert {(r["n_acquisition_source"], r["n_country"]) for r in dim.values()} == {(1, 1)}
+
+
+def test_conflicts_as_written_and_detected(frames):
+    assert run(frames, "profile_conflicts").count() == 0
+    found = run(frames, "profile_conflicts_detected").collect()
+    assert [(r["profile_id"], r["n_acquisition_source"], r["n_country"]) for r in found] == [
+        ("p2", 2, 2)
+    ]
+
+
+def test_segment_rpi(frames):
+    assert rows(run(frames, "segment_rpi")) == {
+        ("src_1", "DE", 1, 0.0, 0.0),
+        ("src_1", "US", 2, 82.0, 41.0),
+        ("src_2", "US", 2, 2.0, 1.0),
+        ("src_2", None, 1, 0.0, 0.0),
+        (None, "DE", 1, 3.0, 3.0),
+    }
+
+
+def test_payments_of_unknown_profiles_only_show_in_revenue(frames):
+    assert (None, None, 100.0) in rows(run(frames, "revenue_by_segment"))
+    assert rows(run(frames, "installs_by_segment")) == {
+        ("src_1", "DE", 1),
+        ("src_1", "US", 2),
+        ("src_2", "US", 2),
+        ("src_2", None, 1),
+        (None, "DE", 1),
+    }
+
+
+def test_unknown_payments_join_a_segment_without_source_and_country(spark, frames):
+    from growthgrain import GrowthFrames
+
+    nameless = frames.profiles.limit(1).selectExpr(
+        "'p7' AS profile_id",
+        "CAST(NULL AS STRING) AS acquisition_source",
+        "CAST(NULL AS STRING) AS signup_country_code",
+        "signup_platform",
+        "first_activity_time",
+    )
+    more = GrowthFrames(frames.profiles.unionByName(nameless), frames.payments, frames.activity)
+    assert (None, None, 1, 100.0, 100.0) in rows(run(more, "segment_rpi"))
+    assert (None, None, 0, 0.0) in rows(run(more, "payer_rate_by_segment"))
+
+
+def test_correlations(frames):
+    values = dict(rows(run(frames, "install_correlations")))
+    assert values["corr_installs_revenue"] == pytest.approx(0.6214499421776162)
+    assert values["corr_installs_rpi"] == pytest.approx(0.6109422139633898)
+
+
+def test_thresholds_and_anomalies(frames):
+    limits = run(frames, "segment_thresholds").first()
+    assert limits["rpi_median"] == 1 and limits["install_q75"] == 2 and limits["install_q25"] == 1
+    assert limits["rpi_q90"] == pytest.approx(25.8)
+    assert rows(run(frames, "segment_anomalies"), "acquisition_source", "signup_country_code") == {
+        ("src_2", "US")
+    }
+
+
+def test_payers_count_any_payment_row(frames):
+    assert rows(run(frames, "payer_rate_by_segment")) == {
+        ("src_1", "DE", 0, 0.0),
+        ("src_1", "US", 2, 1.0),
+        ("src_2", "US", 2, 1.0),
+        ("src_2", None, 0, 0.0),
+        (None, "DE", 1, 1.0),
+    }
+
+
+def test_shares_add_up(frames):
+    total = sum(r["install_share"] for r in run(frames, "segment_enhanced").collect())
+    assert total == pytest.approx(1)
+
+
+def test_channel_spread_as_written_and_per_country(frames):
+    written = by_source(run(frames, "channel_efficiency"))
+    assert written["src_1"]["revenue_per_install_usd"] == pytest.approx(82 / 3)
+    for row in written.values():
+        assert row["rpi_std"] == 0
+        assert row["rpi_min"] == row["rpi_max"] == row["revenue_per_install_usd"]
+    spread = by_source(run(frames, "channel_efficiency_per_country"))
+    assert spread["src_1"]["rpi_std"] == pytest.approx(19.3275853524323, abs=1e-6)
+    assert spread["src_2"]["rpi_std"] == pytest.approx(0.4714045207910317, abs=1e-6)
+    assert (spread["src_1"]["rpi_min"], spread["src_1"]["rpi_max"]) == (0, 41)
+    assert (spread["src_2"]["rpi_min"], spread["src_2"]["rpi_max"]) == (0, 1)
+    none = spread[None]
+    assert (none["rpi_std"], none["rpi_min"], none["rpi_max"]) == (0, 3, 3)
+
+
+def test_cv_is_zero_as_written_and_sorted(frames):
+    ranked = run(frames, "channel_rank").collect()
+    assert [r["acquisition_source"] for r in ranked] == ["src_1", None, "src_2"]
+    assert {r["rpi_cv"] for r in ranked} == {0.0}
+    spread = by_source(run(frames, "channel_efficiency_enhanced_per_country"))
+    assert spread["src_1"]["rpi_cv"] == pytest.approx(19.3275853524323 / (82 / 3), abs=1e-6)
+
+
+def test_top_segments_label_missing_parts(frames):
+    top = run(frames, "top_segments").collect()
+    assert [r["segment"] for r in top] == [
+        "src_1 | US",
+        "src_2 | US",
+        "src_1 | DE",
+        "src_2 | NA",
+        "NA | DE",
+    ]
+
+
+def test_ltv_90(frames):
+    table = by_source(run(frames, "ltv_90"))
+    figures = ("installs", "payers_90", "revenue_90_usd")
+    assert [table["src_1"][c] for c in figures] == [3, 2, 37]
+    assert [table["src_2"][c] for c in figures] == [3, 2, 2]
+    assert [table[None][c] for c in figures] == [1, 0, 0]
+    assert table["src_1"]["ltv_90_usd"] == pytest.approx(37 / 3)
+    assert table["src_1"]["arppu_90_usd"] == 18.5
+    assert table[None]["arppu_90_usd"] == 0
+    for row in table.values():
+        if row["payers_90"]:
+            assert row["payer_rate_90"] * row["arppu_90_usd"] == pytest.approx(row["ltv_90_usd"])
+
+
+def test_day_limits_are_inclusive(frames):
+    days = [r["days_since_first_activity"] for r in run(frames, "payments_90").collect()]
+    assert sorted(days) == [0, 0, 1, 12, 90]
+    enriched = run(frames, "payments_enriched").collect()
+    assert len(enriched) == 9
+    unknown = next(r for r in enriched if r["profile_id"] == "p9")
+    assert unknown["acquisition_source"] is None and unknown["days_since_first_activity"] is None
+
+
+def test_retention_and_model(frames):
+    assert rows(run(frames, "retention_30_37")) == {("src_1", 2)}
+    model = by_source(run(frames, "ltv_model"))
+    assert model["src_1"]["predicted_ltv_retention_arppu"] == pytest.approx(2 / 3 * 37 / 3)
+    assert model["src_2"]["predicted_ltv_retention_arppu"] == 0
+    for row in model.values():
+        assert row["predicted_ltv_retention_arppu"] == pytest.approx(
+            row["retention_30_37"] * row["ltv_90_usd"]
+        )
+
+
+def test_regression_through_three_points_is_exact(frames):
+    for row in run(frames, "ltv_regression").collect():
+        assert row["predicted_ltv_regression"] == pytest.approx(row["ltv_90_usd"], abs=1e-6)
+
+
+def test_rank_and_drivers(frames):
+    ranked = run(frames, "ltv_rank").collect()
+    assert [(r["ltv_rank"], r["acquisition_source"]) for r in ranked] == [
+        (1, "src_1"),
+        (2, "src_2"),
+        (3, None),
+    ]
+    comments = by_source(run(frames, "ltv_drivers"))
+    assert comments["src_1"]["monetization_comment"] == "Strong payer rate and ARPPU"
+    assert comments[None]["monetization_comment"] == "Weak on both drivers"
+
+
+def test_cumulative_curve_ends_at_ltv(frames):
+    curve = run(frames, "cumulative_ltv_curve").collect()
+    assert [
+        (r["acquisition_source"], r["week_since_install"], r["cumulative_revenue_usd"])
+        for r in curve
+    ] == [("src_1", 0, 10), ("src_1", 1, 17), ("src_1", 12, 37), ("src_2", 0, 2)]
+    ltv = by_source(run(frames, "ltv_90"))
+    last = {r["acquisition_source"]: r["cumulative_ltv_usd"] for r in curve}
+    for source, value in last.items():
+        assert value == ltv[source]["ltv_90_usd"]
+
+
+def test_cohorts(frames):
+    sizes = rows(run(frames, "cohort_sizes"))
+    assert len(sizes) == 7 and {s[3] for s in sizes} == {1}
+    assert {s[0] for s in sizes} == {
+        day("2024-01-01"),
+        day("2024-01-08"),
+        day("2024-01-15"),
+        None,
+    }
+
+
+def test_retention_weekly(frames):
+    columns = ("cohort_week", "acquisition_source", "signup_platform", "week_since_install")
+    table = run(frames, "retention_weekly")
+    assert rows(table, *columns) == {
+        (day("2024-01-01"), "src_1", "iOS", 0),
+        (day("2024-01-01"), "src_1", "iOS", 1),
+        (day("2024-01-01"), "src_1", "iOS", 4),
+        (day("2024-01-08"), "src_1", "Android", 0),
+        (day("2024-01-08"), "src_1", "Android", 5),
+        (day("2024-01-08"), "src_1", "Web", 5),
+        (day("2024-01-08"), "src_2", "Android", 1),
+        (day("2024-01-15"), "src_2", "iOS", 0),
+    }
+    assert rows(table, "retained_users", "cohort_users", "retention_rate") == {(1, 1, 1.0)}
+
+
+def test_revenue_in_weeks_without_users_drops_out(frames):
+    table = run(frames, "cohort_retention_revenue")
+    earning = {r["cohort_week"]: r["weekly_revenue_usd"] for r in table.collect() if r["weekly_revenue_usd"]}
+    assert earning == {day("2024-01-01"): 10, day("2024-01-15"): 2}
+    assert table.count() == 8
+
+
+def test_weekly_rpu_divides_by_all_installs(frames):
+    table = run(frames, "weekly_rpu")
+    assert rows(table, "acquisition_source", "signup_platform", "week_since_install", "installs") == {
+        ("src_1", "iOS", 0, 1),
+        ("src_1", "iOS", 12, 1),
+        ("src_1", "Android", 1, 1),
+        ("src_2", "iOS", 0, 2),
+    }
+
+
+def test_platform_summaries(frames):
+    weighted = rows(run(frames, "retention_platform_weighted"))
+    assert ("iOS", 0, 2, 2, 1.0) in weighted
+    assert all(w[1] >= 1 for w in rows(run(frames, "retention_platform_week1plus")))
+    assert {p for (p,) in rows(run(frames, "retention_ios_android"), "signup_platform")} == {
+        "iOS",
+        "Android",
+    }
+    week1 = rows(run(frames, "week1_scorecard"))
+    assert week1 == rows(run(frames, "week1_channel_platform"))
+    assert {w[2] for w in week1} == {1}
+
+
+def test_recommendation_as_written_and_per_country(frames):
+    from growthgrain.catalog import recommendation, recommendation_per_country
+
+    written = run(frames, "channel_recommendation").collect()
+    assert [r["acquisition_source"] for r in written] == ["src_1", "src_2", None]
+    assert {r["caution"] for r in written} == {"High volatility; watch marginal returns"}
+    assert {r["recommendation"] for r in written} == {
+        "Maintain as stable base and test creative/offers"
+    }
+    named = by_source(recommendation(frames, scale=["src_1"], trim=["src_2"]))
+    assert named["src_1"]["recommendation"].startswith("Scale gradually")
+    assert named["src_2"]["recommendation"].startswith("Hold or trim")
+    assert named[None]["recommendation"].startswith("Maintain")
+    spread = by_source(recommendation_per_country(frames))
+    assert spread["src_1"]["caution"].startswith("High volatility")
+    assert spread[None]["caution"] == "More stable"
+
+
+def test_log_feed(frames):
+    for row in run(frames, "feed_installs_vs_rpi").collect():
+        assert row["log10_installs"] == pytest.approx(math.log10(row["installs"]))
+
+
+def test_bar_feed_is_sorted(frames):
+    values = [r["ltv_90_usd"] for r in run(frames, "feed_ltv_90").collect()]
+    assert values == sorted(values)
