@@ -49,7 +49,7 @@ def lifecycle_week(days: Column) -> Column:
 
 def cohort_week(day: Column) -> Column:
     """Monday of the calendar week."""
-    return F.date_trunc("week", day).cast("date")
+    return F.trunc(day, "week")
 
 
 def joined_label(*parts: Column) -> Column:

@@ -11,17 +11,17 @@ KEY = "pk"
 def with_key(df: DataFrame) -> DataFrame:
     """Add ``pk``: the profile id as a string that is never NULL.
 
-    A missing id becomes the empty string and ``x`` becomes ``=x``, so plain
-    equality on ``pk`` has the NULL-matches-NULL meaning. Being one plain string,
-    it sorts by prefix, can be bucketed, and the partitioning of a ``groupBy`` on
-    it is kept by a following join or ``distinct``.
+    A missing id becomes the empty string and ``x`` becomes ``x=``, so plain
+    equality on ``pk`` has the NULL-matches-NULL meaning. Being one plain string
+    that starts like the id, it sorts by prefix, can be bucketed, and the
+    partitioning of a ``groupBy`` on it is kept by a following join or ``distinct``.
     """
-    return df.withColumn(KEY, F.coalesce(F.concat(F.lit("="), F.col("profile_id")), F.lit("")))
+    return df.withColumn(KEY, F.coalesce(F.concat(F.col("profile_id"), F.lit("=")), F.lit("")))
 
 
 def profile_id_of(key: Column) -> Column:
     """The profile id a ``pk`` was made from."""
-    return F.when(key != "", F.substr(key, F.lit(2)))
+    return F.when(key != "", F.left(key, F.length(key) - 1))
 
 
 def null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
