@@ -1,30 +1,34 @@
 """Reading input tables and writing results, as Parquet or CSV."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NULL_TEXT = "NA"
 
 
+def _parsed(field: T.StructField) -> Column:
+    text = F.nullif(F.col(field.name), F.lit(""))
+    return text.try_cast(field.dataType).alias(field.name)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header; empty and ``NA`` fields are NULL, blanks around fields are dropped.
+    """The columns of ``schema`` from CSV with a header, in any order and among others.
 
-    The schema is given, so nothing is guessed from the data and ids keep their
-    leading zeros. Columns are matched by position.
+    Empty and ``NA`` fields, and fields that are not of their type, are NULL; blanks
+    around fields are dropped. Nothing is guessed from the data, so ids keep their
+    leading zeros.
     """
     raw = spark.read.csv(
         path,
-        schema=schema,
         header=True,
+        inferSchema=False,
         nullValue=NULL_TEXT,
-        enforceSchema=True,
         ignoreLeadingWhiteSpace=True,
         ignoreTrailingWhiteSpace=True,
     )
-    texts = [f.name for f in schema if isinstance(f.dataType, T.StringType)]
-    return raw.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in texts}) if texts else raw
+    return raw.select(*[_parsed(field) for field in schema])
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -43,6 +47,12 @@ def read_optional_csv(spark: SparkSession, path: str, schema: T.StructType) -> D
         raise
 
 
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV if the path ends in ``.csv``, else Parquet."""
+    reader = read_csv if path.endswith(".csv") else read_parquet
+    return reader(spark, path, schema)
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from growthgrain import MARKETING_QUERIES
 from growthgrain.plans.report import EXPERIMENT_FEED, OUTPUTS, write_report
@@ -22,16 +23,24 @@ from growthgrain.sources.tables import (
 def test_csv_keeps_ids_and_reads_missing_values(spark, tmp_path):
     path = tmp_path / "profiles.csv"
     path.write_text(
-        "profile_id,acquisition_source,signup_country_code,signup_platform,first_activity_time\n"
-        "0012,src_1,NA,iOS,2024-01-07T23:30:00Z\n"
-        '0013,"", US ,,NA\n'
+        "first_activity_time,acquisition_source,age,signup_country_code,signup_platform,profile_id\n"
+        "2024-01-07T23:30:00Z,src_1,7,NA,iOS,0012\n"
+        'yesterday,"",8, US ,,0013\n'
     )
     found = read_csv(spark, str(path), PROFILES).orderBy("profile_id").collect()
     assert found[0]["profile_id"] == "0012" and found[0]["signup_country_code"] is None
-    assert found[0]["first_activity_time"] is not None
+    moment = found[0]["first_activity_time"].astimezone(dt.timezone.utc)
+    assert moment == dt.datetime(2024, 1, 7, 23, 30, tzinfo=dt.timezone.utc)
     assert found[1][1:] == (None, "US", None, None)
 
 
+def test_csv_without_a_needed_column_is_refused(spark, tmp_path):
+    path = tmp_path / "profiles.csv"
+    path.write_text("profile_id\np1\n")
+    with pytest.raises(AnalysisException):
+        read_csv(spark, str(path), PROFILES)
+
+
 def test_csv_round_trip(spark, subscriptions, tmp_path):
     with_gap = subscriptions.unionByName(
         spark.createDataFrame([(dt.date(2025, 1, 1), None, None)], SUBSCRIPTIONS)
