@@ -1,9 +1,9 @@
 """The conformed frames all marketing queries start from.
 
 Any one profile id may hold a large part of the payments or of the activity. So
-facts are first reduced to one row per profile and day, which combines on the map
-side: what reaches the join on the profile is at most one row per calendar day and
-profile, whatever the number of raw rows.
+facts are reduced before they are joined, and the reduction combines on the map side:
+what reaches the join is at most one row per profile and calendar day for payments,
+and one per profile and 64 calendar days for activity, whatever the number of raw rows.
 """
 
 from functools import cached_property
@@ -19,6 +19,7 @@ from growthgrain.functions.columns import (
     micro_usd,
     utc_day,
 )
+from growthgrain.functions.daybits import STRETCH, bit_of, days_between, first_day, stretch_of
 from growthgrain.operators.dedup import first_row_by
 from growthgrain.operators.keys import KEY, with_key
 from growthgrain.plans import ltv, retention
@@ -67,39 +68,62 @@ def bookings_per_day(bookings: DataFrame) -> DataFrame:
     )
 
 
-def activity_per_day(activity: DataFrame) -> DataFrame:
-    """One row per profile and active day."""
+def activity_stretches(activity: DataFrame) -> DataFrame:
+    """Active days of each profile, as one set of days per 64-day stretch."""
+    day = F.col("activity_date")
     return (
         with_key(activity)
         .select(KEY, utc_day(activity, "activity_date").alias("activity_date"))
-        .distinct()
+        .where(day.isNotNull())
+        .groupBy(KEY, stretch_of(day).alias("stretch"))
+        .agg(F.bit_or(bit_of(day)).alias("days"))
     )
 
 
-def lifecycle(days: DataFrame, date: str, dim: DataFrame) -> DataFrame:
-    """Dated facts of known profiles, placed on day 0..90 (week 0..12) of their life.
+def _life_of(dim: DataFrame) -> DataFrame:
+    return dim.select(KEY, "acquisition_source", "signup_platform", "first_activity_date")
 
-    Facts outside that span, of unknown profiles, or of profiles without a start
+
+def _cohort() -> Column:
+    return cohort_week(F.col("first_activity_date")).alias("cohort_week")
+
+
+def bookings_in_life(booking_days: DataFrame, dim: DataFrame) -> DataFrame:
+    """Payments of known profiles on day 0..90 (week 0..12) of their life.
+
+    Payments outside that span, of unknown profiles, or of profiles without a start
     have no place in it, so the join is an inner one.
     """
-    profile = dim.select(KEY, "acquisition_source", "signup_platform", "first_activity_date")
-    facts = [c for c in days.columns if c not in (KEY, date)]
+    age = day_offset(F.col("reported_date"), F.col("first_activity_date"))
     return (
-        days.join(profile, KEY)
-        .withColumn("day", day_offset(F.col(date), F.col("first_activity_date")))
+        booking_days.join(_life_of(dim), KEY)
+        .withColumn("day", age)
         .where(F.col("day").between(0, LAST_LIFECYCLE_DAY))
         .select(
             KEY,
-            cohort_week(F.col("first_activity_date")).alias("cohort_week"),
+            _cohort(),
             "acquisition_source",
             "signup_platform",
             "day",
             lifecycle_week(F.col("day")).alias("week_since_install"),
-            *facts,
+            "bookings_micro",
         )
     )
 
 
+def activity_in_life(stretches: DataFrame, dim: DataFrame) -> DataFrame:
+    """Active days 0..90 of known profiles: sets of days and the day their first bit is."""
+    first, last = F.col("first_day"), F.lit(LAST_LIFECYCLE_DAY)
+    return (
+        stretches.join(_life_of(dim), KEY)
+        .withColumn("first_day", first_day(F.col("stretch"), F.col("first_activity_date")))
+        .where(first.between(1 - STRETCH, LAST_LIFECYCLE_DAY))
+        .withColumn("days", days_between(F.col("days"), first, F.lit(0), last))
+        .where(F.col("days") != 0)
+        .select(KEY, _cohort(), "acquisition_source", "signup_platform", "first_day", "days")
+    )
+
+
 def segment_facts(dim: DataFrame, bookings: DataFrame) -> DataFrame:
     """Installs, payers and revenue per (source, country), from one pass over both sides.
 
@@ -150,8 +174,8 @@ class GrowthFrames:
         return bookings_per_day(self.bookings)
 
     @cached_property
-    def activity_days(self) -> DataFrame:
-        return activity_per_day(self.activity)
+    def activity_stretches(self) -> DataFrame:
+        return activity_stretches(self.activity)
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -159,11 +183,11 @@ class GrowthFrames:
 
     @cached_property
     def booking_life(self) -> DataFrame:
-        return lifecycle(self.booking_days, "reported_date", self.dim)
+        return bookings_in_life(self.booking_days, self.dim)
 
     @cached_property
     def activity_life(self) -> DataFrame:
-        return lifecycle(self.activity_days, "activity_date", self.dim)
+        return activity_in_life(self.activity_stretches, self.dim)
 
     @cached_property
     def ltv_90(self) -> DataFrame:

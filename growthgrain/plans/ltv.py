@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from growthgrain.functions.columns import safe_ratio, usd
+from growthgrain.functions.daybits import days_between
 from growthgrain.operators.keys import KEY, null_safe_left
 from growthgrain.operators.ordered import largest_first, position, running_sum
 from growthgrain.operators.regression import ols_fit_predict
@@ -63,8 +64,9 @@ def ltv_90(dim: DataFrame, booking_life: DataFrame) -> DataFrame:
 
 def retention_30_37(activity_life: DataFrame) -> DataFrame:
     """Distinct users active on day 30..37, both ends included, per channel."""
+    active = days_between(F.col("days"), F.col("first_day"), F.lit(30), F.lit(37)) != 0
     return (
-        activity_life.where(F.col("day").between(30, 37))
+        activity_life.where(active)
         .select(KEY, SOURCE)
         .distinct()
         .groupBy(SOURCE)

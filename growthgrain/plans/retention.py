@@ -7,7 +7,14 @@ user in a week has no row for that week, so totals over cohorts count survivors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from growthgrain.functions.columns import cohort_week, safe_ratio, usd
+from growthgrain.functions.columns import (
+    LAST_LIFECYCLE_WEEK,
+    cohort_week,
+    lifecycle_week,
+    safe_ratio,
+    usd,
+)
+from growthgrain.functions.daybits import STRETCH, days_between
 from growthgrain.operators.keys import KEY, null_safe_left
 from growthgrain.operators.ordered import largest_first
 
@@ -24,6 +31,22 @@ def cohort_sizes(dim: DataFrame) -> DataFrame:
     )
 
 
+def _active_weeks(activity_life: DataFrame) -> DataFrame:
+    """One row per profile and active lifecycle week.
+
+    A set of days spans at most 11 weeks, and a week at most two sets.
+    """
+    first, week = F.col("first_day"), F.col(WEEK)
+    earliest = F.greatest(lifecycle_week(first), F.lit(0))
+    latest = F.least(lifecycle_week(first + STRETCH - 1), F.lit(LAST_LIFECYCLE_WEEK))
+    return (
+        activity_life.withColumn(WEEK, F.explode(F.sequence(earliest, latest)))
+        .where(days_between(F.col("days"), first, week * 7, week * 7 + 6) != 0)
+        .select(KEY, *COHORT, WEEK)
+        .distinct()
+    )
+
+
 def retention_weekly(dim: DataFrame, activity_life: DataFrame) -> DataFrame:
     """Distinct active users of each cohort in each lifecycle week, and their share.
 
@@ -31,8 +54,7 @@ def retention_weekly(dim: DataFrame, activity_life: DataFrame) -> DataFrame:
     the distinct users; the join has already put the rows of a profile together.
     """
     retained = (
-        activity_life.select(KEY, *COHORT, WEEK)
-        .distinct()
+        _active_weeks(activity_life)
         .groupBy(*COHORT, WEEK)
         .agg(F.count("*").alias("retained_users"))
     )

@@ -2,8 +2,8 @@
 
 Writing them costs one shuffle per table. From then on every query over them joins
 and groups on the profile within a bucket, without moving payments or activity. A
-profile has at most one row per day in them, so no bucket is swollen by a profile
-with many raw rows.
+profile has at most one row per day in them, so a profile with many raw rows does not
+swell its bucket.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from growthgrain.operators.keys import KEY
 from growthgrain.plans.frames import GrowthFrames
 
-DIM, BOOKINGS, ACTIVITY = "profile_dim", "booking_days", "activity_days"
+DIM, BOOKINGS, ACTIVITY = "profile_dim", "booking_days", "activity_stretches"
 
 
 def _save(df: DataFrame, table: str, buckets: int) -> None:
@@ -26,14 +26,14 @@ def _save(df: DataFrame, table: str, buckets: int) -> None:
 
 
 def save_conformed(frames: GrowthFrames, prefix: str, buckets: int) -> None:
-    """Write the tables ``<prefix>_profile_dim``, ``_booking_days`` and ``_activity_days``.
+    """Write the tables ``<prefix>_profile_dim``, ``_booking_days`` and ``_activity_stretches``.
 
     Choose ``buckets`` so that one bucket of the largest table fits a task; all three
     must have the same number.
     """
     _save(frames.dim, f"{prefix}_{DIM}", buckets)
     _save(frames.booking_days, f"{prefix}_{BOOKINGS}", buckets)
-    _save(frames.activity_days, f"{prefix}_{ACTIVITY}", buckets)
+    _save(frames.activity_stretches, f"{prefix}_{ACTIVITY}", buckets)
 
 
 def load_conformed(spark: SparkSession, prefix: str, raw: GrowthFrames) -> GrowthFrames:
@@ -43,5 +43,5 @@ def load_conformed(spark: SparkSession, prefix: str, raw: GrowthFrames) -> Growt
         dim=spark.table(f"{prefix}_{DIM}"),
         bookings=bookings,
         booking_days=bookings,
-        activity_days=spark.table(f"{prefix}_{ACTIVITY}"),
+        activity_stretches=spark.table(f"{prefix}_{ACTIVITY}"),
     )

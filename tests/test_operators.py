@@ -21,6 +21,7 @@ from growthgrain.functions.columns import (
     usd,
     utc_day,
 )
+from growthgrain.functions.daybits import bit_of, days_between, first_day, stretch_of
 from growthgrain.operators.dedup import first_row_by
 from growthgrain.operators.keys import (
     assert_unique,
@@ -126,6 +127,25 @@ def test_uniqueness(spark):
     assert assert_unique(df.distinct(), ["k"]).count() == 2
 
 
+dates = st.dates(dt.date(1969, 6, 1), dt.date(1971, 6, 1))
+
+
+@few
+@given(st.lists(dates, min_size=1, max_size=40), dates, st.integers(-80, 80), st.integers(0, 90))
+def test_day_sets(spark, days, start, low, length):
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    sets = (
+        df.groupBy(stretch_of(F.col("d")).alias("stretch"))
+        .agg(F.bit_or(bit_of(F.col("d"))).alias("days"))
+        .withColumn("first", first_day(F.col("stretch"), F.lit(start)))
+    )
+    part = days_between(F.col("days"), F.col("first"), F.lit(low), F.lit(low + length))
+    kept = sets.agg(F.sum(F.bit_count(part)), F.sum(F.bit_count("days"))).first()
+    ages = {(d - start).days for d in days}
+    assert kept[0] == len([a for a in ages if low <= a <= low + length])
+    assert kept[1] == len(ages)
+
+
 text = st.one_of(st.none(), st.sampled_from(["", "A", "a", "b", "é", "Z"]))
 
 

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from growthgrain import MARKETING_QUERIES
+from growthgrain.plans.retention import _active_weeks
 
 SAMPLE = "/root/testdata/sf0.001"
 NOT_LAZY = {"ltv_regression"}
@@ -54,16 +55,20 @@ def test_scans_read_only_needed_columns(spark):
 
 def test_facts_are_reduced_before_they_meet_the_profiles(no_broadcast):
     frames = entry._frames(no_broadcast, SAMPLE)
-    plan = initial_plan(frames.activity_life)
-    assert re.search(r"SortMergeJoin \[pk#\d+\], \[pk#\d+\], Inner", plan)
-    assert re.search(r"HashAggregate\(keys=\[pk#\d+, activity_date#\d+\]", plan)
+    for life, reduced in (
+        (frames.activity_life, r"functions=\[partial_bit_or\("),
+        (frames.booking_life, r"HashAggregate\(keys=\[pk#\d+, reported_date#\d+\]"),
+    ):
+        plan = initial_plan(life)
+        assert re.search(r"SortMergeJoin \[pk#\d+\], \[pk#\d+\], Inner", plan)
+        assert re.search(reduced, plan)
 
 
 def test_counting_users_adds_no_exchange_on_the_profile(no_broadcast):
     frames = entry._frames(no_broadcast, SAMPLE)
     life = initial_plan(frames.activity_life).count("Exchange hashpartitioning")
-    users = initial_plan(frames.activity_life.select("pk", "week_since_install").distinct())
-    assert users.count("Exchange hashpartitioning") == life
+    users = initial_plan(_active_weeks(frames.activity_life)).count("Exchange hashpartitioning")
+    assert users == life
 
 
 def test_the_profile_dimension_is_shuffled_once(no_broadcast):
