@@ -114,20 +114,29 @@ def test_conformed_tables_give_the_same_results_without_moving_facts(spark, fram
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_shared_folder_is_the_one_the_session_names(spark, tmp_path):
-    first = shared_folder(spark)
-    assert first == shared_folder(spark) == spark.sparkContext.getCheckpointDir()
+class Context:
+    def __init__(self, master, folder=None):
+        self.master, self.folder = master, folder
 
+    def getCheckpointDir(self):
+        return self.folder
 
-def test_shared_folder_must_be_named_on_a_cluster():
-    class Context:
-        master = "spark://somewhere"
+    def setCheckpointDir(self, folder):
+        self.folder = folder
 
-        def getCheckpointDir(self):
-            return None
 
-    class Session:
-        sparkContext = Context()
+class Session:
+    def __init__(self, master, folder=None, **conf):
+        self.sparkContext, self.conf = Context(master, folder), conf
 
+
+@pytest.mark.parametrize("master", ["local[2]", "spark://somewhere"])
+def test_shared_folder_is_the_one_the_session_names(master):
+    assert shared_folder(Session(master, "set")) == "set"
+    assert shared_folder(Session(master, None, **{"spark.checkpoint.dir": "named"})) == "named"
+
+
+def test_only_a_local_session_may_use_a_temporary_folder():
+    assert shared_folder(Session("local[2]"))
     with pytest.raises(RuntimeError):
-        shared_folder(Session())
+        shared_folder(Session("spark://somewhere"))
