@@ -1,6 +1,6 @@
 """Installs, revenue per install (RPI), payer rates and anomalies by channel and country."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from growthgrain.functions.aggregates import pearson
@@ -63,11 +63,16 @@ def install_correlations(segments: DataFrame) -> DataFrame:
     )
 
 
-def _channel_totals(segments: DataFrame) -> DataFrame:
+def _channel_totals(segments: DataFrame, **more: Column) -> DataFrame:
+    totals = {
+        "installs": F.sum("installs"),
+        "total_revenue_usd": usd(F.sum("revenue_micro")),
+        **more,
+    }
     return (
-        _installed(segments)
+        _with_rpi(segments)
         .groupBy("acquisition_source")
-        .agg(F.sum("installs").alias("installs"), usd(F.sum("revenue_micro")).alias("total_revenue_usd"))
+        .agg(*[total.alias(name) for name, total in totals.items()])
         .withColumn(RPI, safe_ratio(F.col("total_revenue_usd"), F.col("installs")))
     )
 
@@ -90,15 +95,18 @@ def channel_efficiency_per_country(segments: DataFrame) -> DataFrame:
     Like all money, ``rpi_std`` is held to the micro-dollar, so that comparing it
     with a median of the same column does not hinge on the order of a sum.
     """
-    by_country = segment_rpi(segments)
-    extremes = by_country.groupBy("acquisition_source").agg(
-        F.min(RPI).alias("rpi_min"), F.max(RPI).alias("rpi_max")
-    )
-    spread = weighted_sd(by_country, ["acquisition_source"], RPI, "installs", "rpi_std").withColumn(
-        "rpi_std", F.round("rpi_std", 6)
+    key = ["acquisition_source"]
+    totals = _channel_totals(segments, rpi_min=F.min(RPI), rpi_max=F.max(RPI))
+    spread = weighted_sd(segment_rpi(segments), key, RPI, "installs", "rpi_std")
+    return null_safe_left(totals, spread, key).select(
+        *key,
+        "installs",
+        "total_revenue_usd",
+        RPI,
+        F.round("rpi_std", 6).alias("rpi_std"),
+        "rpi_min",
+        "rpi_max",
     )
-    totals = null_safe_left(_channel_totals(segments), spread, ["acquisition_source"])
-    return null_safe_left(totals, extremes, ["acquisition_source"])
 
 
 def segment_thresholds(segments: DataFrame) -> DataFrame:

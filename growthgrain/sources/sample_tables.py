@@ -9,8 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+class SampleTables:
+    """The order tables of a folder; each is opened once, on first use."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.folder = folder
+
+    def __getattr__(self, table: str) -> DataFrame:
+        if table.startswith("_"):
+            raise AttributeError(table)
+        opened = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        setattr(self, table, opened)
+        return opened
 
 
 def _text(key: str) -> Column:
@@ -21,14 +32,12 @@ def _country(customers: DataFrame, nations: DataFrame) -> DataFrame:
     return customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
 
 
-def profiles(spark: SparkSession, folder: str) -> DataFrame:
+def profiles(tables: SampleTables) -> DataFrame:
     """One row per customer, starting with the first order."""
-    starts = (
-        _read(spark, folder, "orders")
-        .groupBy("o_custkey")
-        .agg(F.min("o_orderdate").alias("first_activity_time"))
+    starts = tables.orders.groupBy("o_custkey").agg(
+        F.min("o_orderdate").alias("first_activity_time")
     )
-    customers = _country(_read(spark, folder, "customer"), _read(spark, folder, "nation"))
+    customers = _country(tables.customer, tables.nation)
     platform = F.element_at(
         F.array(F.lit("iOS"), F.lit("Android"), F.lit("Web")),
         (F.pmod("c_custkey", F.lit(3)) + 1).cast("int"),
@@ -42,38 +51,28 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def payments(spark: SparkSession, folder: str) -> DataFrame:
+def payments(tables: SampleTables) -> DataFrame:
     """Partly delivered orders."""
-    return (
-        _read(spark, folder, "orders")
-        .where(F.col("o_orderstatus") == "P")
-        .select(
-            _text("o_custkey").alias("profile_id"),
-            F.to_date("o_orderdate").alias("reported_date"),
-            F.col("o_totalprice").alias("gross_bookings_usd"),
-        )
+    return tables.orders.where(F.col("o_orderstatus") == "P").select(
+        _text("o_custkey").alias("profile_id"),
+        F.to_date("o_orderdate").alias("reported_date"),
+        F.col("o_totalprice").alias("gross_bookings_usd"),
     )
 
 
-def activity(spark: SparkSession, folder: str) -> DataFrame:
+def activity(tables: SampleTables) -> DataFrame:
     """Shipments of order lines."""
-    lines = _read(spark, folder, "lineitem")
-    orders = _read(spark, folder, "orders")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return tables.lineitem.join(tables.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         _text("o_custkey").alias("profile_id"), F.to_date("l_shipdate").alias("activity_date")
     )
 
 
-def subscriptions(spark: SparkSession, folder: str) -> DataFrame:
+def subscriptions(tables: SampleTables) -> DataFrame:
     """Customers with an order, by month and order priority."""
-    return (
-        _read(spark, folder, "orders")
-        .groupBy(
-            F.trunc("o_orderdate", "month").alias("date"),
-            F.col("o_orderpriority").alias("subscription_type"),
-        )
-        .agg(F.count_distinct("o_custkey").alias("active_subscriptions"))
-    )
+    return tables.orders.groupBy(
+        F.trunc("o_orderdate", "month").alias("date"),
+        F.col("o_orderpriority").alias("subscription_type"),
+    ).agg(F.count_distinct("o_custkey").alias("active_subscriptions"))
 
 
 # A second set of tables in which one profile id is missing for a whole customer
@@ -85,16 +84,15 @@ def _anonymous_id() -> Column:
     return F.when(F.col("c_mktsegment") != "HOUSEHOLD", _text("o_custkey")).alias("profile_id")
 
 
-def _orders_with_customer(spark: SparkSession, folder: str) -> DataFrame:
-    orders = _read(spark, folder, "orders")
-    customers = _country(_read(spark, folder, "customer"), _read(spark, folder, "nation"))
-    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+def _orders_with_customer(tables: SampleTables) -> DataFrame:
+    customers = _country(tables.customer, tables.nation)
+    return tables.orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
 
 
-def touch_profiles(spark: SparkSession, folder: str) -> DataFrame:
+def touch_profiles(tables: SampleTables) -> DataFrame:
     """One row per finished order, so a customer has as many rows as finished orders."""
     return (
-        _orders_with_customer(spark, folder)
+        _orders_with_customer(tables)
         .where(F.col("o_orderstatus") == "F")
         .select(
             _anonymous_id(),
@@ -110,29 +108,27 @@ def touch_profiles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def touch_payments(spark: SparkSession, folder: str) -> DataFrame:
+def touch_payments(tables: SampleTables) -> DataFrame:
     """Every order; customers without a finished order are unknown profiles."""
-    return _orders_with_customer(spark, folder).select(
+    return _orders_with_customer(tables).select(
         _anonymous_id(),
         F.to_date("o_orderdate").alias("reported_date"),
         F.nullif(F.col("o_totalprice"), F.round("o_totalprice", 0)).alias("gross_bookings_usd"),
     )
 
 
-def touch_activity(spark: SparkSession, folder: str) -> DataFrame:
+def touch_activity(tables: SampleTables) -> DataFrame:
     """Shipments of order lines."""
-    lines = _read(spark, folder, "lineitem")
-    orders = _orders_with_customer(spark, folder)
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    orders = _orders_with_customer(tables)
+    return tables.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         _anonymous_id(), F.to_date("l_shipdate").alias("activity_date")
     )
 
 
-def experiment_results(spark: SparkSession, folder: str) -> DataFrame:
+def experiment_results(tables: SampleTables) -> DataFrame:
     """Installs per country and install week; countries of two regions are treated."""
-    nations = _read(spark, folder, "nation")
-    regions = _read(spark, folder, "region")
-    treated = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(
+    in_region = F.col("n_regionkey") == F.col("r_regionkey")
+    treated = tables.nation.join(tables.region, in_region).select(
         F.col("n_name").alias("geo_cell"),
         F.when(F.col("r_name").isin("AMERICA", "EUROPE"), "treatment")
         .otherwise("control")
@@ -140,7 +136,7 @@ def experiment_results(spark: SparkSession, folder: str) -> DataFrame:
     )
     first_week = F.to_date(F.lit("1995-01-01"))
     installs = (
-        profiles(spark, folder)
+        profiles(tables)
         .where(F.col("first_activity_time").isNotNull())
         .groupBy(
             F.col("signup_country_code").alias("geo_cell"),
