@@ -152,14 +152,24 @@ class GrowthFrames:
     """The three raw tables and, built on first use, the frames derived from them.
 
     Nothing here runs a job; a frame that several parts of one query use is the same
-    plan each time, so Spark shuffles it once.
+    plan each time, so Spark shuffles it once. ``ready`` are derived frames, by name,
+    that are to be taken from elsewhere, e.g. from a stored table.
     """
 
-    def __init__(self, profiles: DataFrame, payments: DataFrame, activity: DataFrame):
+    def __init__(
+        self, profiles: DataFrame, payments: DataFrame, activity: DataFrame, **ready: DataFrame
+    ):
         self.profiles = profiles
         self.payments = payments
         self.activity = activity
-        self._replacements: dict[str, DataFrame] = {}
+        self.ready = ready
+        vars(self).update(ready)
+
+    def with_ready(self, **frames: DataFrame) -> "GrowthFrames":
+        """The same tables with more derived frames taken from elsewhere."""
+        return GrowthFrames(
+            self.profiles, self.payments, self.activity, **(self.ready | frames)
+        )
 
     @cached_property
     def dim(self) -> DataFrame:
@@ -201,10 +211,3 @@ class GrowthFrames:
     def cohort_retention_revenue(self) -> DataFrame:
         weekly = retention.payments_weekly(self.booking_life)
         return retention.cohort_retention_revenue(self.retention_weekly, weekly)
-
-    def replaced(self, **frames: DataFrame) -> "GrowthFrames":
-        """The same tables with some derived frames read from elsewhere."""
-        copy = GrowthFrames(self.profiles, self.payments, self.activity)
-        vars(copy).update(self._replacements | frames)
-        copy._replacements = self._replacements | frames
-        return copy

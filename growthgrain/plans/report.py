@@ -1,8 +1,9 @@
 """The whole marketing report: every output table, with each fact joined once."""
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -62,19 +63,23 @@ SHARED = [
 ]
 
 
-def materialised(frames: GrowthFrames) -> GrowthFrames:
-    """Write the shared frames to the shared folder once and read them back.
+@contextmanager
+def materialised(frames: GrowthFrames) -> Iterator[GrowthFrames]:
+    """Frames read back from tables written once to the shared folder, until the block ends.
 
     All outputs then start from these tables instead of joining the raw facts again,
     survive the loss of executors, and are planned on their true sizes.
     """
     spark = frames.profiles.sparkSession
     folder = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
-
-    for name in SHARED:
-        write_parquet(getattr(frames, name), f"{folder}/{name}")
-        frames = frames.replaced(**{name: spark.read.parquet(f"{folder}/{name}")})
-    return frames
+    try:
+        for name in SHARED:
+            write_parquet(getattr(frames, name), f"{folder}/{name}")
+            frames = frames.with_ready(**{name: spark.read.parquet(f"{folder}/{name}")})
+        yield frames
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _output(name: str, frames: GrowthFrames) -> DataFrame:
@@ -95,15 +100,14 @@ def write_report(
     run side by side. The experiment feed is written only if results are given.
     """
     spark = frames.profiles.sparkSession
-    shared = materialised(frames)
     write = write_csv if as_csv else write_parquet
-    tables: dict[str, Callable[[], DataFrame]] = {
-        name: partial(_output, name, shared) for name in OUTPUTS
-    }
-    tables[RESULTS_TEMPLATE] = partial(experiment_results_template, spark)
-    tables[SCORECARD_TEMPLATE] = partial(weekly_scorecard_template, spark)
-    if experiment is not None:
-        tables[EXPERIMENT_FEED] = partial(experiment_trend, experiment)
-    with ThreadPoolExecutor(at_once) as pool:
+    with materialised(frames) as shared, ThreadPoolExecutor(at_once) as pool:
+        tables: dict[str, Callable[[], DataFrame]] = {
+            name: partial(_output, name, shared) for name in OUTPUTS
+        }
+        tables[RESULTS_TEMPLATE] = partial(experiment_results_template, spark)
+        tables[SCORECARD_TEMPLATE] = partial(weekly_scorecard_template, spark)
+        if experiment is not None:
+            tables[EXPERIMENT_FEED] = partial(experiment_trend, experiment)
         list(pool.map(lambda name: write(tables[name](), f"{folder}/{name}"), tables))
     return list(tables)

@@ -11,6 +11,7 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64m")
         .config("spark.ui.enabled", "false")
     )
 

@@ -39,7 +39,7 @@ def save_conformed(frames: GrowthFrames, prefix: str, buckets: int) -> None:
 def load_conformed(spark: SparkSession, prefix: str, raw: GrowthFrames) -> GrowthFrames:
     """Frames over the conformed tables; ``raw`` still serves the row-level queries."""
     bookings = spark.table(f"{prefix}_{BOOKINGS}")
-    return raw.replaced(
+    return raw.with_ready(
         dim=spark.table(f"{prefix}_{DIM}"),
         bookings=bookings,
         booking_days=bookings,

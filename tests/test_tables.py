@@ -1,6 +1,7 @@
 """Readers, writers, the report and the conformed tables."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -88,6 +89,7 @@ def test_report_writes_every_table(spark, frames, tmp_path):
     )
     names = write_report(frames, str(tmp_path), experiment=results)
     assert len(names) == len(set(names)) == 29 and EXPERIMENT_FEED in names
+    assert not list(Path(shared_folder(spark).removeprefix("file:")).glob("report-*"))
     for name in names:
         assert list((tmp_path / name).glob("part-*.csv")), name
     without = write_report(frames, str(tmp_path / "parquet"), as_csv=False)
