@@ -21,7 +21,8 @@ def micro_usd(amount: Column) -> Column:
     with the number of partitions or after a task is rerun, and comparing a row
     with a median of the same rows is safe. ANSI mode raises on overflow.
     """
-    return F.rint(F.when(~F.isnan(amount), amount) * MICROS_PER_USD).cast("bigint")
+    dollars = amount.cast("double")
+    return F.rint(F.when(~F.isnan(dollars), dollars) * MICROS_PER_USD).cast("bigint")
 
 
 def usd(micros: Column) -> Column:

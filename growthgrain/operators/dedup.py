@@ -1,6 +1,6 @@
 """Deduplication."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -11,5 +11,7 @@ def first_row_by(columns: list[str]) -> Column:
     that is to be kept, so that the order is total. As a plain ``min`` it combines
     on the map side: a key with any number of copies leaves each task as one row.
     """
-    ordered = [c for name in columns for c in (F.col(name).isNull().alias(f"{name}_missing"), F.col(name))]
-    return F.min(F.struct(*ordered))
+    parts = []
+    for name in columns:
+        parts += [F.col(name).isNull().alias(f"{name}_missing"), F.col(name)]
+    return F.min(F.struct(*parts))

@@ -67,15 +67,22 @@ def profile_conflicts_detected(profiles: DataFrame) -> DataFrame:
     return _with_profile_id(_in_conflict(counted)).select(*DIMENSION_COLUMNS)
 
 
-def payments_enriched(payments: DataFrame, dim: DataFrame) -> DataFrame:
-    """Every payment with the source, start and age in days of its profile."""
-    profile = _with_profile_id(dim).select("profile_id", "acquisition_source", "first_activity_date")
-    dated = payments.withColumn("reported_date", utc_day(payments, "reported_date"))
+def _with_age(facts: DataFrame, date: str, dim: DataFrame) -> DataFrame:
+    """Every fact with the source, start and age in days of its profile."""
+    profile = _with_profile_id(dim).select(
+        "profile_id", "acquisition_source", "first_activity_date"
+    )
+    dated = facts.withColumn(date, utc_day(facts, date))
     return null_safe_left(dated, profile, ["profile_id"]).withColumn(
-        "days_since_first_activity", day_offset(F.col("reported_date"), F.col("first_activity_date"))
+        "days_since_first_activity", day_offset(F.col(date), F.col("first_activity_date"))
     )
 
 
+def payments_enriched(payments: DataFrame, dim: DataFrame) -> DataFrame:
+    """Every payment with the source, start and age in days of its profile."""
+    return _with_age(payments, "reported_date", dim)
+
+
 def payments_90(payments: DataFrame, dim: DataFrame) -> DataFrame:
     """Payments on day 0..90, both ends included."""
     return payments_enriched(payments, dim).where(
@@ -85,11 +92,7 @@ def payments_90(payments: DataFrame, dim: DataFrame) -> DataFrame:
 
 def activity_enriched(activity: DataFrame, dim: DataFrame) -> DataFrame:
     """Every activity row with the source, start and age in days of its profile."""
-    profile = _with_profile_id(dim).select("profile_id", "acquisition_source", "first_activity_date")
-    dated = activity.withColumn("activity_date", utc_day(activity, "activity_date"))
-    return null_safe_left(dated, profile, ["profile_id"]).withColumn(
-        "days_since_first_activity", day_offset(F.col("activity_date"), F.col("first_activity_date"))
-    )
+    return _with_age(activity, "activity_date", dim)
 
 
 def cohort_base(dim: DataFrame) -> DataFrame:

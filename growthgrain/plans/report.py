@@ -67,13 +67,14 @@ SHARED = [
 def materialised(frames: GrowthFrames) -> Iterator[GrowthFrames]:
     """Frames read back from tables written once to the shared folder, until the block ends.
 
+    Frames that are ready already, like the bucketed tables, are left where they are.
     All outputs then start from these tables instead of joining the raw facts again,
     survive the loss of executors, and are planned on their true sizes.
     """
     spark = frames.profiles.sparkSession
     folder = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
     try:
-        for name in SHARED:
+        for name in [n for n in SHARED if n not in frames.ready]:
             write_parquet(getattr(frames, name), f"{folder}/{name}")
             frames = frames.with_ready(**{name: spark.read.parquet(f"{folder}/{name}")})
         yield frames

@@ -145,7 +145,8 @@ def week1_scorecard(summary: DataFrame) -> DataFrame:
 
 def retention_curve_platform(retention: DataFrame) -> DataFrame:
     """Unweighted mean retention over cohorts per platform and week."""
-    return retention.groupBy(PLATFORM, WEEK).agg(F.avg("retention_rate").alias("mean_retention_rate"))
+    mean = F.avg("retention_rate").alias("mean_retention_rate")
+    return retention.groupBy(PLATFORM, WEEK).agg(mean)
 
 
 def arpru_platform(retention_revenue: DataFrame) -> DataFrame:
@@ -157,7 +158,8 @@ def arpru_platform(retention_revenue: DataFrame) -> DataFrame:
 
 def retention_heatmap(summary: DataFrame) -> DataFrame:
     """Mean over platforms of mean retention, per source and week."""
-    return summary.groupBy(SOURCE, WEEK).agg(F.avg("mean_retention_rate").alias("mean_retention_rate"))
+    mean = F.avg("mean_retention_rate").alias("mean_retention_rate")
+    return summary.groupBy(SOURCE, WEEK).agg(mean)
 
 
 def summary_q3(scorecard: DataFrame) -> DataFrame:

@@ -187,4 +187,6 @@ def top_segments(segments: DataFrame, n: int = 15) -> DataFrame:
 
 
 def summary_q1(efficiency: DataFrame) -> DataFrame:
-    return channel_rank(efficiency).select("acquisition_source", "installs", RPI, "rpi_std", "rpi_cv")
+    return channel_rank(efficiency).select(
+        "acquisition_source", "installs", RPI, "rpi_std", "rpi_cv"
+    )
