@@ -288,3 +288,22 @@ def test_log_feed(frames):
 def test_bar_feed_is_sorted(frames):
     values = [r["ltv_90_usd"] for r in run(frames, "feed_ltv_90").collect()]
     assert values == sorted(values)
+
+
+EXACT = ["segment_rpi", "segment_anomalies", "ltv_90", "ltv_drivers", "cohort_retention_revenue"]
+
+
+@pytest.mark.parametrize("name", EXACT)
+def test_results_do_not_depend_on_partitioning(spark, name):
+    import __spark_entry__ as entry
+
+    from growthgrain import GrowthFrames
+
+    sample = entry._touch_frames(spark, "/root/testdata/sf0.001")
+
+    def result(partitions):
+        tables = (sample.profiles, sample.payments, sample.activity)
+        frames = GrowthFrames(*[t.repartition(partitions) for t in tables])
+        return sorted(map(str, run(frames, name).collect()))
+
+    assert result(1) == result(3) == result(7)
