@@ -64,7 +64,7 @@ MARKETING_QUERIES: dict[str, Marketing] = {
     "segment_thresholds": lambda f: segments.segment_thresholds(f.segments),
     "segment_anomalies": lambda f: segments.segment_anomalies(f.segments),
     "payer_rate_by_segment": lambda f: segments.payer_rate_by_segment(f.segments),
-    "segment_enhanced": lambda f: segments.segment_enhanced(f.segments),
+    "segment_enhanced": lambda f: segments.segment_enhanced(f.segments, f.dim),
     "channel_efficiency_enhanced": lambda f: segments.with_rpi_cv(_efficiency(f)),
     "channel_efficiency_enhanced_per_country": lambda f: segments.with_rpi_cv(
         _efficiency_per_country(f)
@@ -128,8 +128,9 @@ MARKETING_QUERIES: dict[str, Marketing] = {
     "feed_ltv_vs_installs": lambda f: feeds.log_feed(
         f.ltv_90, "installs", "ltv_90_usd", "acquisition_source"
     ),
+    # the recommendation's own columns are not drawn, so its joins are left out
     "feed_channel_value_vs_scale": lambda f: feeds.log_feed(
-        recommendation(f), "installs", "ltv_90_usd", "acquisition_source"
+        f.ltv_90, "installs", "ltv_90_usd", "acquisition_source"
     ),
 }
 

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthgrain.operators.keys import null_safe_left
@@ -28,13 +28,13 @@ def channel_recommendation(
 
     With the efficiency table as written every spread is 0, which is also its
     median, so every channel is called volatile; pass the per-country table to
-    compare real spreads.
+    compare real spreads. The median is taken in one task, over one row per channel.
     """
     spread = efficiency.select(SOURCE, "revenue_per_install_usd", "rpi_std")
-    joined = null_safe_left(ltv, spread, [SOURCE])
-    median_spread = joined.agg(F.median("rpi_std")).scalar()
+    all_channels = Window.partitionBy()
+    median_spread = F.median("rpi_std").over(all_channels)
     return best_first(
-        joined.withColumns(
+        null_safe_left(ltv, spread, [SOURCE]).withColumns(
             {
                 "recommendation": F.when(F.col(SOURCE).isin(*scale), SCALE)
                 .when(F.col(SOURCE).isin(*trim), TRIM)

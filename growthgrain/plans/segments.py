@@ -141,9 +141,12 @@ def payer_rate_by_segment(segments: DataFrame) -> DataFrame:
     )
 
 
-def segment_enhanced(segments: DataFrame) -> DataFrame:
-    """Segment RPI with payers, payer rate and share of all installs."""
-    total = _installed(segments).agg(F.sum("installs")).scalar()
+def segment_enhanced(segments: DataFrame, dim: DataFrame) -> DataFrame:
+    """Segment RPI with payers, payer rate and share of all installs.
+
+    All installs are counted on the profiles, which spares reading payments again.
+    """
+    total = dim.agg(F.count("*")).scalar()
     return _with_rpi(segments).select(
         *SEGMENT,
         "installs",
