@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from growthgrain import MARKETING_QUERIES
+from growthgrain import MARKETING_QUERIES, GrowthFrames
 from growthgrain.plans.retention import _active_weeks
 
 SAMPLE = "/root/testdata/sf0.001"
@@ -100,3 +100,57 @@ def test_a_profile_with_many_rows_is_split_over_tasks(no_broadcast, name):
     finally:
         for key, value in before.items():
             no_broadcast.conf.set(key, value)
+
+
+def rows_scanned(node):
+    """Rows read from files by an executed plan, by first column read; reuse reads nothing."""
+    name = node.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return rows_scanned(node.executedPlan())
+    if "ReusedExchange" in name:
+        return {}
+    if "QueryStage" in name:
+        return rows_scanned(node.plan())
+    if name.startswith("Scan "):
+        column = node.output().head().name()
+        return {column: node.metrics().apply("numOutputRows").value()}
+    found = {}
+    for below in (node.children(), node.subqueries()):
+        for i in range(below.size()):
+            child = below.apply(i)
+            if child.nodeName().startswith("ReusedSubquery"):
+                continue
+            child = child.child() if child.nodeName().startswith("Subquery") else child
+            for column, rows in rows_scanned(child).items():
+                found[column] = found.get(column, 0) + rows
+    return found
+
+
+READS = {
+    "segment_anomalies": (1, 0),
+    "segment_enhanced": (1, 0),
+    "channel_efficiency_per_country": (1, 0),
+    "ltv_drivers": (1, 0),
+    "ltv_model": (1, 1),
+    "cohort_retention_revenue": (1, 1),
+    # all-time revenue and 90-day revenue are two reductions of the payments
+    "channel_recommendation_per_country": (2, 0),
+}
+
+
+@pytest.mark.parametrize("name", READS)
+def test_facts_are_read_once(no_broadcast, tmp_path, name):
+    sample = entry._touch_frames(no_broadcast, SAMPLE)
+    first = {"profiles": "profile_id", "payments": "paying_id", "activity": "active_id"}
+    tables = []
+    for table, column in first.items():
+        path = str(tmp_path / table)
+        getattr(sample, table).withColumnRenamed("profile_id", column).write.parquet(path)
+        opened = no_broadcast.read.parquet(path)
+        tables.append(opened.withColumnRenamed(column, "profile_id"))
+    query = MARKETING_QUERIES[name](GrowthFrames(*tables))
+    query.collect()
+    read = rows_scanned(query._jdf.queryExecution().executedPlan())
+    payments, activity = READS[name]
+    assert read.get("paying_id", 0) == payments * tables[1].count()
+    assert read.get("active_id", 0) == activity * tables[2].count()
