@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 8_000_000
@@ -30,11 +30,17 @@ def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
     return max(-(-text_bytes(docs) // chunk_bytes), 2 * tasks)
 
 
-def chunked(docs: DataFrame, n: int) -> DataFrame:
-    """``chunk``, ``doc_id``, ``text`` and, in ``row``, the other columns."""
+def chunked(docs: DataFrame, n: int, **more: Column) -> DataFrame:
+    """``chunk``, ``doc_id``, ``text``, ``more`` and, in ``row``, the columns but the text."""
     others = [docs[f"`{c}`"] for c in docs.columns if c != "text"]
     chunk = F.pmod(F.xxhash64(docs.doc_id, docs.text), F.lit(n)).cast("int")
-    return docs.select(chunk.alias("chunk"), F.struct(*others).alias("row"), docs.doc_id, docs.text)
+    return docs.select(
+        chunk.alias("chunk"),
+        F.struct(*others).alias("row"),
+        docs.doc_id,
+        docs.text,
+        *[column.alias(name) for name, column in more.items()],
+    )
 
 
 def texts_of(table: pa.Table) -> list[bytes | None]:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthgrain.llm import packing, quality, simhash, substrings
+from growthgrain.llm import katz, packing, quality, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,16 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_katz(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    learn = katz.training(F.col("doc_id"))
+    return katz.scores(docs, learn).select(
+        "row.doc_id",
+        (~katz.training(F.col("row.doc_id"))).alias("held_out"),
+        *["n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    )
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(_table(spark, folder, "documents")).select("row.doc_id", "*").drop("row")
 
@@ -35,6 +45,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_katz": op3_katz,
     "op5_quality": op5_quality,
     "op8_packing": op8_packing,
     "op9_substrings": op9_substrings,
