@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthgrain.llm import katz, packing, quality, simhash, substrings
+from growthgrain.llm import katz, language, packing, quality, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,12 @@ def op3_katz(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = language.held_out(F.col("doc_id"))
+    return language.predict(docs, ~held_out).withColumn("held_out", held_out)
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(_table(spark, folder, "documents")).select("row.doc_id", "*").drop("row")
 
@@ -46,6 +52,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_katz": op3_katz,
+    "op4_language": op4_language,
     "op5_quality": op5_quality,
     "op8_packing": op8_packing,
     "op9_substrings": op9_substrings,
