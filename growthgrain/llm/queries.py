@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthgrain.llm import katz, language, packing, quality, simhash, substrings
+from growthgrain.llm import katz, language, packing, quality, simhash, substrings, syncmers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.edited_pairs(_table(spark, folder, "documents"))
+
+
 def op3_katz(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     learn = katz.training(F.col("doc_id"))
@@ -51,6 +55,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_syncmers": op1_syncmers,
     "op3_katz": op3_katz,
     "op4_language": op4_language,
     "op5_quality": op5_quality,
