@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthgrain.llm import katz, language, packing, quality, simhash, substrings, syncmers
+from growthgrain.llm import chats, katz, language, mixing, packing, quality, simhash, substrings, syncmers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,10 @@ def op1_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.edited_pairs(_table(spark, folder, "documents"))
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_table(spark, folder, "documents"), ["doc_id"]).select("row.doc_id", "*").drop("row")
+
+
 def op3_katz(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     learn = katz.training(F.col("doc_id"))
@@ -38,6 +42,10 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(_table(spark, folder, "documents")).select("row.doc_id", "*").drop("row")
 
 
+def op6_chats(spark: SparkSession, folder: str) -> DataFrame:
+    return chats.collapse(_table(spark, folder, "conversations"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), with_ids=False)
 
@@ -56,12 +64,14 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_syncmers": op1_syncmers,
+    "op2_mixing": op2_mixing,
     "op3_katz": op3_katz,
     "op4_language": op4_language,
     "op5_quality": op5_quality,
+    "op6_chats": op6_chats,
     "op8_packing": op8_packing,
     "op9_substrings": op9_substrings,
     "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op6_chats": chats.SQL}
