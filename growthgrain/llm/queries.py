@@ -1,11 +1,13 @@
 """The operators over the sample tables, as registered queries."""
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthgrain.llm import chats, katz, language, mixing, packing, quality, simhash, substrings, syncmers
+from growthgrain.llm import chats, katz, language, mixing, packing, quality, simhash, substrings, syncmers, warc
+from growthgrain.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +48,12 @@ def op6_chats(spark: SparkSession, folder: str) -> DataFrame:
     return chats.collapse(_table(spark, folder, "conversations"))
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = f"{shared_folder(spark)}/warc-{uuid4().hex}"
+    warc.write_archives(_table(spark, folder, "pages"), archives)
+    return warc.read_archives(spark, archives).drop("url")
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), with_ids=False)
 
@@ -69,9 +77,10 @@ QUERIES: dict[str, Query] = {
     "op4_language": op4_language,
     "op5_quality": op5_quality,
     "op6_chats": op6_chats,
+    "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_substrings": op9_substrings,
     "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op6_chats": chats.SQL}
+SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op6_chats": chats.SQL, "op7_warc": warc.SQL}
