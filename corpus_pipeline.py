@@ -9,7 +9,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from growthgrain.llm import packing, quality, simhash
+from growthgrain.llm import mixing, packing, quality, simhash, substrings
 from growthgrain.session import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,6 +25,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_first(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Word sequences that an earlier document has go from the later ones."""
+    return substrings.without_repeats(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their sources' targets ask for."""
+    return mixing.repeat_documents(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences, one row for each piece of a document in one."""
     return packing.pack_documents(docs)
@@ -33,6 +43,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("source_mix", source_mix),
     ("pack", pack),
 ]
 

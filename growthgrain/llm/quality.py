@@ -153,3 +153,57 @@ def judged(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their columns as they were."""
     return judged(docs).where("kept").select("row.*")
+
+
+def _sql() -> str:
+    """The same verdict in SQL, n-grams compared by their words."""
+    parts, joins, shares = [], [], ["100 * dup_line_chars <= 20 * word_chars"]
+    for n, limit in LIMITS.items():
+        parts.append(f"""
+g{n} AS (
+  SELECT doc_id, i, count(*) OVER grams AS times, row_number() OVER (grams ORDER BY i) AS nth
+  FROM (SELECT doc_id, i, md5(array_to_string(words[i:i + {n - 1}], ' ')) AS gram
+    FROM d, unnest(range(1, len(words) - {n - 2})) AS t(i))
+  WINDOW grams AS (PARTITION BY doc_id, gram)
+), c{n} AS (
+  SELECT doc_id, sum(chars) AS dup_{n}gram_chars FROM w SEMI JOIN (
+    SELECT doc_id, unnest(range(i, i + {n})) AS i FROM g{n} WHERE nth > 1) AS late USING (doc_id, i)
+  GROUP BY doc_id
+)""")
+        joins.append(f"LEFT JOIN c{n} USING (doc_id)")
+        shares.append(f"100 * dup_{n}gram_chars <= {limit} * word_chars")
+    zero = [f"coalesce(dup_{n}gram_chars, 0)::BIGINT AS dup_{n}gram_chars" for n in LIMITS]
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, i, length(words[i]) AS chars FROM d, unnest(range(1, len(words) + 1)) AS t(i)
+), l AS (
+  SELECT doc_id, list_sum(list_transform(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'),
+      lambda x: length(x))) AS chars,
+    row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+), dl AS (
+  SELECT doc_id, count(*) AS n_dup_lines, sum(chars) AS dup_line_chars FROM l WHERE nth > 1
+  GROUP BY doc_id
+), {",".join(parts)}, r AS (
+  SELECT doc_id, count(DISTINCT j) AS n_repeat_words
+  FROM g5, unnest(range(i, i + 5)) AS t(j) WHERE times > 1 GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(words) AS n_words,
+    coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars, {", ".join(zero)}
+  FROM d LEFT JOIN dl USING (doc_id) LEFT JOIN r USING (doc_id) {" ".join(joins)}
+), b AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_LIMIT} * n_words AS base_failed FROM m
+)
+SELECT *, NOT base_failed AND {" AND ".join(shares)} AS kept FROM b
+"""
+
+
+SQL = _sql()

@@ -83,4 +83,10 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op6_chats": chats.SQL, "op7_warc": warc.SQL}
+SQL: dict[str, str] = {
+    "op2_mixing": mixing.SQL,
+    "op5_quality": quality.SQL,
+    "op6_chats": chats.SQL,
+    "op7_warc": warc.SQL,
+    "op9_substrings": substrings.SQL,
+}

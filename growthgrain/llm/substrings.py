@@ -162,3 +162,26 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         length = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(columns["n_chars"])
         columns["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
     return found.select(*[column.alias(c) for c, column in columns.items()])
+
+
+SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS words
+  FROM d, unnest(range(1, len(words) - 48)) AS t(i)
+), least AS (
+  SELECT words, min(doc_id) AS first_doc FROM windows GROUP BY words
+), gone AS (
+  SELECT DISTINCT doc_id, j FROM windows JOIN least USING (words), unnest(range(i, i + 50)) AS t(j)
+  WHERE first_doc < doc_id
+), all_words AS (
+  SELECT doc_id, j, words[j] AS word FROM d, unnest(range(1, len(words) + 1)) AS t(j)
+), kept AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY j) AS text
+  FROM all_words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n_kept, 0) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
