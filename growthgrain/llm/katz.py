@@ -33,6 +33,8 @@ from growthgrain.llm.words import (
 TRUSTED = 5
 END = np.uint64(0xE5D0)
 BEGIN = np.uint64(0xBE61)
+#: A history is hot if it occurs this often and fills half an average bucket besides.
+OFTEN = 1000
 NOT_TRAINING = 1
 FOLDS = 5
 
@@ -161,7 +163,7 @@ class Reader:
         below = self.levels[-1]
         counts = np.roll(below.counts[below.back], 1)
         counts[self.tokens.first[:-1]] = np.iinfo(np.int64).max  # the beginning of a text
-        return Level(self.tokens, level, counts, self.totals[1][0] / (2 * self.n_buckets) + 1000)
+        return Level(self.tokens, level, counts, self.totals[1][0] / (2 * self.n_buckets) + OFTEN)
 
     def _hear(self, found: Level, told: list[dict]) -> None:
         parts, n = dict(_parts(found.keys, self.n_buckets)), self.n_buckets

@@ -193,7 +193,7 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     Documents stay whole: one that the mix cuts is in if half of it or more is.
     """
     mixed = mix(docs, docs.columns, **options).where("taken > 0")
-    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    times = F.floor(F.try_divide("taken", "size") + 0.5).cast("int")
     copies = F.explode(F.array_repeat(F.lit(True), times)).alias("copy")
     return mixed.select("row", copies).select("row.*")
 

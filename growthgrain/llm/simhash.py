@@ -43,19 +43,22 @@ def fingerprint(text: bytes | None, width: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """(``doc_id``, ``fp``) of every row; a text without words has fingerprint zero."""
+def fingerprints(docs: DataFrame, width: int, keep: list[str]) -> DataFrame:
+    """``row`` (the columns ``keep``) and ``fp`` of every row; a text without words has
+    fingerprint zero."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             found = [fingerprint(t.as_py(), width) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"]
+                [batch.column("row"), pa.array(found, pa.int64())], names=["row", "fp"]
             )
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint"
-    return docs.select(docs.doc_id, docs.text).mapInArrow(read, schema)
+    row = F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row")
+    given = docs.select(row, docs.text)
+    schema = f"row {given.schema['row'].dataType.simpleString()}, fp bigint"
+    return given.mapInArrow(read, schema)
 
 
 def _segments(n: int) -> list[tuple[int, int]]:
@@ -133,18 +136,19 @@ def _ring(prints: DataFrame, distance: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """(``doc_id``, ``fp``, ``component_id``) of every row of ``docs``.
-
-    Fingerprints at most ``distance`` bits apart are linked, and ``component_id`` is the
-    smallest ``doc_id`` that links reach. Equal fingerprints share one node, so copies are
-    never paired. Null ``doc_id`` rows join groups but never name one, unless a group has
-    no other rows: then its ``component_id`` is null. Repeated rows, empty tables and
-    further columns change nothing.
+    """(``doc_id``, ``fp``, ``group``, ``component_id``) of every row of ``docs``.
+
+    Fingerprints at most ``distance`` bits apart are linked, ``group`` names those that
+    links connect, and ``component_id`` is the smallest ``doc_id`` among their rows.
+    Equal fingerprints share one node, so copies are never paired. Null ``doc_id`` rows
+    join groups but never name one, unless a group has no other rows: then its
+    ``component_id`` is null. Repeated rows, empty tables and further columns change
+    nothing.
     """
     if not 2 <= distance <= 12:
         raise ValueError("distance must be 2 to 12 bits")
     shared_folder(docs.sparkSession)
-    found = fingerprints(docs, width).checkpoint()
+    found = fingerprints(docs, width, ["doc_id"]).select("row.doc_id", "fp").checkpoint()
     prints = found.groupBy("fp").agg(F.min("doc_id").alias("least_id")).checkpoint()
     near = components(_close(prints))
     prints = (
@@ -154,27 +158,32 @@ def groups(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     )
     wider = components(_ring(prints, distance))
     named = prints.join(
-        wider.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left"
-    ).withColumn("top", F.coalesce("top", "root"))
-    least = named.groupBy("top").agg(F.min("least_id").alias("component_id"))
-    return found.join(named.join(least, "top").select("fp", "component_id"), "fp")
+        wider.select(F.col("node").alias("root"), F.col("root").alias("group")), "root", "left"
+    ).withColumn("group", F.coalesce("group", "root"))
+    least = named.groupBy("group").agg(F.min("least_id").alias("component_id"))
+    return found.join(named.join(least, "group").select("fp", "group", "component_id"), "fp")
 
 
 def keep_first(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """The documents whose ``doc_id`` names their group, with their columns as they were.
 
-    Of rows with the same ``doc_id`` one stays, and one row of a group without any id.
+    Of rows with the same ``doc_id`` one stays, and one row of each group without any id.
     """
-    found = groups(docs, width, distance)
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    named = found.where(same).groupBy("doc_id").agg(F.count("*").alias("n")).checkpoint()
-    kept = docs.join(
-        named.select(F.col("doc_id").alias("kept_id")),
-        docs.doc_id.eqNullSafe(F.col("kept_id")),
-        "left_semi",
-    )
-    if named.where("n > 1").isEmpty():
-        return kept
-    order = [c for c in docs.columns if c != "doc_id"]
-    first = F.min_by(F.struct(*docs.columns), F.xxhash64(*order))
-    return kept.groupBy(docs.doc_id.alias("kept_id")).agg(first.alias("row")).select("row.*")
+    found = groups(docs, width, distance).checkpoint()
+    names = [f"`{c}`" for c in docs.columns]
+    any_first = F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row")
+    id_name = "kept_id"
+    while id_name in docs.columns:
+        id_name += "_"
+    named = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_name))
+    named = named.agg(F.count("*").alias("n")).checkpoint()
+    kept = docs.join(named, docs.doc_id == named[id_name], "left_semi")
+    if not named.where("n > 1").isEmpty():
+        kept = kept.groupBy(docs.doc_id.alias(id_name)).agg(any_first).select("row.*")
+    nameless = found.where("component_id is null").select("fp", "group").distinct()
+    if not nameless.isEmpty():
+        prints = fingerprints(docs.where(docs.doc_id.isNull()), width, docs.columns)
+        first = F.min_by("row", F.xxhash64("row"))
+        firsts = prints.join(nameless, "fp").groupBy("group").agg(first.alias("row"))
+        kept = kept.unionByName(firsts.select("row.*"))
+    return kept
