@@ -25,9 +25,10 @@ profiles AS (
   LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_activity_time
              FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey),
 payments AS (
-  SELECT CAST(o_custkey AS VARCHAR) AS profile_id, CAST(o_orderdate AS DATE) AS reported_date,
+  SELECT CAST(o_custkey - o_custkey % 2 AS VARCHAR) AS profile_id,
+         CAST(o_orderdate AS DATE) AS reported_date,
          o_totalprice AS gross_bookings_usd
-  FROM orders WHERE o_orderstatus = 'P'),
+  FROM orders),
 activity AS (
   SELECT CAST(o_custkey AS VARCHAR) AS profile_id, CAST(l_shipdate AS DATE) AS activity_date
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
@@ -44,7 +45,7 @@ profiles AS (
          nullif(n_name, 'NATION_7') AS signup_country_code,
          CASE WHEN year(o_orderdate) < 1998 THEN 'iOS' ELSE 'Android' END AS signup_platform,
          o_orderdate AS first_activity_time
-  FROM customer_orders WHERE o_orderstatus = 'F'),
+  FROM customer_orders WHERE o_custkey % 7 <> 0),
 payments AS (
   SELECT profile_id, CAST(o_orderdate AS DATE) AS reported_date,
          nullif(o_totalprice, round(o_totalprice, 0)) AS gross_bookings_usd
@@ -128,8 +129,8 @@ channel_efficiency AS (
   SELECT *, CAST(0 AS DOUBLE) AS rpi_std, revenue_per_install_usd AS rpi_min,
          revenue_per_install_usd AS rpi_max FROM channel_totals),
 channel_efficiency_per_country AS (
-  SELECT c.*, round(sqrt(sum(s.installs * (s.revenue_per_install_usd - c.revenue_per_install_usd) ** 2)
-                    / sum(s.installs)), 6) AS rpi_std,
+  SELECT c.*, sqrt(sum(s.installs * (s.revenue_per_install_usd - c.revenue_per_install_usd) ** 2)
+                    / sum(s.installs)) AS rpi_std,
          min(s.revenue_per_install_usd) AS rpi_min, max(s.revenue_per_install_usd) AS rpi_max
   FROM channel_totals c JOIN segment_rpi s ON {_same("c", "s", "acquisition_source")}
   GROUP BY ALL),
@@ -374,7 +375,6 @@ STEPS = [
 ]
 
 OTHERS = {
-    "profile_conflicts": "SELECT * FROM profile_dim WHERE n_acquisition_source > 1 OR n_country > 1",
     "profile_conflicts_detected": f"""
       SELECT d.*, c.n_acquisition_source, c.n_country
       FROM (SELECT * EXCLUDE (n_acquisition_source, n_country) FROM profile_dim) d
@@ -406,9 +406,6 @@ OTHERS = {
     "feed_ltv_vs_installs": """
       SELECT acquisition_source, installs, log10(installs) AS log10_installs, ltv_90_usd
       FROM ltv_90""",
-    "feed_channel_value_vs_scale": """
-      SELECT acquisition_source, installs, log10(installs) AS log10_installs, ltv_90_usd
-      FROM ltv_90""",
 }
 
 SUBSCRIPTIONS = """
@@ -439,15 +436,11 @@ ON_SUBSCRIPTIONS = {
       FROM subscriptions GROUP BY ALL ORDER BY total DESC, subscription_type LIMIT 1""",
     "months_tracked": "SELECT count(DISTINCT date) AS months_tracked FROM subscriptions",
     "subscription_trend": """
-      SELECT date, subscription_type, active_subscriptions FROM subscriptions
-      WHERE date >= DATE '1995-01-01' AND date <= DATE '2001-08-01'""",
+      SELECT date, subscription_type, active_subscriptions FROM subscriptions""",
     "subscription_trend_one_type": """
       SELECT date, subscription_type, active_subscriptions FROM subscriptions
       WHERE subscription_type = '1-URGENT'
         AND date >= DATE '1997-03-01' AND date <= DATE '1998-06-01'""",
-    "subscription_trend_reversed": """
-      SELECT date, subscription_type, active_subscriptions FROM subscriptions
-      WHERE date >= DATE '1998-06-01' AND date <= DATE '1997-03-01'""",
     "net_change_by_year": "SELECT * FROM net_change_by_year",
     "net_change_pivot": """
       SELECT year, max(net_change) FILTER (subscription_type = '1-URGENT') AS "1-URGENT",

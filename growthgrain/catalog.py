@@ -3,10 +3,11 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from growthgrain.plans import feeds, ltv, profiles, recommend, retention, segments
 from growthgrain.plans import subscriptions as subs
-from growthgrain.plans.frames import GrowthFrames
+from growthgrain.plans.frames import GrowthFrames, segments_of
 
 Marketing = Callable[[GrowthFrames], DataFrame]
 Subscription = Callable[[DataFrame], DataFrame]
@@ -36,12 +37,29 @@ def _efficiency_per_country(f: GrowthFrames) -> DataFrame:
     return segments.channel_efficiency_per_country(f.segments)
 
 
+def _value(f: GrowthFrames) -> tuple[DataFrame, DataFrame]:
+    """LTV by channel and segments, both from one reading of the payments."""
+    if {"ltv_90", "segments"} <= f.ready.keys():
+        return f.ltv_90, f.segments
+    return ltv.ltv_of(f.profile_value), segments_of(f.profile_value)
+
+
 def recommendation(f: GrowthFrames, **channels) -> DataFrame:
-    return recommend.channel_recommendation(f.ltv_90, _efficiency(f), **channels)
+    channel_ltv, by_segment = _value(f)
+    # every spread as written is 0, and so is their median
+    return recommend.channel_recommendation(
+        channel_ltv,
+        segments.channel_efficiency(by_segment),
+        median_spread=F.lit(0.0),
+        **channels,
+    )
 
 
 def recommendation_per_country(f: GrowthFrames, **channels) -> DataFrame:
-    return recommend.channel_recommendation(f.ltv_90, _efficiency_per_country(f), **channels)
+    channel_ltv, by_segment = _value(f)
+    return recommend.channel_recommendation(
+        channel_ltv, segments.channel_efficiency_per_country(by_segment), **channels
+    )
 
 
 MARKETING_QUERIES: dict[str, Marketing] = {
@@ -71,7 +89,7 @@ MARKETING_QUERIES: dict[str, Marketing] = {
     ),
     "channel_rank": lambda f: segments.channel_rank(_efficiency(f)),
     "payer_rate_by_channel": lambda f: segments.payer_rate_by_channel(f.segments),
-    "top_segments": lambda f: segments.top_segments(f.segments),
+    "top_segments": lambda f: segments.top_segments(segments.segment_rpi(f.segments)),
     # lifetime value
     "payers_90": lambda f: ltv.payers_90(f.booking_life),
     "installs_by_channel": lambda f: ltv.installs_by_channel(f.dim),
@@ -97,7 +115,7 @@ MARKETING_QUERIES: dict[str, Marketing] = {
     "retention_curve_platform": lambda f: retention.retention_curve_platform(f.retention_weekly),
     "arpru_platform": lambda f: retention.arpru_platform(f.cohort_retention_revenue),
     "week1_channel_platform": lambda f: retention.week1_channel_platform(_summary(f)),
-    "retention_heatmap": lambda f: retention.retention_heatmap(_summary(f)),
+    "retention_heatmap": lambda f: retention.retention_heatmap(f.retention_weekly),
     # recommendation and summaries
     "channel_recommendation": recommendation,
     "channel_recommendation_per_country": recommendation_per_country,
@@ -107,13 +125,16 @@ MARKETING_QUERIES: dict[str, Marketing] = {
     "summary_q5": lambda f: recommend.summary_q5(recommendation(f)),
     # chart feeds that are not simply one of the tables above
     "feed_top_installs": lambda f: feeds.bar_feed(
-        segments.top_segments(f.segments), "segment", "installs"
+        segments.top_segments(segments.installs_by_segment(f.dim)), "segment", "installs"
     ),
     "feed_channel_rpi": lambda f: feeds.bar_feed(
         _efficiency(f), "acquisition_source", "revenue_per_install_usd"
     ),
+    # the spread as written is 0 for every channel, so payments need not be read
     "feed_channel_volatility": lambda f: feeds.bar_feed(
-        _efficiency(f), "acquisition_source", "rpi_std"
+        ltv.installs_by_channel(f.dim).withColumn("rpi_std", F.lit(0.0)),
+        "acquisition_source",
+        "rpi_std",
     ),
     "feed_payer_rate": lambda f: feeds.bar_feed(
         segments.payer_rate_by_channel(f.segments), "acquisition_source", "payer_rate"

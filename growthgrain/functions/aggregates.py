@@ -9,11 +9,6 @@ def sum_or_zero(value: Column) -> Column:
     return F.coalesce(F.sum(value), F.lit(0))
 
 
-def count_distinct_with_null(value: Column) -> Column:
-    """Distinct count in which NULL counts as one value."""
-    return F.count_distinct(F.struct(value))
-
-
 def pearson(x: Column, y: Column) -> Column:
     """Pearson correlation over rows where both are present; NULL if undefined.
 

@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MICROS_PER_USD = 1_000_000
+# Amounts up to 1e20 USD with nine decimals; their sums hold up to 1e29 USD.
+MONEY = "decimal(29,9)"
 LAST_LIFECYCLE_WEEK = 12
 LAST_LIFECYCLE_DAY = 7 * LAST_LIFECYCLE_WEEK + 6  # 90, also the end of the LTV window
 
@@ -14,20 +15,20 @@ def safe_ratio(numerator: Column, denominator: Column, default: float | None = 0
     return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(default).cast("double"))
 
 
-def micro_usd(amount: Column) -> Column:
-    """Money as whole micro-dollars; NULL and NaN are both missing.
+def money(amount: Column) -> Column:
+    """Money as an exact decimal; NULL and NaN are both missing.
 
-    Whole numbers add up to the same total in any order, so totals do not change
-    with the number of partitions or after a task is rerun, and comparing a row
-    with a median of the same rows is safe. ANSI mode raises on overflow.
+    An amount is taken as it prints and kept to nine decimals. Decimals add up to the
+    same total in any order, so totals do not change with the number of partitions or
+    after a task is rerun, and comparing a row with a median of the same rows is safe.
     """
     dollars = amount.cast("double")
-    return F.rint(F.when(~F.isnan(dollars), dollars) * MICROS_PER_USD).cast("bigint")
+    return F.when(~F.isnan(dollars), dollars).cast(MONEY)
 
 
-def usd(micros: Column) -> Column:
-    """Dollars from a sum of micro-dollars; the sum of nothing is 0."""
-    return F.coalesce(micros, F.lit(0)) / F.lit(float(MICROS_PER_USD))
+def usd(total: Column) -> Column:
+    """Dollars from a sum of money: the double nearest to it, 0 for the sum of nothing."""
+    return F.coalesce(total.cast("double"), F.lit(0.0))
 
 
 def utc_day(df: DataFrame, name: str) -> Column:

@@ -3,11 +3,12 @@
     job.py marketing --profiles P --payments P --activity P --out FOLDER
     job.py subscriptions --subscriptions P --out FOLDER
 
-Inputs are Parquet, or CSV where the path ends in ``.csv``.
+Inputs are Parquet, or CSV where the path ends in ``.csv``; ``--input-format`` names one.
 """
 
 import argparse
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import SparkSession
 
@@ -15,6 +16,7 @@ from growthgrain import schemas
 from growthgrain.catalog import SUBSCRIPTION_QUERIES
 from growthgrain.plans.frames import GrowthFrames
 from growthgrain.plans.report import write_report
+from growthgrain.plans.subscriptions import ALL_TYPES, subscription_trend
 from growthgrain.session import configure
 from growthgrain.sources.tables import read_optional_csv, read_table, write_csv, write_parquet
 
@@ -24,23 +26,40 @@ EXPERIMENT_RESULTS = "q4_experiment_results_filled.csv"
 
 def marketing(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     frames = GrowthFrames(
-        read_table(spark, args.profiles, schemas.PROFILES),
-        read_table(spark, args.payments, schemas.PAYMENTS),
-        read_table(spark, args.activity, schemas.ACTIVITY),
+        read_table(spark, args.profiles, schemas.PROFILES, args.input_format),
+        read_table(spark, args.payments, schemas.PAYMENTS, args.input_format),
+        read_table(spark, args.activity, schemas.ACTIVITY, args.input_format),
     )
+    channels = {"scale": args.scale, "trim": args.trim}
     results = args.experiment or f"{args.out}/{EXPERIMENT_RESULTS}"
     experiment = read_optional_csv(spark, results, schemas.EXPERIMENT_RESULTS)
-    return write_report(frames, args.out, experiment, as_csv=args.format == "csv")
+    return write_report(
+        frames,
+        args.out,
+        experiment,
+        as_csv=args.format == "csv",
+        channels={k: v for k, v in channels.items() if v is not None},
+    )
 
 
 def subscriptions(spark: SparkSession, args: argparse.Namespace) -> list[str]:
-    table = read_table(spark, args.subscriptions, schemas.SUBSCRIPTIONS)
+    table = read_table(spark, args.subscriptions, schemas.SUBSCRIPTIONS, args.input_format)
     write = write_csv if args.format == "csv" else write_parquet
-    for name, query in SUBSCRIPTION_QUERIES.items():
+    trend = partial(
+        subscription_trend, subscription_type=args.type, start=args.start, end=args.end
+    )
+    for name, query in (SUBSCRIPTION_QUERIES | {"subscription_trend": trend}).items():
         write(query(table), f"{args.out}/{name}")
     return list(SUBSCRIPTION_QUERIES)
 
 
+def _month(text: str) -> tuple[int, int]:
+    year, month = map(int, text.split("-"))
+    if not 1 <= month <= 12:
+        raise ValueError(text)
+    return year, month
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(description="Growth and subscription reports")
     reports = top.add_subparsers(required=True)
@@ -49,10 +68,16 @@ def parser() -> argparse.ArgumentParser:
     for table in ("profiles", "payments", "activity"):
         growth.add_argument(f"--{table}", required=True)
     growth.add_argument("--experiment", help="CSV of experiment results; skipped if absent")
+    growth.add_argument("--scale", nargs="*", help="channels to recommend for growth")
+    growth.add_argument("--trim", nargs="*", help="channels to recommend for trimming")
     monthly = reports.add_parser("subscriptions")
     monthly.set_defaults(run=subscriptions)
     monthly.add_argument("--subscriptions", required=True)
+    monthly.add_argument("--type", default=ALL_TYPES, help="type of the trend, all by default")
+    monthly.add_argument("--start", type=_month, help="first month of the trend, YYYY-MM")
+    monthly.add_argument("--end", type=_month, help="last month of the trend, YYYY-MM")
     for report in (growth, monthly):
+        report.add_argument("--input-format", choices=["csv", "parquet"])
         report.add_argument("--out", required=True)
         report.add_argument("--format", choices=["csv", "parquet"], default="csv")
     return top

@@ -43,6 +43,23 @@ def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > 1)
 
 
+def one_row_per(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df``, failing when it runs if two rows share ``keys``.
+
+    The check is a grouping on the keys, so it moves no rows of a table that is
+    partitioned or bucketed by one of them.
+    """
+    others = [c for c in df.columns if c not in keys]
+    message = F.concat(F.lit("more than one row for "), F.to_json(F.struct(*keys)))
+    one = F.when(F.col("_rows") == 1, F.col("_row")).otherwise(F.raise_error(message))
+    return (
+        df.groupBy(*keys)
+        .agg(F.any_value(F.struct(*others)).alias("_row"), F.count("*").alias("_rows"))
+        .withColumn("_row", one)
+        .select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+    )
+
+
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """Return ``df`` if no two rows share ``keys``, else raise. Runs a job."""
     offending = key_violations(df, keys).take(1)

@@ -25,10 +25,58 @@ def top_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def position(order: list[Column]) -> Column:
-    """Position of each row in ``order``, from 1.
+# Ranges of values per doubling.
+STEPS = 16
+ABOVE_ALL_LOGS = 40_000
 
-    Ranks a whole table in one task; use it only on tables with one row per
-    acquisition channel.
+
+def _range_of(value: Column) -> Column:
+    """A whole number that rises with the value: 16 steps per doubling, on either side of 0."""
+    value = value.cast("double")
+
+    def step(size: Column) -> Column:
+        return (F.floor(F.log2(size) * STEPS) + ABOVE_ALL_LOGS).cast("int")
+
+    return F.when(value > 0, step(value)).when(value < 0, -step(-value)).otherwise(0)
+
+
+def ranked(df: DataFrame, value: str, ties: list[str], name: str) -> DataFrame:
+    """``df`` with the position of each row, from 1, by ``value`` and ``ties``.
+
+    The largest value comes first, missing ones last. Rows are numbered within narrow
+    ranges of the value, and the sizes of the ranges above are added; so no task sorts
+    more than one range.
     """
-    return F.row_number().over(Window.orderBy(*order))
+    missing = F.col(value).isNull()
+    placed = df.withColumn("_range", F.when(~missing, -_range_of(F.col(value))))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("n"))
+    order = F.array_sort(F.collect_list(F.struct(F.col("_range").isNull(), "_range", "n")))
+    start = F.struct(
+        F.lit(0).cast("bigint").alias("rows"), F.array().cast("array<bigint>").alias("before")
+    )
+    before = F.aggregate(
+        "sizes",
+        start,
+        lambda done, r: F.struct(
+            (done["rows"] + r["n"]).alias("rows"),
+            F.array_append(done["before"], done["rows"]).alias("before"),
+        ),
+        lambda done: done["before"],
+    )
+    keys = F.transform("sizes", lambda r: F.coalesce(r["_range"], F.lit(ABOVE_ALL_LOGS)))
+    offsets = sizes.agg(order.alias("sizes")).select(F.map_from_arrays(keys, before)).scalar()
+    place = F.element_at(offsets, F.coalesce("_range", F.lit(ABOVE_ALL_LOGS)))
+    inside = Window.partitionBy("_range").orderBy(*largest_first(value, *ties))
+    return placed.withColumn(name, (place + F.row_number().over(inside)).cast("int")).drop("_range")
+
+
+# Exact quantiles hold every value of a table in one task, so they are for tables with
+# a row per channel or per channel and country; a larger one is refused.
+MOST_VALUES = 5_000_000
+
+
+def quantile(value: str, share: float) -> Column:
+    """Exact quantile of a column, interpolated between neighbours."""
+    message = F.lit(f"more than {MOST_VALUES} values of {value}")
+    few = F.count(value) <= MOST_VALUES
+    return F.when(few, F.percentile(value, share)).otherwise(F.raise_error(message))

@@ -7,22 +7,18 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from growthgrain.session import shared_folder
-
 
 def ols_fit_predict(df: DataFrame, label: str, features: list[str], output: str) -> DataFrame:
     """Fit ``label ~ features`` with an intercept and score the same rows.
 
     Rows with a missing value are left out of the fit; rows with a missing feature
-    get no prediction. Fitting runs a job, so the input is checkpointed first: the
-    scoring then reads it back instead of recomputing everything behind it.
+    get no prediction. Fitting runs a job over the input; scoring is an expression on
+    the same input with the fitted numbers, and nothing is stored in between.
     """
-    shared_folder(df.sparkSession)
-    rows = df.checkpoint()
     has_features = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in features])
     assembled = VectorAssembler(
         inputCols=features, outputCol="_features", handleInvalid="keep"
-    ).transform(rows)
+    ).transform(df)
     model = LinearRegression(
         featuresCol="_features",
         labelCol=label,
@@ -31,8 +27,7 @@ def ols_fit_predict(df: DataFrame, label: str, features: list[str], output: str)
         regParam=0.0,
         standardization=False,
     ).fit(assembled.where(has_features & F.col(label).isNotNull()))
-    return (
-        model.transform(assembled)
-        .withColumn(output, F.when(has_features, F.col("_fitted")))
-        .select(*df.columns, output)
-    )
+    fitted = F.lit(float(model.intercept))
+    for column, weight in zip(features, model.coefficients, strict=True):
+        fitted = fitted + F.col(column) * float(weight)
+    return df.withColumn(output, F.when(has_features, fitted))

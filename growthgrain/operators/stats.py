@@ -1,10 +1,11 @@
 """Statistics over small derived tables."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from growthgrain.functions.aggregates import sum_or_zero
-from growthgrain.operators.keys import null_safe_left
 
 
 def scalars(one_row: DataFrame) -> dict[str, Column]:
@@ -12,28 +13,47 @@ def scalars(one_row: DataFrame) -> dict[str, Column]:
     return {name: one_row.select(name).scalar() for name in one_row.columns}
 
 
-def weighted_sd(df: DataFrame, keys: list[str], value: str, weight: str, name: str) -> DataFrame:
+def weighted_sd(
+    df: DataFrame, keys: list[str], value: str, weight: str, name: str, **more: Column
+) -> DataFrame:
     """Weighted population standard deviation of ``value`` per ``keys``.
 
+    ``more`` are further aggregates to take in the same grouping.
     0 where the weights add up to 0. Rows without a value drop out of both means;
     a row with a value but no weight makes the result NULL. The deviations are
     taken from the mean in a second pass, which avoids the cancellation of the
-    one-pass formula. Both passes combine on the map side.
+    one-pass formula. Both passes add in the order of the values, so the result is
+    the same to the last bit in every run; for that a group is held in one array,
+    which suits groups like the countries of a channel.
     """
-    x, w = F.col(value), F.col(weight)
+    x, w = F.col(value).cast("double"), F.col(weight)
     present = x.isNotNull()
-    means = (
-        df.where(present).groupBy(*keys).agg(F.try_divide(F.sum(x * w), F.sum(w)).alias("_mean"))
+    pairs = F.array_sort(
+        F.collect_list(F.when(present, F.struct(x.alias("x"), w.cast("double").alias("w"))))
     )
-    deviation = F.pow(x - F.col("_mean"), F.lit(2.0))
-    spread = F.sqrt(F.try_divide(F.sum(F.when(present, w * deviation)), F.sum(F.when(present, w))))
+
+    def total(term: Callable[[Column], Column]) -> Column:
+        return F.aggregate("_pairs", F.lit(0.0), lambda sum_, p: sum_ + term(p))
+
     return (
-        null_safe_left(df, means, keys)
-        .groupBy(*keys)
+        df.groupBy(*keys)
         .agg(
-            F.when(sum_or_zero(w) == 0, F.lit(0.0))
-            .when(F.count_if(present & w.isNull()) > 0, F.lit(None))
-            .otherwise(spread)
-            .alias(name)
+            pairs.alias("_pairs"),
+            sum_or_zero(w).alias("_weight"),
+            F.count_if(present & w.isNull()).alias("_unweighted"),
+            *[column.alias(c) for c, column in more.items()],
+        )
+        .withColumn("_all", total(lambda p: p["w"]))
+        .withColumn("_mean", F.try_divide(total(lambda p: p["x"] * p["w"]), F.col("_all")))
+        .withColumn(
+            "_square", total(lambda p: p["w"] * (p["x"] - F.col("_mean")) * (p["x"] - F.col("_mean")))
+        )
+        .select(
+            *keys,
+            F.when(F.col("_weight") == 0, F.lit(0.0))
+            .when(F.col("_unweighted") > 0, F.lit(None))
+            .otherwise(F.sqrt(F.try_divide("_square", "_all")))
+            .alias(name),
+            *more,
         )
     )

@@ -16,12 +16,12 @@ from growthgrain.functions.columns import (
     cohort_week,
     day_offset,
     lifecycle_week,
-    micro_usd,
+    money,
     utc_day,
 )
 from growthgrain.functions.daybits import STRETCH, bit_of, days_between, first_day, stretch_of
 from growthgrain.operators.dedup import first_row_by
-from growthgrain.operators.keys import KEY, with_key
+from growthgrain.operators.keys import KEY, one_row_per, with_key
 from growthgrain.plans import ltv, retention
 
 PROFILE_COLUMNS = [
@@ -31,21 +31,35 @@ PROFILE_COLUMNS = [
     "first_activity_time",
 ]
 
+# Derived frames with one row per key.
+UNIQUE = {
+    "dim": [KEY],
+    "booking_days": [KEY, "reported_date"],
+    "activity_stretches": [KEY, "stretch"],
+}
 
-def canonical_profiles(profiles: DataFrame, **extra: Column) -> DataFrame:
+
+def canonical_profiles(profiles: DataFrame, values: bool = False) -> DataFrame:
     """One row per profile: its first row by source, country, platform and time.
 
-    ``extra`` are further aggregates over all rows of the profile.
+    With ``values``, also how many different sources and countries its rows have; rows
+    are then first reduced to one per profile, source and country.
     """
+    keyed = with_key(profiles)
+    first, rows, found = first_row_by(PROFILE_COLUMNS), F.count("*"), {}
+    if values:
+        counted = {"n_acquisition_source": "acquisition_source", "n_country": "signup_country_code"}
+        keyed = keyed.groupBy(KEY, *counted.values()).agg(first.alias("first"), rows.alias("rows"))
+        first, rows = F.min("first"), F.sum("rows")
+        found = {n: F.size(F.collect_set(F.struct(c))).cast("bigint") for n, c in counted.items()}
     return (
-        with_key(profiles)
-        .groupBy(KEY)
+        keyed.groupBy(KEY)
         .agg(
-            first_row_by(PROFILE_COLUMNS).alias("first"),
-            F.count("*").alias("n_profile_rows"),
-            *[value.alias(name) for name, value in extra.items()],
+            first.alias("first"),
+            rows.alias("n_profile_rows"),
+            *[value.alias(name) for name, value in found.items()],
         )
-        .select(KEY, *[f"first.{c}" for c in PROFILE_COLUMNS], "n_profile_rows", *extra)
+        .select(KEY, *[f"first.{c}" for c in PROFILE_COLUMNS], "n_profile_rows", *found)
         .transform(
             lambda d: d.withColumn("first_activity_date", utc_day(d, "first_activity_time"))
         )
@@ -53,18 +67,18 @@ def canonical_profiles(profiles: DataFrame, **extra: Column) -> DataFrame:
 
 
 def keyed_bookings(payments: DataFrame) -> DataFrame:
-    """Payments as (pk, day, micro-dollars), still one row per payment."""
+    """Payments as (pk, day, exact money), still one row per payment."""
     return with_key(payments).select(
         KEY,
         utc_day(payments, "reported_date").alias("reported_date"),
-        micro_usd(F.col("gross_bookings_usd")).alias("bookings_micro"),
+        money(F.col("gross_bookings_usd")).alias("bookings"),
     )
 
 
 def bookings_per_day(bookings: DataFrame) -> DataFrame:
     """One row per profile and payment day; undated payments are kept as one more day."""
     return bookings.groupBy(KEY, "reported_date").agg(
-        F.sum("bookings_micro").alias("bookings_micro")
+        F.sum("bookings").alias("bookings")
     )
 
 
@@ -106,7 +120,7 @@ def bookings_in_life(booking_days: DataFrame, dim: DataFrame) -> DataFrame:
             "signup_platform",
             "day",
             lifecycle_week(F.col("day")).alias("week_since_install"),
-            "bookings_micro",
+            "bookings",
         )
     )
 
@@ -132,20 +146,41 @@ def segment_facts(dim: DataFrame, bookings: DataFrame) -> DataFrame:
     do profiles that have neither source nor country.
     """
     paid = bookings.groupBy(F.col(KEY).alias("paid_key")).agg(
-        F.sum("bookings_micro").alias("bookings_micro")
+        F.sum("bookings").alias("bookings")
     )
-    installed, has_paid = F.col(KEY).isNotNull(), F.col("paid_key").isNotNull()
-    return (
-        dim.select(KEY, "acquisition_source", "signup_country_code")
-        .join(paid, F.col(KEY) == F.col("paid_key"), "full")
-        .groupBy("acquisition_source", "signup_country_code")
+    profiles = dim.select(KEY, "acquisition_source", "signup_country_code")
+    return segments_of(profiles.join(paid, F.col(KEY) == F.col("paid_key"), "full"))
+
+
+def profile_value(dim: DataFrame, booking_days: DataFrame) -> DataFrame:
+    """All revenue and that of day 0..90 side by side, one row per profile or unknown payer.
+
+    Payments are read once for both, and meet the profiles as one row per day.
+    """
+    age = day_offset(F.col("reported_date"), F.col("first_activity_date"))
+    in_90 = age.between(0, LAST_LIFECYCLE_DAY)
+    paid = (
+        booking_days.join(dim.select(KEY, "first_activity_date"), KEY, "left")
+        .groupBy(F.col(KEY).alias("paid_key"))
         .agg(
-            F.count(KEY).alias("installs"),
-            F.count_if(installed & has_paid).alias("payers"),
-            F.count("paid_key").alias("paying_ids"),
-            F.sum("bookings_micro").alias("revenue_micro"),
+            F.sum("bookings").alias("bookings"),
+            F.count_if(in_90).alias("days_90"),
+            F.sum(F.when(in_90, F.col("bookings"))).alias("bookings_90"),
         )
     )
+    profiles = dim.select(KEY, "acquisition_source", "signup_country_code")
+    return profiles.join(paid, F.col(KEY) == F.col("paid_key"), "full")
+
+
+def segments_of(value: DataFrame) -> DataFrame:
+    """Installs, payers and revenue per (source, country) from one row per profile."""
+    installed, has_paid = F.col(KEY).isNotNull(), F.col("paid_key").isNotNull()
+    return value.groupBy("acquisition_source", "signup_country_code").agg(
+        F.count(KEY).alias("installs"),
+        F.count_if(installed & has_paid).alias("payers"),
+        F.count("paid_key").alias("paying_ids"),
+        F.sum("bookings").alias("revenue"),
+    )
 
 
 class GrowthFrames:
@@ -165,8 +200,18 @@ class GrowthFrames:
         self.ready = ready
         vars(self).update(ready)
 
-    def with_ready(self, **frames: DataFrame) -> "GrowthFrames":
-        """The same tables with more derived frames taken from elsewhere."""
+    def with_ready(self, trusted: bool = False, **frames: DataFrame) -> "GrowthFrames":
+        """The same tables with more derived frames taken from elsewhere.
+
+        Frames that must hold one row per key are checked as part of every query over
+        them: a second row for a key fails the query. Frames that were built here may be
+        ``trusted``.
+        """
+        if not trusted:
+            frames = {
+                name: one_row_per(frame, UNIQUE[name]) if name in UNIQUE else frame
+                for name, frame in frames.items()
+            }
         return GrowthFrames(
             self.profiles, self.payments, self.activity, **(self.ready | frames)
         )
@@ -187,6 +232,10 @@ class GrowthFrames:
     def activity_stretches(self) -> DataFrame:
         return activity_stretches(self.activity)
 
+    @cached_property
+    def profile_value(self) -> DataFrame:
+        return profile_value(self.dim, self.booking_days)
+
     @cached_property
     def segments(self) -> DataFrame:
         return segment_facts(self.dim, self.bookings)

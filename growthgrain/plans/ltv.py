@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from growthgrain.functions.columns import safe_ratio, usd
 from growthgrain.functions.daybits import days_between
 from growthgrain.operators.keys import KEY, null_safe_left
-from growthgrain.operators.ordered import largest_first, position, running_sum
+from growthgrain.operators.ordered import largest_first, quantile, ranked, running_sum
 from growthgrain.operators.regression import ols_fit_predict
 from growthgrain.operators.stats import scalars
 
@@ -32,21 +32,43 @@ def payers_90(booking_life: DataFrame) -> DataFrame:
     """
     return (
         booking_life.groupBy(KEY, SOURCE)
-        .agg(F.sum("bookings_micro").alias("bookings_micro"))
+        .agg(F.sum("bookings").alias("bookings"))
         .groupBy(SOURCE)
         .agg(
             F.count("*").alias("payers_90"),
-            usd(F.sum("bookings_micro")).alias("revenue_90_usd"),
+            usd(F.sum("bookings")).alias("revenue_90_usd"),
         )
     )
 
 
 def ltv_90(dim: DataFrame, booking_life: DataFrame) -> DataFrame:
     """Revenue on day 0..90 per install, with payer rate and revenue per payer."""
+    return _with_rates(
+        null_safe_left(installs_by_channel(dim), payers_90(booking_life), [SOURCE])
+    )
+
+
+def ltv_of(value: DataFrame) -> DataFrame:
+    """The same from one row per profile with its revenue on day 0..90.
+
+    Unknown payers have no such day. They are dropped last, so that the plan below is
+    the one the segments are counted from, and runs once.
+    """
+    return _with_rates(
+        value.groupBy(SOURCE)
+        .agg(
+            F.count(KEY).alias("installs"),
+            F.count_if(F.col("days_90") > 0).alias("payers_90"),
+            usd(F.sum("bookings_90")).alias("revenue_90_usd"),
+        )
+        .where(F.col("installs") > 0)
+    )
+
+
+def _with_rates(counted: DataFrame) -> DataFrame:
     installs, payers, revenue = F.col("installs"), F.col("payers_90"), F.col("revenue_90_usd")
     return (
-        null_safe_left(installs_by_channel(dim), payers_90(booking_life), [SOURCE])
-        .withColumns(
+        counted.withColumns(
             {
                 "payers_90": F.coalesce(payers, F.lit(0)),
                 "revenue_90_usd": F.coalesce(revenue, F.lit(0.0)),
@@ -108,8 +130,8 @@ def best_first(ltv: DataFrame) -> DataFrame:
 
 def ltv_rank(ltv: DataFrame) -> DataFrame:
     """Channels with their position by LTV."""
-    return ltv.select(
-        position(largest_first("ltv_90_usd", SOURCE)).alias("ltv_rank"),
+    return ranked(ltv, "ltv_90_usd", [SOURCE], "ltv_rank").select(
+        "ltv_rank",
         SOURCE,
         "installs",
         "payers_90",
@@ -123,15 +145,15 @@ def ltv_rank(ltv: DataFrame) -> DataFrame:
 def cumulative_ltv_curve(dim: DataFrame, booking_life: DataFrame) -> DataFrame:
     """Weekly and running revenue and LTV per channel; weeks without revenue have no row."""
     weekly = booking_life.groupBy(SOURCE, "week_since_install").agg(
-        F.coalesce(F.sum("bookings_micro"), F.lit(0)).alias("micro")
+        F.sum("bookings").alias("booked")
     )
-    cumulative = usd(running_sum(F.col("micro"), [SOURCE], "week_since_install"))
+    cumulative = usd(running_sum(F.coalesce("booked", F.lit(0)), [SOURCE], "week_since_install"))
     return (
         null_safe_left(weekly, installs_by_channel(dim), [SOURCE])
         .select(
             SOURCE,
             "week_since_install",
-            usd(F.col("micro")).alias("weekly_revenue_usd"),
+            usd(F.col("booked")).alias("weekly_revenue_usd"),
             "installs",
             cumulative.alias("cumulative_revenue_usd"),
         )
@@ -146,7 +168,8 @@ def ltv_drivers(ltv: DataFrame) -> DataFrame:
     """What drives each channel's LTV, against the medians over channels."""
     median = scalars(
         ltv.agg(
-            F.median("payer_rate_90").alias("payer_rate"), F.median("arppu_90_usd").alias("arppu")
+            quantile("payer_rate_90", 0.5).alias("payer_rate"),
+            quantile("arppu_90_usd", 0.5).alias("arppu"),
         )
     )
     converts = F.col("payer_rate_90") >= median["payer_rate"]

@@ -8,7 +8,6 @@ a large part of the facts over several tasks.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from growthgrain.functions.aggregates import count_distinct_with_null
 from growthgrain.functions.columns import (
     LAST_LIFECYCLE_DAY,
     cohort_week,
@@ -59,11 +58,7 @@ def profile_conflicts(dim: DataFrame) -> DataFrame:
 
 def profile_conflicts_detected(profiles: DataFrame) -> DataFrame:
     """Profiles whose raw rows disagree on source or country; NULL counts as a value."""
-    counted = canonical_profiles(
-        profiles,
-        n_acquisition_source=count_distinct_with_null(F.col("acquisition_source")),
-        n_country=count_distinct_with_null(F.col("signup_country_code")),
-    )
+    counted = canonical_profiles(profiles, values=True)
     return _with_profile_id(_in_conflict(counted)).select(*DIMENSION_COLUMNS)
 
 

@@ -2,10 +2,11 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from growthgrain.operators.keys import null_safe_left
+from growthgrain.operators.ordered import quantile
 from growthgrain.plans.ltv import SOURCE, best_first
 
 # Channels singled out by default, and the texts of the table.
@@ -23,16 +24,17 @@ def channel_recommendation(
     efficiency: DataFrame,
     scale: Sequence[str] = SCALE_SOURCES,
     trim: Sequence[str] = TRIM_SOURCES,
+    median_spread: Column | None = None,
 ) -> DataFrame:
     """LTV and efficiency per channel with an action and a caution.
 
     With the efficiency table as written every spread is 0, which is also its
     median, so every channel is called volatile; pass the per-country table to
-    compare real spreads. The median is taken in one task, over one row per channel.
+    compare real spreads. ``median_spread`` is taken from the table if not given.
     """
     spread = efficiency.select(SOURCE, "revenue_per_install_usd", "rpi_std")
-    all_channels = Window.partitionBy()
-    median_spread = F.median("rpi_std").over(all_channels)
+    if median_spread is None:
+        median_spread = spread.agg(quantile("rpi_std", 0.5)).scalar()
     return best_first(
         null_safe_left(ltv, spread, [SOURCE]).withColumns(
             {

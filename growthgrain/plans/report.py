@@ -1,20 +1,19 @@
-"""The whole marketing report: every output table, with each fact joined once."""
+"""The whole marketing report: every output table, with each fact table read once."""
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from functools import partial
 
 from pyspark.sql import DataFrame
 
-from growthgrain.catalog import MARKETING_QUERIES
+from growthgrain.catalog import MARKETING_QUERIES, recommendation
 from growthgrain.plans.frames import GrowthFrames
 from growthgrain.plans.ltv import best_first
-from growthgrain.plans.recommend import experiment_trend
+from growthgrain.plans.recommend import experiment_trend, summary_q5
 from growthgrain.schemas import experiment_results_template, weekly_scorecard_template
-from growthgrain.session import shared_folder
-from growthgrain.sources.tables import write_csv, write_parquet
+from growthgrain.sources.tables import save_bucketed, write_csv, write_parquet
 
 # Names of the output tables, and the query each one holds.
 OUTPUTS = {
@@ -54,6 +53,7 @@ EXPERIMENT_FEED = "q4_treatment_control_installs"
 # Frames several outputs start from; each is built from the ones before it.
 SHARED = [
     "dim",
+    "booking_days",
     "segments",
     "booking_life",
     "activity_life",
@@ -65,26 +65,44 @@ SHARED = [
 
 @contextmanager
 def materialised(frames: GrowthFrames) -> Iterator[GrowthFrames]:
-    """Frames read back from tables written once to the shared folder, until the block ends.
+    """Frames read back from tables written once to the warehouse, until the block ends.
 
     Frames that are ready already, like the bucketed tables, are left where they are.
-    All outputs then start from these tables instead of joining the raw facts again,
-    survive the loss of executors, and are planned on their true sizes.
+    All outputs then start from these tables instead of reading the raw facts again,
+    survive the loss of executors, and are planned on their true sizes. Payments are
+    read once, into one row per profile and day. Profiles and payment days are bucketed
+    by profile, so joining them moves neither again.
     """
     spark = frames.profiles.sparkSession
-    folder = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    prefix = f"report_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    written = []
     try:
         for name in [n for n in SHARED if n not in frames.ready]:
-            write_parquet(getattr(frames, name), f"{folder}/{name}")
-            frames = frames.with_ready(**{name: spark.read.parquet(f"{folder}/{name}")})
+            table = f"{prefix}_{name}"
+            written.append(table)
+            df = getattr(frames, name)
+            if name in ("dim", "booking_days"):
+                save_bucketed(df, table, buckets)
+            else:
+                df.write.format("parquet").saveAsTable(table)
+            ready = {name: spark.table(table)}
+            if name == "booking_days":
+                ready["bookings"] = ready[name]
+            frames = frames.with_ready(trusted=True, **ready)
         yield frames
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for table in written:
+            spark.sql(f"DROP TABLE IF EXISTS {table} PURGE")
 
 
-def _output(name: str, frames: GrowthFrames) -> DataFrame:
-    table = MARKETING_QUERIES[OUTPUTS[name]](frames)
+def _output(name: str, frames: GrowthFrames, channels: dict[str, Sequence[str]]) -> DataFrame:
+    query = OUTPUTS[name]
+    if query == "channel_recommendation":
+        return recommendation(frames, **channels)
+    if query == "summary_q5":
+        return summary_q5(recommendation(frames, **channels))
+    table = MARKETING_QUERIES[query](frames)
     return best_first(table) if name in SORTED_BY_LTV else table
 
 
@@ -94,17 +112,19 @@ def write_report(
     experiment: DataFrame | None = None,
     as_csv: bool = True,
     at_once: int = 4,
+    channels: dict[str, Sequence[str]] | None = None,
 ) -> list[str]:
     """Write every output below ``folder`` and return their names.
 
     The outputs are small once the shared frames are written, so ``at_once`` of them
     run side by side. The experiment feed is written only if results are given.
+    ``channels`` are the sources to ``scale`` and to ``trim`` in the recommendation.
     """
     spark = frames.profiles.sparkSession
     write = write_csv if as_csv else write_parquet
     with materialised(frames) as shared, ThreadPoolExecutor(at_once) as pool:
         tables: dict[str, Callable[[], DataFrame]] = {
-            name: partial(_output, name, shared) for name in OUTPUTS
+            name: partial(_output, name, shared, channels or {}) for name in OUTPUTS
         }
         tables[RESULTS_TEMPLATE] = partial(experiment_results_template, spark)
         tables[SCORECARD_TEMPLATE] = partial(weekly_scorecard_template, spark)

@@ -66,7 +66,7 @@ def retention_weekly(dim: DataFrame, activity_life: DataFrame) -> DataFrame:
 def payments_weekly(booking_life: DataFrame) -> DataFrame:
     """Revenue of each cohort in each lifecycle week."""
     return booking_life.groupBy(*COHORT, WEEK).agg(
-        usd(F.sum("bookings_micro")).alias("weekly_revenue_usd")
+        usd(F.sum("bookings")).alias("weekly_revenue_usd")
     )
 
 
@@ -119,7 +119,7 @@ def weekly_rpu(dim: DataFrame, booking_life: DataFrame) -> DataFrame:
     """Weekly revenue over all installs of a source and platform."""
     installs = dim.groupBy(SOURCE, PLATFORM).agg(F.count("*").alias("installs"))
     weekly = booking_life.groupBy(SOURCE, PLATFORM, WEEK).agg(
-        usd(F.sum("bookings_micro")).alias("weekly_revenue_usd")
+        usd(F.sum("bookings")).alias("weekly_revenue_usd")
     )
     return null_safe_left(weekly, installs, [SOURCE, PLATFORM]).withColumn(
         "revenue_per_installed_user", safe_ratio(F.col("weekly_revenue_usd"), F.col("installs"))
@@ -156,10 +156,10 @@ def arpru_platform(retention_revenue: DataFrame) -> DataFrame:
     )
 
 
-def retention_heatmap(summary: DataFrame) -> DataFrame:
-    """Mean over platforms of mean retention, per source and week."""
-    mean = F.avg("mean_retention_rate").alias("mean_retention_rate")
-    return summary.groupBy(SOURCE, WEEK).agg(mean)
+def retention_heatmap(retention: DataFrame) -> DataFrame:
+    """Mean over platforms of the mean retention over cohorts, per source and week."""
+    by_platform = retention.groupBy(SOURCE, PLATFORM, WEEK).agg(F.avg("retention_rate").alias("mean"))
+    return by_platform.groupBy(SOURCE, WEEK).agg(F.avg("mean").alias("mean_retention_rate"))
 
 
 def summary_q3(scorecard: DataFrame) -> DataFrame:

@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 
 from growthgrain.functions.aggregates import pearson
 from growthgrain.functions.columns import joined_label, safe_ratio, usd
-from growthgrain.operators.keys import null_safe_left
-from growthgrain.operators.ordered import largest_first, top_rows
+from growthgrain.operators.ordered import largest_first, quantile, top_rows
 from growthgrain.operators.stats import scalars, weighted_sd
 
 SEGMENT = ["acquisition_source", "signup_country_code"]
@@ -26,14 +25,14 @@ def installs_by_segment(dim: DataFrame) -> DataFrame:
 def revenue_by_segment(segments: DataFrame) -> DataFrame:
     """Revenue per source and country; payments of unknown profiles are under NULL, NULL."""
     return segments.where(F.col("paying_ids") > 0).select(
-        *SEGMENT, usd(F.col("revenue_micro")).alias("total_revenue_usd")
+        *SEGMENT, usd(F.col("revenue")).alias("total_revenue_usd")
     )
 
 
 def _with_rpi(segments: DataFrame) -> DataFrame:
     return (
         _installed(segments)
-        .withColumn("total_revenue_usd", usd(F.col("revenue_micro")))
+        .withColumn("total_revenue_usd", usd(F.col("revenue")))
         .withColumn(RPI, safe_ratio(F.col("total_revenue_usd"), F.col("installs")))
     )
 
@@ -63,18 +62,12 @@ def install_correlations(segments: DataFrame) -> DataFrame:
     )
 
 
-def _channel_totals(segments: DataFrame, **more: Column) -> DataFrame:
-    totals = {
-        "installs": F.sum("installs"),
-        "total_revenue_usd": usd(F.sum("revenue_micro")),
-        **more,
-    }
-    return (
-        _with_rpi(segments)
-        .groupBy("acquisition_source")
-        .agg(*[total.alias(name) for name, total in totals.items()])
-        .withColumn(RPI, safe_ratio(F.col("total_revenue_usd"), F.col("installs")))
-    )
+def _totals() -> dict[str, Column]:
+    return {"installs": F.sum("installs"), "total_revenue_usd": usd(F.sum("revenue"))}
+
+
+def _channel_rpi() -> Column:
+    return safe_ratio(F.col("total_revenue_usd"), F.col("installs"))
 
 
 def channel_efficiency(segments: DataFrame) -> DataFrame:
@@ -84,26 +77,28 @@ def channel_efficiency(segments: DataFrame) -> DataFrame:
     spread is taken, so ``rpi_std`` is 0 and ``rpi_min`` and ``rpi_max`` equal the
     channel's RPI. The spread over countries is in ``channel_efficiency_per_country``.
     """
-    return _channel_totals(segments).withColumns(
-        {"rpi_std": F.lit(0.0), "rpi_min": F.col(RPI), "rpi_max": F.col(RPI)}
+    totals = _installed(segments).groupBy("acquisition_source")
+    return (
+        totals.agg(*[total.alias(name) for name, total in _totals().items()])
+        .withColumn(RPI, _channel_rpi())
+        .withColumns({"rpi_std": F.lit(0.0), "rpi_min": F.col(RPI), "rpi_max": F.col(RPI)})
     )
 
 
 def channel_efficiency_per_country(segments: DataFrame) -> DataFrame:
     """Totals per channel with the install-weighted spread of its countries' RPI.
 
-    Like all money, ``rpi_std`` is held to the micro-dollar, so that comparing it
-    with a median of the same column does not hinge on the order of a sum.
+    ``rpi_std`` is added up in a fixed order, so that comparing it with a median of the
+    same column does not hinge on the order of a sum.
     """
     key = ["acquisition_source"]
-    totals = _channel_totals(segments, rpi_min=F.min(RPI), rpi_max=F.max(RPI))
-    spread = weighted_sd(segment_rpi(segments), key, RPI, "installs", "rpi_std")
-    return null_safe_left(totals, spread, key).select(
+    more = _totals() | {"rpi_min": F.min(RPI), "rpi_max": F.max(RPI)}
+    return weighted_sd(_with_rpi(segments), key, RPI, "installs", "rpi_std", **more).select(
         *key,
         "installs",
         "total_revenue_usd",
-        RPI,
-        F.round("rpi_std", 6).alias("rpi_std"),
+        _channel_rpi().alias(RPI),
+        "rpi_std",
         "rpi_min",
         "rpi_max",
     )
@@ -112,10 +107,10 @@ def channel_efficiency_per_country(segments: DataFrame) -> DataFrame:
 def segment_thresholds(segments: DataFrame) -> DataFrame:
     """Median and 90th percentile of RPI, quartiles of installs: exact, interpolated."""
     return segment_rpi(segments).agg(
-        F.median(RPI).alias("rpi_median"),
-        F.percentile("installs", 0.75).alias("install_q75"),
-        F.percentile("installs", 0.25).alias("install_q25"),
-        F.percentile(RPI, 0.90).alias("rpi_q90"),
+        quantile(RPI, 0.5).alias("rpi_median"),
+        quantile("installs", 0.75).alias("install_q75"),
+        quantile("installs", 0.25).alias("install_q25"),
+        quantile(RPI, 0.9).alias("rpi_q90"),
     )
 
 
@@ -183,9 +178,9 @@ def payer_rate_by_channel(segments: DataFrame) -> DataFrame:
     )
 
 
-def top_segments(segments: DataFrame, n: int = 15) -> DataFrame:
-    """The ``n`` segments with most installs, labelled."""
-    biggest = top_rows(segment_rpi(segments), largest_first("installs", *SEGMENT), n)
+def top_segments(counted: DataFrame, n: int = 15) -> DataFrame:
+    """The ``n`` segments with most installs, labelled; ``counted`` has a row per segment."""
+    biggest = top_rows(counted, largest_first("installs", *SEGMENT), n)
     return biggest.withColumn("segment", joined_label(*[F.col(c) for c in SEGMENT]))
 
 

@@ -46,18 +46,19 @@ def months_tracked(subscriptions: DataFrame) -> DataFrame:
 def subscription_trend(
     subscriptions: DataFrame,
     subscription_type: str = ALL_TYPES,
-    start: tuple[int | str, int | str] = (2020, 1),
-    end: tuple[int | str, int | str] = (2024, 11),
+    start: tuple[int | str, int | str] | None = None,
+    end: tuple[int | str, int | str] | None = None,
 ) -> DataFrame:
-    """One ordered series per type between two (year, month) pairs, both included."""
+    """One ordered series per type, from one (year, month) to another if given, both included."""
     wanted = (
         F.col(TYPE).isNotNull()
         if subscription_type == ALL_TYPES
         else F.col(TYPE) == subscription_type
     )
     return (
-        subscriptions.where(wanted)
-        .where(F.col("date").between(month_start(*start), month_start(*end)))
+        subscriptions.where(wanted & F.col("date").isNotNull())
+        .where(F.lit(True) if start is None else F.col("date") >= month_start(*start))
+        .where(F.lit(True) if end is None else F.col("date") <= month_start(*end))
         .select("date", TYPE, COUNT)
         .orderBy(TYPE, "date")
     )
@@ -89,11 +90,16 @@ def net_change_by_year(subscriptions: DataFrame) -> DataFrame:
 def net_change_pivot(subscriptions: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
     """Net change with one row per year and one column per type.
 
-    Naming the types saves the job in which Spark would otherwise look them up.
+    Naming the types saves the job in which Spark would otherwise look them up; a type
+    that is not named is then an error, as its column would be missing.
     """
+    changes = net_change_by_year(subscriptions)
+    if types:
+        message = F.concat(F.lit("type without a column: "), F.col(TYPE))
+        known = F.when(F.col(TYPE).isin(*types), F.col(TYPE)).otherwise(F.raise_error(message))
+        changes = changes.withColumn(TYPE, known)
     return (
-        net_change_by_year(subscriptions)
-        .groupBy("year")
+        changes.groupBy("year")
         .pivot(TYPE, list(types) if types else None)
         .agg(F.first("net_change"))
         .orderBy("year")

@@ -1,47 +1,72 @@
-"""The three conformed frames as managed tables bucketed by profile.
+"""The three conformed frames as tables bucketed by profile.
 
 Writing them costs one shuffle per table. From then on every query over them joins
 and groups on the profile within a bucket, without moving payments or activity. A
-profile has at most one row per day in them, so a profile with many raw rows does not
-swell its bucket.
+profile has at most one row per day and load in them, so a profile with many raw rows
+does not swell its bucket.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from growthgrain.operators.keys import KEY
-from growthgrain.plans.frames import GrowthFrames
+from growthgrain.plans.frames import GrowthFrames, bookings_per_day
+from growthgrain.sources.tables import save_bucketed
 
 DIM, BOOKINGS, ACTIVITY = "profile_dim", "booking_days", "activity_stretches"
 
 
-def _save(df: DataFrame, table: str, buckets: int) -> None:
-    (
-        df.repartition(buckets, KEY)
-        .write.mode("overwrite")
-        .format("parquet")
-        .bucketBy(buckets, KEY)
-        .sortBy(KEY)
-        .saveAsTable(table)
-    )
+def _paths(prefix: str, folder: str | None) -> dict[str, str | None]:
+    return {t: folder and f"{folder}/{prefix}_{t}" for t in (DIM, BOOKINGS, ACTIVITY)}
 
 
-def save_conformed(frames: GrowthFrames, prefix: str, buckets: int) -> None:
+def save_conformed(
+    frames: GrowthFrames, prefix: str, buckets: int, folder: str | None = None
+) -> None:
     """Write the tables ``<prefix>_profile_dim``, ``_booking_days`` and ``_activity_stretches``.
 
     Choose ``buckets`` so that one bucket of the largest table fits a task; all three
-    must have the same number.
+    must have the same number. Tables go to ``folder``, or else to the warehouse.
+    """
+    path = _paths(prefix, folder)
+    save_bucketed(frames.dim, f"{prefix}_{DIM}", buckets, path[DIM])
+    save_bucketed(frames.booking_days, f"{prefix}_{BOOKINGS}", buckets, path[BOOKINGS])
+    save_bucketed(frames.activity_stretches, f"{prefix}_{ACTIVITY}", buckets, path[ACTIVITY])
+
+
+def append_facts(
+    new: GrowthFrames, prefix: str, buckets: int, folder: str | None = None
+) -> None:
+    """Add new payments and activity to tables that exist; nothing stored is rewritten.
+
+    Each payment must be in one load only. ``folder`` and ``buckets`` are those of the
+    tables. Changed profiles call for ``save_conformed`` of the profiles.
     """
-    _save(frames.dim, f"{prefix}_{DIM}", buckets)
-    _save(frames.booking_days, f"{prefix}_{BOOKINGS}", buckets)
-    _save(frames.activity_stretches, f"{prefix}_{ACTIVITY}", buckets)
-
-
-def load_conformed(spark: SparkSession, prefix: str, raw: GrowthFrames) -> GrowthFrames:
-    """Frames over the conformed tables; ``raw`` still serves the row-level queries."""
-    bookings = spark.table(f"{prefix}_{BOOKINGS}")
-    return raw.with_ready(
-        dim=spark.table(f"{prefix}_{DIM}"),
-        bookings=bookings,
-        booking_days=bookings,
-        activity_stretches=spark.table(f"{prefix}_{ACTIVITY}"),
+    path = _paths(prefix, folder)
+    days, stretches = new.booking_days, new.activity_stretches
+    save_bucketed(days, f"{prefix}_{BOOKINGS}", buckets, path[BOOKINGS], append=True)
+    save_bucketed(stretches, f"{prefix}_{ACTIVITY}", buckets, path[ACTIVITY], append=True)
+
+
+def load_conformed(
+    spark: SparkSession, prefix: str, raw: GrowthFrames, folder: str | None = None
+) -> GrowthFrames:
+    """Frames over the conformed tables; ``raw`` still serves the row-level queries.
+
+    Days and stretches of several loads are added up within their bucket; a profile
+    that is stored twice fails the query. With ``folder``, a session whose catalog does
+    not know the tables reads their files, without the buckets.
+    """
+
+    def stored(table: str) -> DataFrame:
+        name = f"{prefix}_{table}"
+        if folder is not None and not spark.catalog.tableExists(name):
+            return spark.read.parquet(f"{folder}/{name}")
+        return spark.table(name)
+
+    bookings = bookings_per_day(stored(BOOKINGS))
+    stretches = stored(ACTIVITY).groupBy(KEY, "stretch").agg(F.bit_or("days").alias("days"))
+    checked = raw.with_ready(dim=stored(DIM))
+    return checked.with_ready(
+        trusted=True, bookings=bookings, booking_days=bookings, activity_stretches=stretches
     )

@@ -1,34 +1,71 @@
 """Reading input tables and writing results, as Parquet or CSV."""
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from growthgrain.operators.keys import KEY
+
 NULL_TEXT = "NA"
 
 
+def _text(field: T.StructField) -> Column:
+    return F.nullif(F.col(field.name), F.lit(""))
+
+
 def _parsed(field: T.StructField) -> Column:
-    text = F.nullif(F.col(field.name), F.lit(""))
-    return text.try_cast(field.dataType).alias(field.name)
+    return _text(field).try_cast(field.dataType)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The columns of ``schema`` from CSV with a header, in any order and among others.
+def _unreadable(field: T.StructField) -> Column:
+    return _text(field).isNotNull() & _parsed(field).isNull()
 
-    Empty and ``NA`` fields, and fields that are not of their type, are NULL; blanks
-    around fields are dropped. Nothing is guessed from the data, so ids keep their
-    leading zeros.
-    """
-    raw = spark.read.csv(
+
+def _parsed_or_error(field: T.StructField) -> Column:
+    message = F.concat(F.lit(f"{field.name} is not a {field.dataType.simpleString()}: "), _text(field))
+    return F.when(_unreadable(field), F.raise_error(message)).otherwise(_parsed(field))
+
+
+def _raw_csv(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+    return spark.read.csv(
         path,
         header=True,
         inferSchema=False,
         nullValue=NULL_TEXT,
+        mode=mode,
         ignoreLeadingWhiteSpace=True,
         ignoreTrailingWhiteSpace=True,
     )
-    return raw.select(*[_parsed(field) for field in schema])
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` from CSV with a header, in any order and among others.
+
+    Empty and ``NA`` fields are NULL; blanks around fields are dropped. A field that is
+    not of its type fails the query that reads it. Nothing is guessed from the data, so
+    ids keep their leading zeros.
+    """
+    raw = _raw_csv(spark, path)
+    return raw.select(*[_parsed_or_error(field).alias(field.name) for field in schema])
+
+
+def read_csv_with_rejects(
+    spark: SparkSession, path: str, schema: T.StructType
+) -> tuple[DataFrame, DataFrame]:
+    """The rows whose fields are all of their type, and the others.
+
+    The others hold their fields as text, and in ``unreadable`` the names of those that
+    are not of their type; counting them is up to the caller.
+    """
+    raw = _raw_csv(spark, path).select(*[_text(field).alias(field.name) for field in schema])
+    names = [F.when(_unreadable(field), F.lit(field.name)) for field in schema]
+    marked = raw.withColumn("unreadable", F.array_compact(F.array(*names)))
+    good = marked.where(F.size("unreadable") == 0)
+    good = good.select(*[_parsed(field).alias(field.name) for field in schema])
+    return good, marked.where(F.size("unreadable") > 0)
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -47,10 +84,32 @@ def read_optional_csv(spark: SparkSession, path: str, schema: T.StructType) -> D
         raise
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV if the path ends in ``.csv``, else Parquet."""
-    reader = read_csv if path.endswith(".csv") else read_parquet
-    return reader(spark, path, schema)
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType, kind: str | None = None
+) -> DataFrame:
+    """A table of the given ``kind``, ``csv`` or ``parquet``.
+
+    Without one it is CSV if the path ends in ``.csv`` or a compressed form of it.
+    """
+    if kind is None:
+        kind = "csv" if re.search(r"\.csv(\.\w+)?/?$", path) else "parquet"
+    return {"csv": read_csv, "parquet": read_parquet}[kind](spark, path, schema)
+
+
+def save_bucketed(
+    df: DataFrame, table: str, buckets: int, path: str | None = None, append: bool = False
+) -> None:
+    """A table bucketed by profile, at ``path`` if given, else in the warehouse."""
+    writer = (
+        df.repartition(buckets, KEY)
+        .write.mode("append" if append else "overwrite")
+        .format("parquet")
+        .bucketBy(buckets, KEY)
+        .sortBy(KEY)
+    )
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,12 +10,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from growthgrain.functions.aggregates import count_distinct_with_null, pearson, sum_or_zero
+from growthgrain.functions.aggregates import pearson, sum_or_zero
 from growthgrain.functions.columns import (
     cohort_week,
     joined_label,
     lifecycle_week,
-    micro_usd,
+    money,
     month_start,
     safe_ratio,
     thousands,
@@ -27,12 +28,15 @@ from growthgrain.operators.keys import (
     assert_unique,
     key_violations,
     null_safe_left,
+    one_row_per,
     profile_id_of,
     with_key,
 )
-from growthgrain.operators.ordered import largest_first, position, running_sum, top_rows
+from growthgrain.operators import ordered
+from growthgrain.operators.ordered import largest_first, quantile, ranked, running_sum, top_rows
 from growthgrain.operators.regression import ols_fit_predict
 from growthgrain.operators.stats import weighted_sd
+from growthgrain.session import shared_folder
 
 few = settings(
     max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
@@ -88,18 +92,60 @@ def test_sums_do_not_depend_on_order(spark):
     for seed in range(3):
         random.Random(seed).shuffle(amounts)
         df = spark.createDataFrame([(a,) for a in amounts], "x double").repartition(seed + 1)
-        assert one(df.agg(usd(F.sum(micro_usd(F.col("x")))))) == cents / 100
+        assert one(df.agg(usd(F.sum(money(F.col("x")))))) == cents / 100
 
 
 def test_sum_of_missing_is_zero(spark):
     df = spark.createDataFrame([(None,), (float("nan"),)], "x double")
-    assert one(df.agg(usd(F.sum(micro_usd(F.col("x")))))) == 0
+    assert one(df.agg(usd(F.sum(money(F.col("x")))))) == 0
     assert one(df.where("false").agg(sum_or_zero(F.col("x")))) == 0
 
 
-def test_distinct_count_counts_null_once(spark):
-    df = spark.createDataFrame([("a",), (None,), (None,), ("b",)], "x string")
-    assert one(df.agg(count_distinct_with_null(F.col("x")))) == 3
+@pytest.mark.parametrize(
+    "amounts, total",
+    [
+        ([1e12] * 40, 4e13),
+        ([1e18] * 2 + [0.25], 2e18),
+        ([4e-7] * 1000, 4e-4),
+        ([0.1234567] * 3, 0.3703701),
+        ([-5.5, 5.5], 0.0),
+    ],
+)
+def test_money_has_no_bound_in_reach_and_loses_no_digits(spark, amounts, total):
+    df = spark.createDataFrame([(a,) for a in amounts], "x double").repartition(3)
+    assert one(df.agg(usd(F.sum(money(F.col("x")))))) == total
+
+
+def test_ranks_equal_a_sort_and_use_no_single_task(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 0.0, -1.5, 3.25, rng.uniform(-9, 9), 10 ** rng.uniform(-9, 9)]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "v double, k int").repartition(5)
+    found = ranked(df, "v", ["k"], "n")
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [(r.v, r.k) for r in sorted(found.collect(), key=lambda r: r.n)] == order
+    assert sorted(r.n for r in found.collect()) == list(range(1, 301))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    for window in plan.split("Window [")[1:]:
+        assert "SinglePartition" not in window.split("Exchange")[1]
+    assert ranked(df.limit(0), "v", ["k"], "n").count() == 0
+
+
+def test_quantiles(spark, monkeypatch):
+    values = [random.Random(4).uniform(0, 100) for _ in range(31)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    row = df.agg(quantile("v", 0.5), quantile("v", 0.9)).first()
+    assert tuple(row) == pytest.approx((np.quantile(values, 0.5), np.quantile(values, 0.9)))
+    monkeypatch.setattr(ordered, "MOST_VALUES", 30)
+    with pytest.raises(Exception, match="more than 30 values"):
+        df.agg(quantile("v", 0.5)).first()
+
+
+def test_two_rows_for_a_key_fail_the_query(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("b", 2, None)], "k string, n int, t string")
+    assert sorted(one_row_per(df, ["k"]).collect()) == sorted(df.collect())
+    assert one_row_per(df, ["k"]).columns == df.columns
+    with pytest.raises(Exception, match="more than one row for"):
+        one_row_per(df.unionAll(df), ["k"]).collect()
 
 
 def test_key_tells_null_empty_and_text_apart(spark):
@@ -212,8 +258,8 @@ def test_running_sum_and_positions(spark):
         (None, 1, 1),
     }
     order = largest_first("x", "k")
-    ranked = df.select("x", position(order).alias("n")).collect()
-    assert {(r["x"], r["n"]) for r in ranked} == {(7, 1), (5, 2), (3, 3), (1, 4)}
+    found = ranked(df, "x", ["k"], "n").collect()
+    assert {(r["x"], r["n"]) for r in found} == {(7, 1), (5, 2), (3, 3), (1, 4)}
     assert [r["x"] for r in top_rows(df, order, 2).collect()] == [7, 5]
 
 
@@ -232,3 +278,11 @@ def test_ols_matches_numpy_and_leaves_gaps_unscored(spark):
         assert by_a[float(a)] == pytest.approx(fitted, abs=1e-8)
     assert by_a[None] is None
     assert by_a[0.5] == pytest.approx(coefficients @ [1, 0.5, 0.1, 3.0], abs=1e-8)
+
+
+def test_a_fit_leaves_no_files(spark):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.rglob("*"))
+    df = spark.createDataFrame([(float(i), float(i % 3)) for i in range(9)], "y double, a double")
+    assert ols_fit_predict(df, "y", ["a"], "fit").count() == 9
+    assert set(folder.rglob("*")) == before

@@ -9,7 +9,9 @@ from growthgrain import MARKETING_QUERIES, GrowthFrames
 from growthgrain.plans.retention import _active_weeks
 
 SAMPLE = "/root/testdata/sf0.001"
-NOT_LAZY = {"ltv_regression"}
+# These run jobs while their plan is built; the text operators have plan tests of their own.
+NOT_LAZY = {"ltv_regression", "net_change_pivot"}
+TEXT = re.compile(r"op\d+_|pipeline$")
 
 
 def initial_plan(df):
@@ -28,11 +30,15 @@ def no_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - NOT_LAZY))
+@pytest.mark.parametrize(
+    "name", sorted(n for n in set(entry.queries()) - NOT_LAZY if not TEXT.match(n))
+)
 def test_no_product_and_no_python(no_broadcast, name):
     plan = initial_plan(entry.queries()[name](no_broadcast, SAMPLE))
     for operator in ("CartesianProduct", "NestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert operator not in plan
+    assert not re.search(r"Window.*\n(.*Sort.*\n)?.*Exchange SinglePartition", plan)
+    assert "Scan parquet" in plan
 
 
 def test_scans_read_only_needed_columns(spark):
@@ -47,10 +53,8 @@ def test_scans_read_only_needed_columns(spark):
         "n_name",
         "o_custkey",
         "o_orderdate",
-        "o_orderstatus",
         "o_totalprice",
     }
-    assert "EqualTo(o_orderstatus,P)" in plan
 
 
 def test_facts_are_reduced_before_they_meet_the_profiles(no_broadcast):
@@ -133,8 +137,13 @@ READS = {
     "ltv_drivers": (1, 0),
     "ltv_model": (1, 1),
     "cohort_retention_revenue": (1, 1),
-    # all-time revenue and 90-day revenue are two reductions of the payments
-    "channel_recommendation_per_country": (2, 0),
+    # all-time and 90-day revenue side by side
+    "channel_recommendation": (1, 0),
+    "channel_recommendation_per_country": (1, 0),
+    "summary_q5": (1, 0),
+    "feed_top_installs": (0, 0),
+    "feed_channel_volatility": (0, 0),
+    "retention_heatmap": (0, 1),
 }
 
 

@@ -32,6 +32,20 @@ def test_trend(subscriptions):
     assert types == sorted(types)
 
 
+def test_trend_holds_the_whole_table_by_default(spark):
+    rows = [(dt.date(2019 + i // 2, 1 + 5 * (i % 2), 1), "a", i) for i in range(14)]
+    table = spark.createDataFrame([*rows, (None, "a", 99)], SUBSCRIPTIONS)
+    assert [r[2] for r in subs.subscription_trend(table).collect()] == list(range(14))
+    assert len(subs.subscription_trend(table, start=(2021, 1)).collect()) == 10
+    assert len(subs.subscription_trend(table, end=(2021, 1)).collect()) == 5
+
+
+def test_pivot_loses_no_type(subscriptions):
+    assert subs.net_change_pivot(subscriptions).columns == ["year", "Basic", "Premium"]
+    with pytest.raises(Exception, match="type without a column: Premium"):
+        subs.net_change_pivot(subscriptions, ["Basic"]).collect()
+
+
 def test_net_change(subscriptions):
     found = {
         (r["year"], r["subscription_type"]): (r["start_of_year"], r["end_of_year"], r["net_change"])

@@ -1,21 +1,32 @@
 """Readers, writers, the report and the conformed tables."""
 
 import datetime as dt
+import gzip
 from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
 
-from growthgrain import MARKETING_QUERIES
+from pyspark.sql import functions as F
+
+from growthgrain import MARKETING_QUERIES, GrowthFrames
 from growthgrain.plans.report import EXPERIMENT_FEED, OUTPUTS, write_report
-from growthgrain.schemas import EXPERIMENT_RESULTS, PROFILES, SUBSCRIPTIONS, WEEKLY_SCORECARD
+from growthgrain.schemas import (
+    EXPERIMENT_RESULTS,
+    PAYMENTS,
+    PROFILES,
+    SUBSCRIPTIONS,
+    WEEKLY_SCORECARD,
+)
 from growthgrain.schemas import experiment_results_template, weekly_scorecard_template
 from growthgrain.session import shared_folder
-from growthgrain.sources.conformed import load_conformed, save_conformed
+from growthgrain.sources.conformed import append_facts, load_conformed, save_conformed
 from growthgrain.sources.tables import (
     read_csv,
+    read_csv_with_rejects,
     read_optional_csv,
     read_parquet,
+    read_table,
     write_csv,
     write_parquet,
 )
@@ -26,7 +37,7 @@ def test_csv_keeps_ids_and_reads_missing_values(spark, tmp_path):
     path.write_text(
         "first_activity_time,acquisition_source,age,signup_country_code,signup_platform,profile_id\n"
         "2024-01-07T23:30:00Z,src_1,7,NA,iOS,0012\n"
-        'yesterday,"",8, US ,,0013\n'
+        ',"",8, US ,,0013\n'
     )
     found = read_csv(spark, str(path), PROFILES).orderBy("profile_id").collect()
     assert found[0]["profile_id"] == "0012" and found[0]["signup_country_code"] is None
@@ -35,6 +46,37 @@ def test_csv_keeps_ids_and_reads_missing_values(spark, tmp_path):
     assert found[1][1:] == (None, "US", None, None)
 
 
+PAYMENT_LINES = "profile_id,reported_date,gross_bookings_usd\n"
+
+
+@pytest.mark.parametrize("line", ["p1,03/01/2024,5", 'p1,2024-03-01,"1,000.00"', "p1,2024-03-01"])
+def test_csv_with_an_unreadable_field_is_refused(spark, tmp_path, line):
+    path = tmp_path / "payments.csv"
+    path.write_text(PAYMENT_LINES + f"p0,2024-01-01,1.5\n{line}\n")
+    with pytest.raises(Exception):
+        read_csv(spark, str(path), PAYMENTS).collect()
+
+
+def test_unreadable_rows_can_be_kept_apart(spark, tmp_path):
+    path = tmp_path / "payments.csv"
+    path.write_text(PAYMENT_LINES + 'p0,2024-01-01,1.5\np1,03/01/2024,"1,000.00"\np2,NA,\n')
+    good, rejects = read_csv_with_rejects(spark, str(path), PAYMENTS)
+    assert good.schema == PAYMENTS and [r[0] for r in good.orderBy("profile_id").collect()] == ["p0", "p2"]
+    assert [tuple(r) for r in rejects.collect()] == [
+        ("p1", "03/01/2024", "1,000.00", ["reported_date", "gross_bookings_usd"])
+    ]
+
+
+def test_the_format_is_named_or_seen_from_the_path(spark, frames, tmp_path):
+    write_csv(frames.payments, str(tmp_path / "payments"))
+    found = read_table(spark, str(tmp_path / "payments"), PAYMENTS, "csv")
+    assert found.count() == frames.payments.count()
+    (tmp_path / "p.csv.gz").write_bytes(gzip.compress((PAYMENT_LINES + "p0,2024-01-01,1.5\n").encode()))
+    assert read_table(spark, str(tmp_path / "p.csv.gz"), PAYMENTS).count() == 1
+    write_parquet(frames.payments, str(tmp_path / "parquet"))
+    assert read_table(spark, str(tmp_path / "parquet"), PAYMENTS).count() == found.count()
+
+
 def test_csv_without_a_needed_column_is_refused(spark, tmp_path):
     path = tmp_path / "profiles.csv"
     path.write_text("profile_id\np1\n")
@@ -89,7 +131,8 @@ def test_report_writes_every_table(spark, frames, tmp_path):
     )
     names = write_report(frames, str(tmp_path), experiment=results)
     assert len(names) == len(set(names)) == 29 and EXPERIMENT_FEED in names
-    assert not list(Path(shared_folder(spark).removeprefix("file:")).glob("report-*"))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("report_")]
+    assert not list(Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")).glob("report_*"))
     for name in names:
         assert list((tmp_path / name).glob("part-*.csv")), name
     without = write_report(frames, str(tmp_path / "parquet"), as_csv=False)
@@ -116,6 +159,39 @@ def test_conformed_tables_give_the_same_results_without_moving_facts(spark, fram
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_facts_can_be_appended(spark, frames, tmp_path):
+    """Payments and activity in two loads give what one load gives."""
+    loads = []
+    for part in (0, 1):
+        mine = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(2)) == part
+        loads.append(
+            GrowthFrames(frames.profiles, frames.payments.where(mine), frames.activity.where(mine))
+        )
+    folder = f"file://{tmp_path}/tables"
+    save_conformed(loads[0], "loads", 4, folder)
+    append_facts(loads[1], "loads", 4, folder)
+    loaded = load_conformed(spark, "loads", frames, folder)
+    other = load_conformed(spark.newSession(), "loads", frames, folder)
+    spark.sql("DROP TABLE loads_profile_dim")
+    spark.sql("DROP TABLE loads_booking_days")
+    spark.sql("DROP TABLE loads_activity_stretches")
+    from_files = load_conformed(spark, "loads", frames, folder)
+    for query in ["segment_rpi", "ltv_90", "cohort_retention_revenue"]:
+        expected = sorted(map(str, MARKETING_QUERIES[query](frames).collect()))
+        assert sorted(map(str, MARKETING_QUERIES[query](from_files).collect())) == expected
+    assert loaded.dim.columns == other.dim.columns
+
+
+def test_a_doubled_profile_fails_the_query(spark, frames):
+    doubled = frames.with_ready(dim=frames.dim.unionAll(frames.dim))
+    with pytest.raises(Exception, match="more than one row for"):
+        MARKETING_QUERIES["installs_by_channel"](doubled).collect()
+    spark.sql("DROP TABLE IF EXISTS twice_profile_dim")
+    save_conformed(frames.with_ready(trusted=True, dim=frames.dim.unionAll(frames.dim)), "twice", 2)
+    with pytest.raises(Exception, match="more than one row for"):
+        MARKETING_QUERIES["segment_rpi"](load_conformed(spark, "twice", frames)).collect()
+
+
 class Context:
     def __init__(self, master, folder=None):
         self.master, self.folder = master, folder
