@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 8_000_000
+SMALL_CHUNK_BYTES = 1_000_000
 LAST_ID = np.iinfo(np.int64).max
 
 
@@ -25,9 +26,9 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
-    """Enough chunks for their size, and for every task to have some."""
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(-(-text_bytes(docs) // chunk_bytes), 2 * tasks)
+    """Enough chunks for their size; on small inputs one for every task, if not too small."""
+    tasks, size = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs)
+    return max(1, -(-size // chunk_bytes), min(tasks, size // SMALL_CHUNK_BYTES))
 
 
 def chunked(docs: DataFrame, n: int, **more: Column) -> DataFrame:

@@ -191,7 +191,7 @@ class Reader:
         left = (found.seen[:, :-1] * np.arange(1, TRUSTED + 1)) @ (1 - factor[:-1])
         full = (of > 0) & (left <= 0)  # nothing was taken off: make room for one more
         left, room = np.where(full, 1.0, left), of + full
-        lower = found.lower / (self.mass if level == 2 else 1.0)
+        lower = found.lower / (2 * self.mass if level == 2 else 1.0)
         r = found.counts
         with np.errstate(divide="ignore", invalid="ignore"):
             backoff = np.where(of > 0, np.log10(left / room) - np.log10(1 - lower), 0.0)
@@ -204,8 +204,8 @@ class Reader:
         counts = np.bincount(found.back, self.tokens.training, len(found.keys)).astype(np.uint32)
         if level == 1:
             lower = np.zeros(len(found.keys), np.uint8)
-        elif level == 2:  # half counts, which add up exactly
-            lower = self.levels[0].counts[self.levels[0].back][found.at] + 0.5
+        elif level == 2:  # half counts: they compress well and add up exactly
+            lower = (2 * self.levels[0].counts[self.levels[0].back][found.at] + 1).astype(np.uint64)
         else:
             lower = 10 ** self.logs[-1][found.at]
         rows = []
@@ -228,6 +228,13 @@ def _message(rows: list[dict]) -> pa.Table:
     return chunks.as_table({c: [row.get(c) for row in rows] for c in names}, MESSAGE)
 
 
+def _added(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by the group they are of, in the type of the values."""
+    total = np.zeros(n, values.dtype)
+    np.add.at(total, of, values)
+    return total
+
+
 def _count(table: pa.Table) -> pa.Table:
     """A bucket: count its n-grams over all chunks and tell each chunk its own."""
     asked = table.to_pylist()
@@ -268,7 +275,7 @@ def _count(table: pa.Table) -> pa.Table:
     few = (counts > 0) & (counts <= TRUSTED)
     np.add.at(seen, (of[few], counts[few] - 1), 1)
     np.add.at(seen[:, TRUSTED], of, counts)
-    mass = np.bincount(of, np.where(counts > 0, lower, 0), len(histories))
+    mass = _added(of, np.where(counts > 0, lower, 0), len(histories))
     hot = np.zeros(len(histories), bool)
     for own, a in zip(owns, asked, strict=True):
         hot[np.searchsorted(histories, own[unpack(a["hot"]) > 0])] = True
@@ -321,7 +328,7 @@ def _add_parts(table: pa.Table) -> pa.Table:
     histories, of = np.unique(own, return_inverse=True)
     seen = np.zeros((len(histories), TRUSTED + 1), np.int64)
     np.add.at(seen, of, np.concatenate([unpack(a["seen"]) for a in parts]).reshape(len(own), -1))
-    lower = np.bincount(of, np.concatenate([unpack(a["lower"]) for a in parts]), len(histories))
+    lower = _added(of, np.concatenate([unpack(a["lower"]) for a in parts]), len(histories))
     told = []
     for a in wants:
         mine = np.searchsorted(histories, unpack_sorted(a["histories"]))
