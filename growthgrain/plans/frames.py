@@ -189,14 +189,24 @@ class GrowthFrames:
     Nothing here runs a job; a frame that several parts of one query use is the same
     plan each time, so Spark shuffles it once. ``ready`` are derived frames, by name,
     that are to be taken from elsewhere, e.g. from a stored table.
+
+    With ``even_payments`` payments meet the profiles one by one instead of added up per
+    day, which spares them a second shuffle; it is for payments of which no one profile
+    id, the missing one included, holds more than a task can read.
     """
 
     def __init__(
-        self, profiles: DataFrame, payments: DataFrame, activity: DataFrame, **ready: DataFrame
+        self,
+        profiles: DataFrame,
+        payments: DataFrame,
+        activity: DataFrame,
+        even_payments: bool = False,
+        **ready: DataFrame,
     ):
         self.profiles = profiles
         self.payments = payments
         self.activity = activity
+        self.even_payments = even_payments
         self.ready = ready
         vars(self).update(ready)
 
@@ -213,7 +223,11 @@ class GrowthFrames:
                 for name, frame in frames.items()
             }
         return GrowthFrames(
-            self.profiles, self.payments, self.activity, **(self.ready | frames)
+            self.profiles,
+            self.payments,
+            self.activity,
+            self.even_payments,
+            **(self.ready | frames),
         )
 
     @cached_property
@@ -232,9 +246,13 @@ class GrowthFrames:
     def activity_stretches(self) -> DataFrame:
         return activity_stretches(self.activity)
 
+    @property
+    def _payments_to_join(self) -> DataFrame:
+        return self.bookings if self.even_payments else self.booking_days
+
     @cached_property
     def profile_value(self) -> DataFrame:
-        return profile_value(self.dim, self.booking_days)
+        return profile_value(self.dim, self._payments_to_join)
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -242,7 +260,7 @@ class GrowthFrames:
 
     @cached_property
     def booking_life(self) -> DataFrame:
-        return bookings_in_life(self.booking_days, self.dim)
+        return bookings_in_life(self._payments_to_join, self.dim)
 
     @cached_property
     def activity_life(self) -> DataFrame:

@@ -68,6 +68,42 @@ def test_facts_are_reduced_before_they_meet_the_profiles(no_broadcast):
         assert re.search(reduced, plan)
 
 
+FACT_EXCHANGES = {
+    "ltv_90": ("bookings", 2, 1),
+    "cumulative_ltv_curve": ("bookings", 2, 1),
+    "weekly_rpu": ("bookings", 2, 1),
+    "payments_weekly": ("bookings", 2, 1),
+    "retention_weekly": ("days", 2, 2),
+}
+
+
+def _payments_of_known_profiles(frames):
+    return GrowthFrames(frames.profiles, frames.payments, frames.activity, even_payments=True)
+
+
+@pytest.mark.parametrize("name", FACT_EXCHANGES)
+def test_exchanges_that_facts_pass(no_broadcast, name):
+    """Added up first, facts pass one exchange and what is left a second; even payments one."""
+    column, reduced, even = FACT_EXCHANGES[name]
+    sample = entry._frames(no_broadcast, SAMPLE)
+    life = "activity_life" if column == "days" else "booking_life"
+    for frames, wanted in ((sample, reduced), (_payments_of_known_profiles(sample), even)):
+        plan = initial_plan(getattr(frames, life))
+        profiles = initial_plan(frames.dim).count("Exchange hashpartitioning")
+        orders = initial_plan(getattr(frames, "payments" if column == "bookings" else "activity"))
+        facts = plan.count("Exchange hashpartitioning") - profiles
+        assert facts - orders.count("Exchange hashpartitioning") == wanted
+        query = MARKETING_QUERIES[name](frames)
+        assert query.columns == MARKETING_QUERIES[name](sample).columns
+
+
+def test_even_payments_give_the_same_results(spark):
+    sample = entry._touch_frames(spark, SAMPLE)
+    for name in ("ltv_90", "weekly_rpu", "channel_recommendation_per_country"):
+        rows = MARKETING_QUERIES[name](_payments_of_known_profiles(sample)).collect()
+        assert sorted(map(str, rows)) == sorted(map(str, MARKETING_QUERIES[name](sample).collect()))
+
+
 def test_counting_users_adds_no_exchange_on_the_profile(no_broadcast):
     frames = entry._frames(no_broadcast, SAMPLE)
     life = initial_plan(frames.activity_life).count("Exchange hashpartitioning")
