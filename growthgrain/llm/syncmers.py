@@ -6,6 +6,7 @@ the k-mer, so a passage keeps its anchors wherever it stands, at the same distan
 each other. All of it is expressions on columns.
 """
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,15 +97,20 @@ def aligned(a: Column, b: Column, shift: Column) -> Column:
     return F.size(F.array_intersect(moved, b))
 
 
+def _literal(values: list, kind: str) -> Column:
+    """A constant array; as one JSON text it costs the plan one node however long it is."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def _ranges(docs: DataFrame, n: int) -> tuple[Column, list[int | None]]:
     """A number from 0 to n - 1 that rises with ``order_id`` in steps of about equally
     many documents, and the largest ``order_id`` of each step."""
     cut = F.percentile_approx("order_id", [i / n for i in range(1, n)], 20 * n)
     bounds = sorted(set(docs.agg(cut).first()[0] or []))
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    held = F.array(*[F.lit(b) for b in bounds]) if bounds else F.lit(None).cast("array<bigint>")
+    held = _literal(bounds, "bigint")
     range_of = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]) if steps else F.array().cast("array<int>"),
+        _literal(steps, "int"),
         F.lit(0),
         lambda at, step: F.when(F.get(held, at + step - 1) <= F.col("order_id"), at + step).otherwise(at),
     )
@@ -126,8 +132,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     there = [i for i, top in enumerate(tops) if top is not None]
     # the range that a range's largest document follows; the very largest follows the smallest
     above = dict(zip(there, [*there[1:], *there[:1]], strict=True))
-    top_of = F.array(*[F.lit(t).cast("bigint") for t in tops])
-    above_of = F.array(*[F.lit(above.get(i)).cast("int") for i in range(len(tops))])
+    top_of = _literal(tops, "bigint")
+    above_of = _literal([above.get(i) for i in range(len(tops))], "int")
     docs = docs.withColumn("own", range_of)
     copies = F.array(
         F.struct(F.col("own").alias("range"), F.lit(False).alias("extra")),
