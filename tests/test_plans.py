@@ -199,3 +199,39 @@ def test_facts_are_read_once(no_broadcast, tmp_path, name):
     payments, activity = READS[name]
     assert read.get("paying_id", 0) == payments * tables[1].count()
     assert read.get("active_id", 0) == activity * tables[2].count()
+
+
+BY = {
+    "segment_anomalies": ("revenue_per_install_usd", True),
+    "channel_efficiency_enhanced": ("revenue_per_install_usd", True),
+    "channel_efficiency_enhanced_per_country": ("revenue_per_install_usd", True),
+    "channel_rank": ("revenue_per_install_usd", True),
+    "summary_q1": ("revenue_per_install_usd", True),
+    "payer_rate_by_channel": ("payer_rate", True),
+    "top_segments": ("installs", True),
+    "ltv_rank": ("ltv_rank", False),
+    "ltv_drivers": ("ltv_90_usd", True),
+    "summary_q2": ("ltv_90_usd", True),
+    "summary_q5": ("ltv_90_usd", True),
+    "channel_recommendation": ("ltv_90_usd", True),
+    "cumulative_ltv_curve": ("acquisition_source", False),
+    "week1_scorecard": ("mean_retention_rate", True),
+    "summary_q3": ("mean_retention_rate", True),
+    "feed_top_installs": ("installs", False),
+    "feed_channel_rpi": ("revenue_per_install_usd", False),
+    "feed_payer_rate": ("payer_rate", False),
+    "feed_ltv_90": ("ltv_90_usd", False),
+    "net_change_by_year": ("year", False),
+    "net_change_pivot": ("year", False),
+    "selector_years": ("year", False),
+    "subscription_trend": ("subscription_type", False),
+}
+
+
+@pytest.mark.parametrize("name", BY)
+def test_rows_come_in_order(spark, name):
+    column, descending = BY[name]
+    values = [r[column] for r in entry.queries()[name](spark, SAMPLE).collect()]
+    there = [v for v in values if v is not None]
+    assert len(there) > 1 and there == sorted(there, reverse=descending)
+    assert values == there + [None] * (len(values) - len(there))
