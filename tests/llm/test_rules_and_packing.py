@@ -149,3 +149,22 @@ def _starts(n):
 def test_special_strings_are_text():
     encode = packing.encoder(packing.vocabulary_path()).encode_ordinary
     assert 50256 not in encode("a <|endoftext|> b")
+
+
+def test_ids_are_those_of_the_tokenizer_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>" * 3, " <|endoftext| > x", "é " * 9000]
+    texts += ["x" + " " * 1_000_000 + "y", "\n" * 1_000_000, "a" + "\u3000" * 9_999 + "b"]
+    rows = packing.pack_documents(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ).collect()
+    assert 50256 in known.encode(texts[0], add_special_tokens=False).ids
+    for i, text in enumerate(texts):
+        pieces = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        ids = [*known.encode(text, add_special_tokens=False).ids, 0]
+        assert [x for r in pieces for x in r.ids] == ids
+        assert [(r.start, r.length) for r in pieces] == list(_starts(len(ids)))
+        assert {r.doc_tokens for r in pieces} == {len(ids)}
