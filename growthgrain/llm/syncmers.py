@@ -1,6 +1,7 @@
 """Document fingerprints of closed syncmers.
 
-A k-mer is a run of ``K`` words. It is chosen if the smallest hash among the runs of
+A k-mer is a run of ``K`` words, or of ``K`` characters in a long run without white
+space. It is chosen if the smallest hash among the runs of
 ``S`` words inside it is at its first or last place. The choice looks at nothing outside
 the k-mer, so a passage keeps its anchors wherever it stands, at the same distances from
 each other. All of it is expressions on columns.
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 K, S = 4, 2
 INNER = K - S + 1
-#: Words; a longer one counts as several.
-TOKEN = r"[^\x20\x09-\x0D]{1,16}"
+#: Words of up to 16 characters; a longer run without white space, as in scripts that do
+#: not part words, counts character by character, so that no piece depends on its place.
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,16}+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
 #: Ranges of documents per shuffle partition.
 RANGES = 8
 SMALLEST = -(1 << 63)

@@ -244,3 +244,17 @@ def test_anchors_are_closed_syncmers_and_move_with_the_text(spark):
         if min(hashes[i : i + inner]) in (hashes[i], hashes[i + inner - 1])
     ]
     assert [x.place for x in row.a] == wanted
+
+
+def test_unspaced_text_keeps_its_anchors_when_it_moves(spark):
+    rng = random.Random(5)
+    long = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(4000)) + "𠀀" * 3
+    words = "some words of at most sixteencharacter letters " * 3
+    rows = [(long, "一" + long), (f"{words}{long} {words}", f"{words}x{long} {words}")]
+    docs = spark.createDataFrame(rows, "a string, b string")
+    a, b = syncmers.anchors(F.col("a")), syncmers.anchors(F.col("b"))
+    near = syncmers.likeness(syncmers.hashes(a), syncmers.hashes(b))
+    for row in docs.select(a.alias("a"), near.alias("near")).collect():
+        assert len(row.a) > 1600 and row.near > 0.99
+    pieces = F.regexp_extract_all(F.lit("a" * 16 + " " + "bé𠀀" * 6 + "\nend"), F.lit(syncmers.TOKEN), F.lit(0))
+    assert docs.select(pieces).first()[0] == ["a" * 16, *"bé𠀀" * 6, "end"]
