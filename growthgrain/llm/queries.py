@@ -27,7 +27,7 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op3_katz(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     learn = katz.training(F.col("doc_id"))
-    return katz.scores(docs, learn).select(
+    return katz.scores(docs, learn, order=3).select(
         "row.doc_id",
         (~katz.training(F.col("row.doc_id"))).alias("held_out"),
         *["n_tokens", "n_known", "train_tokens", "base_score", "score"],

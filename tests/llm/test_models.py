@@ -10,7 +10,7 @@ import pytest
 from odd_rows import ODD, none, odd, shared  # noqa: F401
 from pyspark.sql import functions as F
 
-from growthgrain.llm import katz, language, syncmers
+from growthgrain.llm import katz, language, queries, syncmers
 from growthgrain.llm.words import read_words
 
 
@@ -258,3 +258,14 @@ def test_unspaced_text_keeps_its_anchors_when_it_moves(spark):
         assert len(row.a) > 1600 and row.near > 0.99
     pieces = F.regexp_extract_all(F.lit("a" * 16 + " " + "bé𠀀" * 6 + "\nend"), F.lit(syncmers.TOKEN), F.lit(0))
     assert docs.select(pieces).first()[0] == ["a" * 16, *"bé𠀀" * 6, "end"]
+
+
+def test_registered_katz_model_has_three_words(spark, tmp_path):
+    texts = ["a b c d a b c", "a b d", "x b c a b c d", "b c", "a b c a b c", "c d a b"]
+    rows = [(i, text) for i, text in enumerate(texts * 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.QUERIES["op3_katz"](spark, str(tmp_path)).collect()}
+    plain = PlainKatz([tokens(t) for i, t in rows if not found[i].held_out], 3)
+    for i, text in rows:
+        assert found[i].score == pytest.approx(plain.score(tokens(text)), rel=1e-9)
