@@ -6,7 +6,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthgrain.llm import chats, katz, language, mixing, packing, quality, simhash, substrings, syncmers, warc
+from growthgrain.llm import chats, katz, language, mixing, packing, quality, simhash, substrings, syncmers, tries, warc
 from growthgrain.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_tries(spark: SparkSession, folder: str) -> DataFrame:
+    return tries.prefix_nodes(_table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_syncmers": op1_syncmers,
     "op2_mixing": op2_mixing,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_substrings": op9_substrings,
     "op10_simhash": op10_simhash,
+    "op11_tries": op11_tries,
 }
 
 SQL: dict[str, str] = {
@@ -89,4 +94,5 @@ SQL: dict[str, str] = {
     "op6_chats": chats.SQL,
     "op7_warc": warc.SQL,
     "op9_substrings": substrings.SQL,
+    "op11_tries": tries.SQL,
 }
