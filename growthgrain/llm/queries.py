@@ -6,7 +6,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthgrain.llm import chats, katz, language, mixing, packing, quality, simhash, substrings, syncmers, tries, warc
+from growthgrain.llm import alignment, chats, katz, language, mixing, packing, quality, simhash, substrings, syncmers, tries, warc
 from growthgrain.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,11 @@ def op11_tries(spark: SparkSession, folder: str) -> DataFrame:
     return tries.prefix_nodes(_table(spark, folder, "conversations"))
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return alignment.linked(docs).select("row.doc_id", "*").drop("row")
+
+
 QUERIES: dict[str, Query] = {
     "op1_syncmers": op1_syncmers,
     "op2_mixing": op2_mixing,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op9_substrings": op9_substrings,
     "op10_simhash": op10_simhash,
     "op11_tries": op11_tries,
+    "op12_alignment": op12_alignment,
 }
 
 SQL: dict[str, str] = {
