@@ -6,7 +6,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthgrain.llm import alignment, chats, katz, language, mixing, packing, quality, simhash, substrings, syncmers, tries, warc
+from growthgrain.llm import alignment, chats, katz, language, mixing, packing, private, quality, simhash, substrings, syncmers, tries, warc
 from growthgrain.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,16 @@ def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.linked(docs).select("row.doc_id", "*").drop("row")
 
 
+def op13_private(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return private.private_spans(docs).select(
+        "row.doc_id",
+        *[f"n_{kind}" for kind in private.KINDS],
+        F.sha2(private.span_text(F.col("base")), 256).alias("base_sha256"),
+        private.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_syncmers": op1_syncmers,
     "op2_mixing": op2_mixing,
@@ -92,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": op10_simhash,
     "op11_tries": op11_tries,
     "op12_alignment": op12_alignment,
+    "op13_private": op13_private,
 }
 
 SQL: dict[str, str] = {

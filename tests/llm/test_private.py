@@ -1,0 +1,199 @@
+"""Personal data against plain regular expressions, and patterns against plain Python."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from odd_rows import ODD, none, odd, shared  # noqa: F401
+
+from growthgrain.llm import private
+
+#: The forms as they are stated.
+FORMS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def valid(kind, match):
+    digits = re.sub("[^0-9]", "", match)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in match.split("."))
+    if kind == "card":
+        total = 0
+        for i, d in enumerate(reversed(digits)):
+            d = int(d) * (1 + i % 2)
+            total += d // 10 + d % 10
+        return 14 <= len(digits) <= 19 and total % 10 == 0
+    return kind == "email" or 10 <= len(digits) <= 15
+
+
+def plain_base(text):
+    found = [
+        (m.start(), k, m.end())
+        for k, form in enumerate(FORMS.values())
+        for m in re.finditer(form, text or "")
+        if valid(list(FORMS)[k], m.group())
+    ]
+    return sorted(found)
+
+
+ALPHABET = ["a", "Z", "7", "12", "255", "256", ".", "@", "+", "-", " ", "(", ")", "%", "4111", "1.2.3", "é", "😀", "\n", "00", "example.com"]
+
+
+def test_base_spans_are_those_of_the_stated_forms():
+    chance = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(chance.choice(ALPHABET) for _ in range(chance.randint(0, 25)))
+        assert [tuple(s) for s in private.base_spans(text)] == plain_base(text), repr(text)
+    for _ in range(5000):
+        text = "".join(chance.choice("0123456789 -+.") for _ in range(chance.randint(10, 60)))
+        assert [tuple(s) for s in private.base_spans(text)] == plain_base(text), repr(text)
+
+
+@pytest.mark.parametrize(
+    "text", ["a" * 1_000_000, "7" * 1_000_000, "1." * 500_000, "+1 " * 300_000, "@a" * 500_000, "a.b@" * 200_000, "- " * 500_000]
+)
+def test_long_texts_take_time_in_proportion(text):
+    spans = private.base_spans(text)
+    private.candidates(text, spans)
+
+
+def context_keys(text):
+    """For each word, the patterns it stands in, as words."""
+    words = (text or "").lower().encode().split()
+    found = []
+    for i in range(len(words)):
+        own = []
+        if i:
+            own.append(("before", words[i - 2] if i > 1 else None, words[i - 1]))
+            if i + 1 < len(words):
+                own.append(("around", words[i - 1], words[i + 1]))
+        found.append(own)
+    return found
+
+
+def word_at(text, place):
+    at = 0
+    for i, m in enumerate(re.finditer(r"[^\x20\x09-\x0D]+", text)):
+        if m.start() <= place < m.end():
+            return i
+    raise ValueError(at)
+
+
+def brute(texts, rounds=3, support=3, trust=800_000):
+    """Base and added spans by dictionaries."""
+    edges, totals, looks = Counter(), Counter(), []
+    for n, text in enumerate(texts):
+        keys = context_keys(text)
+        for own in keys:
+            totals.update(own)
+        text = text or ""
+        base = private.base_spans(text)
+        given = [(s.start, s.end, (s.kind,), True) for s in base]
+        given += [(c.start, c.end, c.kinds, False) for c in private.candidates(text, base)]
+        for start, end, kinds, seed in given:
+            i, j = word_at(text, start), word_at(text, end - 1)
+            for p in keys[i]:
+                if p[0] == "before" or i == j:
+                    for k in kinds:
+                        edges[p, text[start:end].lower(), k, seed] += 1
+                        if not seed:
+                            looks.append((n, start, k, end, p))
+    instances = defaultdict(set)
+    for p, i, _, _ in edges:
+        instances[p].add(i)
+    edges = {e: n for e, n in edges.items() if len(instances[e[0]]) >= support}
+    seeds = {(i, k): 1_000_000 for _, i, k, seed in edges if seed}
+    scores, trusted = seeds, {}
+    for _ in range(rounds):
+        known, backing = Counter(), defaultdict(set)
+        for (p, i, k, _), n in edges.items():
+            if (i, k) in scores:
+                known[p, k] += n * scores[i, k]
+                backing[p, k].add(i)
+        trusted = {
+            pk: min(1_000_000, s // totals[pk[0]])
+            for pk, s in known.items()
+            if len(backing[pk]) >= support
+        }
+        trusted = {pk: c for pk, c in trusted.items() if c >= trust}
+        if not trusted:
+            break
+        scores = dict(seeds)
+        for p, i, k, seed in edges:
+            if not seed and (i, k) not in seeds and (p, k) in trusted:
+                scores[i, k] = max(scores.get((i, k), 0), trusted[p, k])
+    added = defaultdict(set)
+    for n, start, k, end, p in looks:
+        if (p, k) in trusted:
+            added[n].add((start, k, end))
+    return [
+        (plain_base(t), sorted({*plain_base(t)} | added[n])) for n, t in enumerate(texts)
+    ], trusted
+
+
+def corpus():
+    chance = random.Random(11)
+    texts = []
+    for i in range(40):
+        phone = f"+1 (202) 555-{chance.randint(1000, 9999)}"
+        mail = f"user{i}@mail{i % 5}.example.com"
+        texts.append(f"please call me: {phone} or write to {mail} when you can")
+        texts.append(f"My IP was 10.{i}.7.{i + 9} today, says number {i} of the list")
+    texts += [f"please call me: 555-{1000 + i} soon" for i in range(7)]
+    texts += [f"please call me: 555-{1000 + i} soon" for i in range(3)]
+    texts += [f"reach them by 555-{1000 + i} now" for i in range(5)]
+    texts += [f"reach them by 777-{2000 + i} now" for i in range(1)]
+    texts += [f"the code is 555-{3000 + i} or so" for i in range(6)]
+    texts += ["write to bob[at]example.org when", "write to whom it may concern", "and of 4929348385146306 the"]
+    texts += [None, "", "great \n\t", "text of the and " * 500]
+    return texts
+
+
+def found_spans(df):
+    rows = df.collect()
+    return [([tuple(s) for s in r.base], [tuple(s) for s in r.spans]) for r in rows]
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_patterns_find_identifiers_without_a_fixed_form(spark, rounds):
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    found = private.private_spans(docs, rounds=rounds).orderBy("row.doc_id")
+    wanted, trusted = brute(texts, rounds)
+    assert found_spans(found) == wanted
+    added = {t[s:e] for t, (base, spans) in zip(texts, wanted, strict=True) for s, k, e in spans if (s, k, e) not in base}
+    assert "555-1003" in added and "bob[at]example.org" in added
+    assert "555-3001" not in added
+    # 777-2000 stands only where numbers found in the first round stand
+    assert ("777-2000" in added) == (rounds > 1)
+
+
+def test_totals_over_several_readings(spark):
+    docs = spark.createDataFrame([(t,) for t in corpus()], "text string").repartition(2)
+    found = private.scan(docs)
+    whole = private.graph(found, docs)
+    patterns = whole.totals.select("pattern")
+    parts = private.totals(docs, patterns, at_once=3)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.totals.collect()))
+
+
+def test_sample_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    wanted, _ = brute(texts)
+    assert found_spans(private.private_spans(docs).orderBy("row.doc_id")) == wanted
+    assert any(base for base, _ in wanted)
+
+
+def test_odd_rows(spark, odd, none):  # noqa: F811
+    found = private.private_spans(odd).select("row.doc_id", "row.bucket", "base", "spans").collect()
+    assert len(found) == len(ODD)
+    wanted, _ = brute([r[1] for r in ODD])
+    assert sorted(len(r.spans) for r in found) == sorted(len(s) for _, s in wanted)
+    assert {r.bucket for r in found} == {"b"}
+    assert private.private_spans(none).count() == 0
