@@ -128,12 +128,23 @@ channel_totals AS (
 channel_efficiency AS (
   SELECT *, CAST(0 AS DOUBLE) AS rpi_std, revenue_per_install_usd AS rpi_min,
          revenue_per_install_usd AS rpi_max FROM channel_totals),
+country_units AS (
+  SELECT acquisition_source, CAST(installs AS HUGEINT) AS w, revenue_per_install_usd AS rpi,
+         CAST(floor(revenue_per_install_usd * 1e9 + 0.5) AS HUGEINT) AS x
+  FROM segment_rpi),
+country_sums AS (
+  SELECT acquisition_source, CAST(sum(w) AS HUGEINT) AS weight, CAST(sum(w * x) AS HUGEINT) AS total,
+         min(rpi) AS rpi_min, max(rpi) AS rpi_max
+  FROM country_units GROUP BY ALL),
+country_squares AS (
+  SELECT s.*, total - total // weight * weight AS off,
+         CAST(sum(w * (x - total // weight) * (x - total // weight)) AS HUGEINT) AS square
+  FROM country_sums s JOIN country_units u ON {_same("s", "u", "acquisition_source")} GROUP BY ALL),
 channel_efficiency_per_country AS (
-  SELECT c.*, sqrt(sum(s.installs * (s.revenue_per_install_usd - c.revenue_per_install_usd) ** 2)
-                    / sum(s.installs)) AS rpi_std,
-         min(s.revenue_per_install_usd) AS rpi_min, max(s.revenue_per_install_usd) AS rpi_max
-  FROM channel_totals c JOIN segment_rpi s ON {_same("c", "s", "acquisition_source")}
-  GROUP BY ALL),
+  SELECT c.*, floor(sqrt(greatest(CAST(square AS DOUBLE)
+             - CAST(off AS DOUBLE) * CAST(off AS DOUBLE) / CAST(weight AS DOUBLE), 0)
+           / CAST(weight AS DOUBLE)) + 0.5) / 1e9 AS rpi_std, rpi_min, rpi_max
+  FROM channel_totals c JOIN country_squares s ON {_same("c", "s", "acquisition_source")}),
 channel_efficiency_enhanced AS (
   SELECT *, CASE WHEN revenue_per_install_usd > 0 THEN rpi_std / revenue_per_install_usd END AS rpi_cv
   FROM channel_efficiency),

@@ -1,58 +1,72 @@
-"""Statistics over small derived tables."""
-
-from collections.abc import Callable
+"""Statistics over derived tables."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from growthgrain.functions.aggregates import sum_or_zero
 
+# Values enter the deviation in billionths; they are split at one, so that sums of
+# products keep to 38 digits.
+UNIT = 1_000_000_000
+
 
 def scalars(one_row: DataFrame) -> dict[str, Column]:
-    """Each column of a one-row table as a scalar subquery."""
-    return {name: one_row.select(name).scalar() for name in one_row.columns}
+    """Each column of a one-row table as a part of one scalar subquery."""
+    row = one_row.select(F.struct(*one_row.columns)).scalar()
+    return {name: row[name] for name in one_row.columns}
+
+
+def _split(units: Column) -> tuple[Column, Column]:
+    """Whole values and billionths of a number of billionths, the second not negative."""
+    rest = F.pmod(units, F.lit(UNIT))
+    return F.round((units - rest) / F.lit(UNIT)).cast("decimal(10,0)"), rest.cast("decimal(10,0)")
 
 
 def weighted_sd(
     df: DataFrame, keys: list[str], value: str, weight: str, name: str, **more: Column
 ) -> DataFrame:
-    """Weighted population standard deviation of ``value`` per ``keys``.
-
-    ``more`` are further aggregates to take in the same grouping.
-    0 where the weights add up to 0. Rows without a value drop out of both means;
-    a row with a value but no weight makes the result NULL. The deviations are
-    taken from the mean in a second pass, which avoids the cancellation of the
-    one-pass formula. Both passes add in the order of the values, so the result is
-    the same to the last bit in every run; for that a group is held in one array,
-    which suits groups like the countries of a channel.
-    """
-    x, w = F.col(value).cast("double"), F.col(weight)
-    present = x.isNotNull()
-    pairs = F.array_sort(
-        F.collect_list(F.when(present, F.struct(x.alias("x"), w.cast("double").alias("w"))))
-    )
+    """Weighted population standard deviation of ``value`` per ``keys``, in billionths.
 
-    def total(term: Callable[[Column], Column]) -> Column:
-        return F.aggregate("_pairs", F.lit(0.0), lambda sum_, p: sum_ + term(p))
+    ``more`` are further aggregates to take in the same grouping. Weights are whole
+    numbers. 0 where the weights add up to 0. Rows without a value drop out of both means;
+    a row with a value but no weight makes the result NULL.
 
+    Values are rounded to billionths. Weights, weighted values and weighted squares are
+    added up as whole numbers, so exactly and in any order; they combine on the map side,
+    and a group is six numbers. The mean is taken off the sums afterwards, exactly too, so
+    nothing cancels. Values from 9e9 on, and squares that add up to 1e20 or more, fail the
+    query.
+    """
+    present = F.col(value).isNotNull()
+    w = F.when(present, F.col(weight)).cast("decimal(19,0)")
+    units = F.floor(F.col(value).cast("double") * float(UNIT) + 0.5).cast("bigint")
+    a, b = _split(units)
+    moments = {"w": w, "a": w * a, "b": w * b, "aa": w * a * a, "ab": w * a * b, "bb": w * b * b}
+    sums = [F.sum(m.cast("decimal(38,0)")).alias(f"_{n}") for n, m in moments.items()]
+    summed = df.groupBy(*keys).agg(
+        *sums,
+        sum_or_zero(F.col(weight)).alias("_weight"),
+        F.count_if(present & F.col(weight).isNull()).alias("_unweighted"),
+        *[column.alias(c) for c, column in more.items()],
+    )
+    w, a, b, aa, ab, bb = (F.col(f"_{n}") for n in moments)
+    mean = F.expr("CASE WHEN _w <> 0 THEN _total div _w END")
+    mean_a, mean_b = _split(F.col("_mean"))
+    large = aa - 2 * mean_a * a + mean_a * mean_a * w
+    mixed = ab - mean_a * b - mean_b * a + mean_a * mean_b * w
+    small = bb - 2 * mean_b * b + mean_b * mean_b * w
+    unit = F.lit(UNIT).cast("decimal(10,0)")
+    off, weights = (F.col("_total") - F.col("_mean") * w).cast("double"), w.cast("double")
+    square = (large * unit * unit + 2 * mixed * unit + small).cast("double")
+    deviation = F.sqrt(F.greatest(square - off * off / weights, F.lit(0.0)) / weights)
     return (
-        df.groupBy(*keys)
-        .agg(
-            pairs.alias("_pairs"),
-            sum_or_zero(w).alias("_weight"),
-            F.count_if(present & w.isNull()).alias("_unweighted"),
-            *[column.alias(c) for c, column in more.items()],
-        )
-        .withColumn("_all", total(lambda p: p["w"]))
-        .withColumn("_mean", F.try_divide(total(lambda p: p["x"] * p["w"]), F.col("_all")))
-        .withColumn(
-            "_square", total(lambda p: p["w"] * (p["x"] - F.col("_mean")) * (p["x"] - F.col("_mean")))
-        )
+        summed.withColumn("_total", (a * unit + b).cast("decimal(38,0)"))
+        .withColumn("_mean", mean)
         .select(
             *keys,
             F.when(F.col("_weight") == 0, F.lit(0.0))
-            .when(F.col("_unweighted") > 0, F.lit(None))
-            .otherwise(F.sqrt(F.try_divide("_square", "_all")))
+            .when((F.col("_unweighted") > 0) | (w == 0), F.lit(None))
+            .otherwise(F.floor(deviation + 0.5) / float(UNIT))
             .alias(name),
             *more,
         )

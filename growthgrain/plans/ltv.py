@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from growthgrain.functions.columns import safe_ratio, usd
 from growthgrain.functions.daybits import days_between
 from growthgrain.operators.keys import KEY, null_safe_left
-from growthgrain.operators.ordered import largest_first, quantile, ranked, running_sum
+from growthgrain.operators.ordered import largest_first, quantiles, ranked, running_sum
 from growthgrain.operators.regression import ols_fit_predict
 from growthgrain.operators.stats import scalars
 
@@ -114,7 +114,7 @@ def ltv_model(ltv: DataFrame, retention: DataFrame) -> DataFrame:
 
 
 def ltv_regression(model_table: DataFrame) -> DataFrame:
-    """Model table with the least-squares fit of LTV on its three rates. Runs a job."""
+    """Model table with the least-squares fit of LTV on its three rates."""
     return ols_fit_predict(
         model_table,
         "ltv_90_usd",
@@ -167,10 +167,7 @@ def cumulative_ltv_curve(dim: DataFrame, booking_life: DataFrame) -> DataFrame:
 def ltv_drivers(ltv: DataFrame) -> DataFrame:
     """What drives each channel's LTV, against the medians over channels."""
     median = scalars(
-        ltv.agg(
-            quantile("payer_rate_90", 0.5).alias("payer_rate"),
-            quantile("arppu_90_usd", 0.5).alias("arppu"),
-        )
+        quantiles(ltv, {"payer_rate": ("payer_rate_90", 0.5), "arppu": ("arppu_90_usd", 0.5)})
     )
     converts = F.col("payer_rate_90") >= median["payer_rate"]
     spends = F.col("arppu_90_usd") >= median["arppu"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from growthgrain.operators.keys import null_safe_left
-from growthgrain.operators.ordered import quantile
+from growthgrain.operators.ordered import quantiles
 from growthgrain.plans.ltv import SOURCE, best_first
 
 # Channels singled out by default, and the texts of the table.
@@ -34,7 +34,7 @@ def channel_recommendation(
     """
     spread = efficiency.select(SOURCE, "revenue_per_install_usd", "rpi_std")
     if median_spread is None:
-        median_spread = spread.agg(quantile("rpi_std", 0.5)).scalar()
+        median_spread = quantiles(spread, {"median": ("rpi_std", 0.5)}).scalar()
     return best_first(
         null_safe_left(ltv, spread, [SOURCE]).withColumns(
             {

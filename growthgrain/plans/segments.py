@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from growthgrain.functions.aggregates import pearson
 from growthgrain.functions.columns import joined_label, safe_ratio, usd
-from growthgrain.operators.ordered import largest_first, quantile, top_rows
+from growthgrain.operators.ordered import largest_first, quantiles, top_rows
 from growthgrain.operators.stats import scalars, weighted_sd
 
 SEGMENT = ["acquisition_source", "signup_country_code"]
@@ -88,8 +88,8 @@ def channel_efficiency(segments: DataFrame) -> DataFrame:
 def channel_efficiency_per_country(segments: DataFrame) -> DataFrame:
     """Totals per channel with the install-weighted spread of its countries' RPI.
 
-    ``rpi_std`` is added up in a fixed order, so that comparing it with a median of the
-    same column does not hinge on the order of a sum.
+    ``rpi_std`` comes from exact sums, so that comparing it with a median of the same
+    column does not hinge on the order of a sum.
     """
     key = ["acquisition_source"]
     more = _totals() | {"rpi_min": F.min(RPI), "rpi_max": F.max(RPI)}
@@ -106,12 +106,13 @@ def channel_efficiency_per_country(segments: DataFrame) -> DataFrame:
 
 def segment_thresholds(segments: DataFrame) -> DataFrame:
     """Median and 90th percentile of RPI, quartiles of installs: exact, interpolated."""
-    return segment_rpi(segments).agg(
-        quantile(RPI, 0.5).alias("rpi_median"),
-        quantile("installs", 0.75).alias("install_q75"),
-        quantile("installs", 0.25).alias("install_q25"),
-        quantile(RPI, 0.9).alias("rpi_q90"),
-    )
+    wanted = {
+        "rpi_median": (RPI, 0.5),
+        "install_q75": ("installs", 0.75),
+        "install_q25": ("installs", 0.25),
+        "rpi_q90": (RPI, 0.9),
+    }
+    return quantiles(segment_rpi(segments), wanted)
 
 
 def segment_anomalies(segments: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Operators against brute force in pandas or numpy."""
 
 import datetime as dt
+import math
 import random
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -33,7 +35,7 @@ from growthgrain.operators.keys import (
     with_key,
 )
 from growthgrain.operators import ordered
-from growthgrain.operators.ordered import largest_first, quantile, ranked, running_sum, top_rows
+from growthgrain.operators.ordered import largest_first, quantiles, ranked, running_sum, top_rows
 from growthgrain.operators.regression import ols_fit_predict
 from growthgrain.operators.stats import weighted_sd
 from growthgrain.session import shared_folder
@@ -130,14 +132,79 @@ def test_ranks_equal_a_sort_and_use_no_single_task(spark):
     assert ranked(df.limit(0), "v", ["k"], "n").count() == 0
 
 
-def test_quantiles(spark, monkeypatch):
-    values = [random.Random(4).uniform(0, 100) for _ in range(31)]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    row = df.agg(quantile("v", 0.5), quantile("v", 0.9)).first()
-    assert tuple(row) == pytest.approx((np.quantile(values, 0.5), np.quantile(values, 0.9)))
-    monkeypatch.setattr(ordered, "MOST_VALUES", 30)
-    with pytest.raises(Exception, match="more than 30 values"):
-        df.agg(quantile("v", 0.5)).first()
+def test_a_million_equal_values_are_ranked_in_many_runs(spark):
+    df = spark.range(1_000_000).select(F.lit(2.5).alias("v"), F.reverse(F.col("id").cast("string")).alias("k"))
+    found = ranked(df, "v", ["k"], "n")
+    first = F.array_sort(F.collect_list(F.when(F.col("n") <= 5, F.struct("n", "k"))))
+    row = found.agg(F.sum("n").alias("sum"), F.count_distinct("n").alias("n"), first.alias("first")).first()
+    assert (row["sum"], row["n"]) == (500_000_500_000, 1_000_000)
+    assert [r.k for r in row["first"]] == [r.k for r in df.orderBy("k").limit(5).collect()]
+    keyed = df.withColumn("_key", F.struct(F.lit(False).alias("k0"), F.lit(-2.5).alias("k1"), F.lit(False).alias("k2"), F.col("k").alias("k3")))
+    runs = ordered._in_runs(keyed).groupBy("_run").count().collect()
+    assert len(runs) > 900
+    assert max(r["count"] for r in runs) < 10_000
+
+
+def test_ranks_do_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([1.0, 2.0, None]), rng.choice(["x", None, "y"]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "v double, t string, k int")
+    one, other = (sorted(ranked(df.repartition(n), "v", ["t", "k"], "n").collect(), key=lambda r: r.n) for n in (1, 7))
+    assert one == other
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is None, r[1] or "", r[2]))
+    assert [(r.v, r.t, r.k) for r in one] == order
+
+
+def exact_quantile(values, share):
+    values = sorted(values)
+    at = (len(values) - 1) * share
+    low, high = values[math.floor(at)], values[math.ceil(at)]
+    return low + (high - low) * (at - math.floor(at))
+
+
+SPREADS = {
+    "one": lambda rng: 7.25,
+    "ties": lambda rng: float(rng.randint(-2, 2)),
+    "even": lambda rng: rng.uniform(0, 100),
+    "tiny to huge": lambda rng: rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300),
+    "next to each other": lambda rng: 1.0 + rng.randint(0, 40) * 2**-52,
+    "zeros": lambda rng: rng.choice([0.0, -0.0, 5e-324, -5e-324]),
+}
+
+
+@pytest.mark.parametrize("spread", SPREADS)
+def test_quantiles_are_exact(spark, spread):
+    rng = random.Random(4)
+    values = [SPREADS[spread](rng) for _ in range(rng.choice([1, 2, 301]))] + [None, None]
+    whole = [rng.randint(0, 9) for _ in values]
+    df = spark.createDataFrame(list(zip(values, whole)), "v double, n int").repartition(3)
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    found = quantiles(df, {f"v{q}": ("v", q) for q in shares} | {"n": ("n", 0.75)}).collect()
+    wanted = [exact_quantile([v for v in values if v is not None], q) for q in shares]
+    assert list(found[0])[:-1] == wanted
+    assert found[0]["n"] == exact_quantile(whole, 0.75)
+    assert len(found) == 1
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([(None, 1.0)], "v double, w double")
+    assert tuple(quantiles(df, {"a": ("v", 0.5), "b": ("w", 0.5)}).first()) == (None, 1.0)
+    assert tuple(quantiles(df.limit(0), {"a": ("v", 0.5)}).first()) == (None,)
+
+
+def test_quantiles_of_ten_million_values_hold_few_in_a_task(spark):
+    n = 10_000_000
+    spread = (F.pmod(F.col("id") * 7_368_787, F.lit(n)) + 1) / 1000
+    df = spark.range(n).select(spread.alias("v"))
+    wanted = {"low": ("v", 0.1), "mid": ("v", 0.5), "high": ("v", 0.999)}
+    row = quantiles(df, wanted).first()
+    for name, (_, share) in wanted.items():
+        at = (n - 1) * share
+        low, high = (math.floor(at) + 1) / 1000, (math.ceil(at) + 1) / 1000
+        assert row[name] == low + (high - low) * (at - math.floor(at))
+    plan = quantiles(df, wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.replace("SinglePartition, ENSURE_REQUIREMENTS", "", 1)
+    assert "percentile" not in plan and "collect" not in plan
 
 
 def test_two_rows_for_a_key_fail_the_query(spark):
@@ -211,6 +278,42 @@ def test_first_row_is_the_first_of_the_sorted_rows(spark, data):
         assert first == sorted((r[1:] for r in data if r[0] == key), key=order)[0]
 
 
+def exact_sd(pairs):
+    """In billionths, by fractions."""
+    kept = [(math.floor(x * 1e9 + 0.5), w) for x, w in pairs if x is not None]
+    weight = sum(w for _, w in kept)
+    mean = Fraction(sum(x * w for x, w in kept), weight)
+    return math.sqrt(sum(w * (x - mean) ** 2 for x, w in kept) / weight) / 1e9
+
+
+@pytest.mark.parametrize(
+    "value",
+    [
+        lambda rng: rng.uniform(0, 40),
+        lambda rng: 1e6 + rng.uniform(-1e-6, 1e-6),
+        lambda rng: 5 - 1e-9 * rng.randint(0, 3),
+        lambda rng: -rng.uniform(0, 1e5),
+        lambda rng: 3.0,
+    ],
+)
+def test_weighted_sd_is_exact_in_any_order(spark, value):
+    rng = random.Random(8)
+    pairs = [(value(rng), rng.randint(0, 10**6)) for _ in range(2000)]
+    found = set()
+    for parts in (1, 5):
+        rng.shuffle(pairs)
+        df = spark.createDataFrame([("k", x, w) for x, w in pairs], "k string, x double, w long")
+        found.add(weighted_sd(df.repartition(parts), ["k"], "x", "w", "sd").first()["sd"])
+    assert len(found) == 1
+    assert found.pop() == pytest.approx(exact_sd(pairs), abs=1.01e-9)
+
+
+def test_weighted_sd_holds_no_group_in_one_row(spark):
+    df = spark.createDataFrame([("k", 1.0, 2)], "k string, x double, w long")
+    plan = weighted_sd(df, ["k"], "x", "w", "sd")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect" not in plan
+
+
 numbers = st.one_of(st.none(), st.integers(-50, 50).map(float))
 
 
@@ -280,6 +383,34 @@ def test_ols_matches_numpy_and_leaves_gaps_unscored(spark):
     assert by_a[0.5] == pytest.approx(coefficients @ [1, 0.5, 0.1, 3.0], abs=1e-8)
 
 
+def test_features_that_others_explain_are_left_out(spark):
+    rng = np.random.default_rng(4)
+    a, c = rng.normal(size=30), rng.normal(size=30)
+    y = 3 * a - c + 2 + rng.normal(size=30)
+    data = [(float(v), float(p), 7.0, float(2 * p - 1), float(q)) for v, p, q in zip(y, a, c)]
+    df = spark.createDataFrame(data, "y double, a double, one double, twice double, c double")
+    got = ols_fit_predict(df, "y", ["a", "one", "twice", "c"], "fit").collect()
+    design = np.column_stack([np.ones(30), a, c])
+    wanted = dict(zip(a, design @ np.linalg.lstsq(design, y, rcond=None)[0]))
+    assert [r.fit for r in got] == pytest.approx([wanted[r.a] for r in got], abs=1e-9)
+
+
+def test_fits_of_few_rows(spark):
+    rows = [(1.0, 1.0, 5.0), (3.0, 2.0, 9.0)]
+    df = spark.createDataFrame(rows, "y double, a double, b double")
+    assert [r.fit for r in ols_fit_predict(df, "y", ["a", "b"], "fit").orderBy("y").collect()] == pytest.approx([1, 3])
+    assert ols_fit_predict(df.limit(0), "y", ["a", "b"], "fit").count() == 0
+    gap = spark.createDataFrame([(None, 1.0, 5.0)], "y double, a double, b double")
+    assert [r.fit for r in ols_fit_predict(gap, "y", ["a", "b"], "fit").collect()] == [None]
+
+
+def test_a_fit_runs_nothing_before_it_is_asked_for(spark):
+    df = spark.range(9).select(F.raise_error(F.lit("read")).cast("double").alias("y"), F.col("id").cast("double").alias("a"))
+    lazy = ols_fit_predict(df, "y", ["a"], "fit")
+    with pytest.raises(Exception, match="read"):
+        lazy.collect()
+
+
 def test_a_fit_leaves_no_files(spark):
     folder = Path(shared_folder(spark).removeprefix("file:"))
     before = set(folder.rglob("*"))
