@@ -36,7 +36,7 @@ activity AS (
 
 TOUCH_INPUTS = """
 customer_orders AS (
-  SELECT orders.*, n_name,
+  SELECT orders.*, n_name, c_nationkey,
          CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN CAST(o_custkey AS VARCHAR) END AS profile_id
   FROM orders JOIN customer ON o_custkey = c_custkey
   LEFT JOIN nation ON c_nationkey = n_nationkey),
@@ -45,13 +45,15 @@ profiles AS (
          nullif(n_name, 'NATION_7') AS signup_country_code,
          CASE WHEN year(o_orderdate) < 1998 THEN 'iOS' ELSE 'Android' END AS signup_platform,
          o_orderdate AS first_activity_time
-  FROM customer_orders WHERE o_custkey % 7 <> 0),
+  FROM customer_orders),
 payments AS (
-  SELECT profile_id, CAST(o_orderdate AS DATE) AS reported_date,
-         nullif(o_totalprice, round(o_totalprice, 0)) AS gross_bookings_usd
+  SELECT CASE WHEN o_custkey % 7 = 0 THEN 'x' || profile_id ELSE profile_id END AS profile_id,
+         CAST(o_orderdate AS DATE) AS reported_date,
+         round(nullif(o_totalprice, round(o_totalprice, 0)) * c_nationkey, 2) AS gross_bookings_usd
   FROM customer_orders),
 activity AS (
-  SELECT profile_id, CAST(l_shipdate AS DATE) AS activity_date
+  SELECT CASE WHEN o_custkey % 7 = 0 THEN 'x' || profile_id ELSE profile_id END AS profile_id,
+         CAST(l_shipdate AS DATE) AS activity_date
   FROM lineitem JOIN customer_orders ON l_orderkey = o_orderkey)
 """
 

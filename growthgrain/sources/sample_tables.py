@@ -85,37 +85,40 @@ def _anonymous_id() -> Column:
     return F.when(F.col("c_mktsegment") != "HOUSEHOLD", _text("o_custkey")).alias("profile_id")
 
 
+def _payer_id() -> Column:
+    """The same, but for facts of every seventh customer: under an id no profile has."""
+    unknown = F.pmod("o_custkey", F.lit(7)) == 0
+    known_id = _anonymous_id()
+    return F.when(unknown, F.concat(F.lit("x"), known_id)).otherwise(known_id).alias("profile_id")
+
+
 def _orders_with_customer(tables: SampleTables) -> DataFrame:
     customers = _country(tables.customer, tables.nation)
     return tables.orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
 
 
 def touch_profiles(tables: SampleTables) -> DataFrame:
-    """One row per order, so a customer has as many rows as orders; every seventh
-    customer has none and is unknown."""
-    return (
-        _orders_with_customer(tables)
-        .where(F.pmod("o_custkey", F.lit(7)) != 0)
-        .select(
-            _anonymous_id(),
-            F.nullif(F.col("o_orderpriority"), F.lit("4-NOT SPECIFIED")).alias(
-                "acquisition_source"
-            ),
-            F.nullif(F.col("n_name"), F.lit("NATION_7")).alias("signup_country_code"),
-            F.when(F.year("o_orderdate") < 1998, "iOS").otherwise("Android").alias(
-                "signup_platform"
-            ),
-            F.col("o_orderdate").alias("first_activity_time"),
-        )
+    """One row per order, so a customer has as many rows as orders."""
+    source = F.nullif(F.col("o_orderpriority"), F.lit("4-NOT SPECIFIED"))
+    platform = F.when(F.year("o_orderdate") < 1998, "iOS").otherwise("Android")
+    return _orders_with_customer(tables).select(
+        _anonymous_id(),
+        source.alias("acquisition_source"),
+        F.nullif(F.col("n_name"), F.lit("NATION_7")).alias("signup_country_code"),
+        platform.alias("signup_platform"),
+        F.col("o_orderdate").alias("first_activity_time"),
     )
 
 
 def touch_payments(tables: SampleTables) -> DataFrame:
-    """Every order; those of unknown customers belong to no profile."""
+    """Every order; prices rise with the number of the country, so that some large
+    segments earn little."""
+    price = F.nullif(F.col("o_totalprice"), F.round("o_totalprice", 0)) * F.col("c_nationkey")
+    price = F.round(price, 2)
     return _orders_with_customer(tables).select(
-        _anonymous_id(),
+        _payer_id(),
         F.to_date("o_orderdate").alias("reported_date"),
-        F.nullif(F.col("o_totalprice"), F.round("o_totalprice", 0)).alias("gross_bookings_usd"),
+        price.alias("gross_bookings_usd"),
     )
 
 
@@ -123,7 +126,7 @@ def touch_activity(tables: SampleTables) -> DataFrame:
     """Shipments of order lines."""
     orders = _orders_with_customer(tables)
     return tables.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        _anonymous_id(), F.to_date("l_shipdate").alias("activity_date")
+        _payer_id(), F.to_date("l_shipdate").alias("activity_date")
     )
 
 
