@@ -23,6 +23,8 @@ from growthgrain.session import shared_folder
 BLOCK, WAYS = 100, 6
 #: Turns of distinct sequences that a prefix may have in one shard.
 SHARD_TURNS = 1 << 18
+#: Prefixes of fewer turns are not cut, however many tasks there are.
+LEAST_TURNS = 512
 #: Conversation numbers that are joined to one text before they meet the rest.
 ID_BLOCK = 1024
 #: Tables up to this many rows of a few numbers each are sent to all executors.
@@ -138,8 +140,8 @@ def sequences(conversations: DataFrame) -> DataFrame:
     return found.join(digests, ["one", "other"])
 
 
-def _prefix(depth: Column | int) -> Column:
-    return F.xxhash64(F.slice("path", F.lit(1), F.lit(depth) if isinstance(depth, int) else depth))
+def _prefix() -> Column:
+    return F.xxhash64("cut", F.slice("path", F.lit(1), F.col("cut")))
 
 
 def _sendable(small: DataFrame) -> DataFrame:
@@ -147,25 +149,44 @@ def _sendable(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.limit(FEW_ROWS + 1).count() <= FEW_ROWS else small
 
 
-def sharded(distinct: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
-    """``distinct`` with ``cut``, the shortest length at which the prefix of a sequence is
-    not too frequent, and ``shard``, which follows from that prefix."""
+def _branches(sequences_of_hot: DataFrame) -> DataFrame:
+    """``hot`` and ``next``, the length at which the sequences of a prefix first differ: the
+    first place at which the smallest and the largest of them do."""
+    ends = sequences_of_hot.groupBy("hot").agg(F.min("path").alias("low"), F.max("path").alias("high"))
+    same = F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y))
+    return ends.select("hot", F.array_position(same, False).cast("int").alias("next"))
+
+
+def sharded(distinct: DataFrame, shard_turns: int = SHARD_TURNS, least_turns: int = LEAST_TURNS) -> DataFrame:
+    """``distinct`` with ``cut``, a length at which the prefix of a sequence is not too
+    frequent, and ``shard``, which follows from that prefix.
+
+    Too frequent are ``shard_turns``, or twice the fair share of a task where that is less.
+    Such a prefix is cut where its sequences first differ, and so on, a round for each
+    such place on the way down.
+    """
     total = distinct.agg(F.sum(F.size("path") + 1)).first()[0] or 0
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct, depth = distinct.withColumn("cut", F.lit(1)), 1
+    most = min(shard_turns, max(least_turns, 2 * total // tasks))
+    distinct, round_ = distinct.withColumns({"cut": F.lit(1), "round": F.lit(0)}), 0
     while True:
-        open_ones = distinct.where((F.col("cut") == depth) & (F.size("path") >= depth))
-        sizes = open_ones.groupBy(_prefix(depth).alias("hot"))
-        hot = sizes.agg(F.sum(F.size("path") + 1).alias("turns")).where(F.col("turns") > shard_turns)
-        hot = hot.select("hot").checkpoint()
+        again = (F.col("round") == round_) & (F.size("path") >= F.col("cut"))
+        turns, n = F.sum(F.size("path") + 1).alias("turns"), F.count("*").alias("n")
+        hot = distinct.where(again).groupBy(_prefix().alias("hot")).agg(turns, n)
+        hot = hot.where((F.col("turns") > most) & (F.col("n") > 1)).select("hot").checkpoint()
         if hot.isEmpty():
             break
-        again = (F.col("cut") == depth) & (F.size("path") >= depth)
-        distinct = distinct.join(_sendable(hot), F.when(again, _prefix(depth)) == F.col("hot"), "left")
-        distinct = distinct.withColumn("cut", F.when(F.col("hot").isNotNull(), depth + 1).otherwise(F.col("cut")))
-        distinct, depth = distinct.drop("hot").checkpoint(), depth + 1
+        keyed = distinct.withColumn("own", F.when(again, _prefix()))
+        there = keyed.join(_sendable(hot), F.col("own") == F.col("hot"))
+        branches = _branches(there.select("hot", "path")).checkpoint()
+        moved = keyed.join(_sendable(branches), F.col("own") == F.col("hot"), "left")
+        distinct = moved.withColumns(
+            {"cut": F.coalesce("next", "cut"), "round": F.col("round") + F.col("next").isNotNull().cast("int")}
+        )
+        distinct, round_ = distinct.drop("own", "hot", "next").checkpoint(), round_ + 1
     n_shards = max(-(-total // shard_turns), tasks)
-    return distinct.withColumn("shard", F.pmod(_prefix(F.col("cut")), F.lit(n_shards)).cast("int"))
+    shard = F.pmod(_prefix(), F.lit(n_shards)).cast("int")
+    return distinct.drop("round").withColumn("shard", shard)
 
 
 class Shape:
@@ -381,7 +402,9 @@ def _merged(parts: DataFrame) -> DataFrame:
     return nodes.drop("n_leaves", "saved_tokens").join(sums, "key")
 
 
-def prefix_nodes(turns: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
+def prefix_nodes(
+    turns: DataFrame, shard_turns: int = SHARD_TURNS, least_turns: int = LEAST_TURNS
+) -> DataFrame:
     """One row for each distinct beginning of the rebuilt conversations.
 
     Turns go by ``turn``, a missing one first, equal ones by a hash of role and text; a
@@ -393,7 +416,7 @@ def prefix_nodes(turns: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
     """
     shared_folder(turns.sparkSession)
     distinct = sequences(rebuilt(turns)).checkpoint()
-    nodes = sharded(distinct, shard_turns).groupBy("shard").applyInArrow(shard_nodes, NODES)
+    nodes = sharded(distinct, shard_turns, least_turns).groupBy("shard").applyInArrow(shard_nodes, NODES)
     nodes = nodes.checkpoint()
     shared = _merged(nodes.where("shared")).checkpoint()
     parents = _sendable(
