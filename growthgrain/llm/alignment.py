@@ -22,7 +22,7 @@ from growthgrain.llm.words import pack, unpack
 from growthgrain.session import shared_folder
 
 #: Bytes of text whose pairs are held together.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 DIGEST = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
 COUNTED = ["n_a", "n_b", "n_groups", "n_links"]
 
@@ -86,8 +86,8 @@ class Aligner:
 
     def __init__(self, files: Files):
         import sentencepiece
-        from tokenizers import Tokenizer
 
+        self.files, self.whole = files, None
         with open(files.tokenizer, encoding="utf-8") as file:
             entries = json.load(file)["model"]["vocab"]
         byte = byte_of_symbol()
@@ -105,8 +105,15 @@ class Aligner:
             np.array([str(i) for i in range(len(x))], object) for x in (self.a_bytes, self.b_bytes)
         )
         self.ranks = packing.encoder(files.ranks)
-        self.whole = Tokenizer.from_file(files.tokenizer)
-        self.whole.encode_special_tokens = True
+
+    def _whole_ids(self, text: str) -> list[int]:
+        """By the tokenizer file itself, which is opened when first needed."""
+        from tokenizers import Tokenizer
+
+        if self.whole is None:
+            self.whole = Tokenizer.from_file(self.files.tokenizer)
+            self.whole.encode_special_tokens = True
+        return self.whole.encode(text, add_special_tokens=False).ids
 
     def _piece_bytes(self, i: int) -> bytes:
         piece = self.model.id_to_piece(i)
@@ -118,7 +125,7 @@ class Aligner:
             return None
         spaced = f" {text}"
         if packing._blank(spaced):  # the matcher of the ranks fails on very long white space
-            a = np.array(self.whole.encode(spaced, add_special_tokens=False).ids, np.int64)
+            a = np.array(self._whole_ids(spaced), np.int64)
         else:
             a = np.array(self.ranks.encode_ordinary(spaced), np.int64)
         b = np.array(self.model.encode(text), np.int64)
