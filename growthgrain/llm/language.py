@@ -6,7 +6,6 @@ over its bytes; a text is the product of its words, and the languages' shares of
 total are the scores.
 """
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,7 +29,6 @@ MOST_LANGUAGES = 1000
 HELD_LANGUAGES = 64
 #: Numbers in the forward table of the words that are scored together.
 MOST_SUMS = 4_000_000
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def vocabulary_path() -> str:
@@ -44,6 +42,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(remainder == HELD_OUT, F.lit(False))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; numbers that look like some (Ⅳ, ½, ²) are not."""
+    return any(map(str.isalpha, text))
+
+
 def _lanes(data: np.ndarray) -> np.ndarray:
     """The eight bytes from every place on."""
     padded = np.concatenate([data, np.zeros(4 * LANE, np.uint8)])
@@ -206,7 +209,8 @@ def predict(docs: DataFrame, train: Column, path: str | None = None) -> DataFram
     Learned from the rows for which ``train`` holds. A text that is null or has no letter
     is ``und`` with score 0, as is every text if there is nothing to learn from. Ties go
     to the first language by name. Repeated rows are predicted each, an empty table gives
-    no rows, and further columns are not read.
+    no rows, and further columns are not read. Texts are read whole, a megabyte or one
+    text at a time.
     """
     path = path or vocabulary_path()
     learned = docs.where(train).select(docs.lang.cast("string").alias("lang"), docs.text)
@@ -232,7 +236,7 @@ def predict(docs: DataFrame, train: Column, path: str | None = None) -> DataFram
                     total[:, i] = np.bincount(owner, logs[which, i], len(some))
                 names, scores = [], []
                 for text, log in zip(some, total, strict=True):
-                    if not langs or not text or not LETTER.search(text.decode("utf-8")):
+                    if not langs or not text or not has_letter(text.decode("utf-8")):
                         names.append(UNKNOWN)
                         scores.append(0.0)
                         continue

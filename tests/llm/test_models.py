@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -168,6 +169,64 @@ def test_languages_of_odd_rows(odd, none):
     assert language.predict(none, F.lit(True)).count() == 0
 
 
+def test_numbers_are_no_letters(spark):
+    texts = ["½ ² ①", "Ⅳ ⅷ", "٣ 三", "① a", "ª", "12 _ %", "ʰ"]
+    assert [language.has_letter(t) for t in texts] == [False, False, True, True, True, False, True]
+    rows = [(i, t, "en") for i, t in enumerate([*texts, "some words to learn from"])]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    found = {r.doc_id: r for r in language.predict(docs, F.col("doc_id") == 7).collect()}
+    assert [found[i].lang_pred for i in range(7)] == ["und", "und", "en", "en", "en", "und", "en"]
+    assert found[0].score == 0
+
+
+def plain_predictions(rows, vocabulary):
+    """Language and score of each text, learned from the rows marked for it, with dictionaries."""
+    pieces, counts = defaultdict(list), defaultdict(lambda: np.zeros(vocabulary.size))
+    for i in range(vocabulary.size):
+        piece = vocabulary.model.id_to_piece(i)
+        if vocabulary.model.is_byte(i):
+            pieces[bytes([int(piece[3:5], 16)])].append(i)
+        elif not vocabulary.model.is_control(i) and not vocabulary.model.is_unknown(i):
+            pieces[piece.replace("▁", " ").encode()].append(i)
+    for text, lang, learns in rows:
+        if learns and text is not None and lang is not None:
+            for word in text.encode().split():
+                np.add.at(counts[lang], vocabulary.model.encode(word.decode()), 1)
+    langs = sorted(counts)
+    share = np.array([counts[x] / max(counts[x].sum(), 1) for x in langs]).T
+    chance = (1 - language.FLOOR) * share + language.FLOOR / vocabulary.size
+    found = []
+    for text, _, _ in rows:
+        if not langs or not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+            found.append(("und", 0.0))
+            continue
+        total = np.zeros(len(langs))
+        for word in text.encode().split():
+            word = b" " + word
+            for at in range(0, len(word), language.LONGEST):
+                part = word[at : at + language.LONGEST]
+                sums = [np.ones(len(langs)), *(np.zeros(len(langs)) for _ in part)]
+                for end in range(1, len(part) + 1):
+                    for begin in range(end):
+                        for i in pieces.get(part[begin:end], []):
+                            sums[end] = sums[end] + sums[begin] * chance[i]
+                total = total + np.log(sums[-1])
+        best = int(np.argmax(total))
+        found.append((langs[best], 1 / np.exp(total - total[best]).sum()))
+    return found
+
+
+def test_predictions_are_those_of_plain_python(spark, vocabulary):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 30")
+    rows = [(r.text and r.text[:400], r.lang, r.doc_id % 5 != 0) for r in docs.orderBy("doc_id").collect()]
+    rows += [(t, lang, i % 3 > 0) for i, (_, t, lang, _) in enumerate(ODD) if len(t or "") < 1000]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id int, text string, lang string, learns boolean")
+    found = language.predict(table.repartition(3), F.col("learns")).orderBy("doc_id").collect()
+    for r, (lang, score) in zip(found, plain_predictions(rows, vocabulary), strict=True):
+        assert r.lang_pred == lang
+        assert r.score == pytest.approx(score, rel=1e-9)
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held_out = language.held_out(F.col("doc_id"))
