@@ -1,9 +1,10 @@
 """The conformed frames all marketing queries start from.
 
-Any one profile id may hold a large part of the payments or of the activity. So
-facts are reduced before they are joined, and the reduction combines on the map side:
-what reaches the join is at most one row per profile and calendar day for payments,
-and one per profile and 64 calendar days for activity, whatever the number of raw rows.
+Any one profile id may hold a large part of the payments or of the activity. Activity is
+reduced before it is joined, and the reduction combines on the map side: what reaches the
+join is at most one row per profile and 64 calendar days. Payments meet the profiles in one
+exchange, those of frequent ids in pieces (``join_spread``); stored ones are added up per
+profile and day and do not move.
 """
 
 from functools import cached_property
@@ -21,6 +22,7 @@ from growthgrain.functions.columns import (
 )
 from growthgrain.functions.daybits import STRETCH, bit_of, days_between, first_day, stretch_of
 from growthgrain.operators.dedup import first_row_by
+from growthgrain.operators.hot import LEAST, SPREAD, join_spread
 from growthgrain.operators.keys import KEY, one_row_per, with_key
 from growthgrain.plans import ltv, retention
 
@@ -102,19 +104,19 @@ def _cohort() -> Column:
     return cohort_week(F.col("first_activity_date")).alias("cohort_week")
 
 
-def bookings_in_life(booking_days: DataFrame, dim: DataFrame) -> DataFrame:
+def bookings_in_life(joined: DataFrame) -> DataFrame:
     """Payments of known profiles on day 0..90 (week 0..12) of their life.
 
     Payments outside that span, of unknown profiles, or of profiles without a start
-    have no place in it, so the join is an inner one.
+    have no place in it.
     """
     age = day_offset(F.col("reported_date"), F.col("first_activity_date"))
     return (
-        booking_days.join(_life_of(dim), KEY)
-        .withColumn("day", age)
+        joined.withColumn("day", age)
         .where(F.col("day").between(0, LAST_LIFECYCLE_DAY))
         .select(
             KEY,
+            SPREAD,
             _cohort(),
             "acquisition_source",
             "signup_platform",
@@ -155,7 +157,8 @@ def segment_facts(dim: DataFrame, bookings: DataFrame) -> DataFrame:
 def profile_value(dim: DataFrame, booking_days: DataFrame) -> DataFrame:
     """All revenue and that of day 0..90 side by side, one row per profile or unknown payer.
 
-    Payments are read once for both, and meet the profiles as one row per day.
+    Payments are read once for both, and meet the profiles as one row per day: where a
+    query takes a median of one of them besides, both read the same shuffle.
     """
     age = day_offset(F.col("reported_date"), F.col("first_activity_date"))
     in_90 = age.between(0, LAST_LIFECYCLE_DAY)
@@ -190,9 +193,8 @@ class GrowthFrames:
     plan each time, so Spark shuffles it once. ``ready`` are derived frames, by name,
     that are to be taken from elsewhere, e.g. from a stored table.
 
-    With ``even_payments`` payments meet the profiles one by one instead of added up per
-    day, which spares them a second shuffle; it is for payments of which no one profile
-    id, the missing one included, holds more than a task can read.
+    A profile id with more payments than ``hot_rows``, and than one in 2000, meets its
+    profile in pieces.
     """
 
     def __init__(
@@ -200,13 +202,13 @@ class GrowthFrames:
         profiles: DataFrame,
         payments: DataFrame,
         activity: DataFrame,
-        even_payments: bool = False,
+        hot_rows: int = LEAST,
         **ready: DataFrame,
     ):
         self.profiles = profiles
         self.payments = payments
         self.activity = activity
-        self.even_payments = even_payments
+        self.hot_rows = hot_rows
         self.ready = ready
         vars(self).update(ready)
 
@@ -226,7 +228,7 @@ class GrowthFrames:
             self.profiles,
             self.payments,
             self.activity,
-            self.even_payments,
+            self.hot_rows,
             **(self.ready | frames),
         )
 
@@ -246,13 +248,17 @@ class GrowthFrames:
     def activity_stretches(self) -> DataFrame:
         return activity_stretches(self.activity)
 
-    @property
-    def _payments_to_join(self) -> DataFrame:
-        return self.bookings if self.even_payments else self.booking_days
+    def _paid(self, *columns: str) -> DataFrame:
+        """Payments with columns of their profile. Stored ones are one row per profile and
+        day, in the partitioning of the profiles."""
+        if "booking_days" in self.ready:
+            days = self.booking_days.join(self.dim.select(KEY, *columns), KEY, "left")
+            return days.withColumn(SPREAD, F.col(KEY))
+        return join_spread(self.bookings, self.dim, list(columns), least=self.hot_rows)
 
     @cached_property
     def profile_value(self) -> DataFrame:
-        return profile_value(self.dim, self._payments_to_join)
+        return profile_value(self.dim, self.booking_days)
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -260,7 +266,8 @@ class GrowthFrames:
 
     @cached_property
     def booking_life(self) -> DataFrame:
-        return bookings_in_life(self._payments_to_join, self.dim)
+        life = ["acquisition_source", "signup_platform", "first_activity_date"]
+        return bookings_in_life(self._paid(*life))
 
     @cached_property
     def activity_life(self) -> DataFrame:

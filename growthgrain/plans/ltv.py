@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from growthgrain.functions.columns import safe_ratio, usd
 from growthgrain.functions.daybits import days_between
+from growthgrain.operators.hot import SPREAD, n_keys
 from growthgrain.operators.keys import KEY, null_safe_left
 from growthgrain.operators.ordered import largest_first, quantiles, ranked, running_sum
 from growthgrain.operators.regression import ols_fit_predict
@@ -28,14 +29,15 @@ def payers_90(booking_life: DataFrame) -> DataFrame:
     """Distinct payers and revenue on day 0..90 per channel.
 
     A profile has one channel, so it is counted once by first reducing to one row
-    per profile; the join has already put those rows together.
+    per profile; the join has already put those rows together, those of a hot profile
+    in pieces.
     """
     return (
-        booking_life.groupBy(KEY, SOURCE)
+        booking_life.groupBy(SPREAD, KEY, SOURCE)
         .agg(F.sum("bookings").alias("bookings"))
         .groupBy(SOURCE)
         .agg(
-            F.count("*").alias("payers_90"),
+            n_keys().alias("payers_90"),
             usd(F.sum("bookings")).alias("revenue_90_usd"),
         )
     )

@@ -1,8 +1,7 @@
 """Profile dimension, its data-quality report, and row-level facts joined to it.
 
-The row-level joins keep every fact row. Both sides are exchanged for the join on
-the raw profile id, which is the shape AQE needs to split a profile id that holds
-a large part of the facts over several tasks.
+The row-level joins keep every fact row; those of a profile id that holds a large part of
+the facts meet its profile in pieces.
 """
 
 from pyspark.sql import DataFrame
@@ -15,7 +14,8 @@ from growthgrain.functions.columns import (
     lifecycle_week,
     utc_day,
 )
-from growthgrain.operators.keys import KEY, null_safe_left, profile_id_of
+from growthgrain.operators.hot import SPREAD, join_spread
+from growthgrain.operators.keys import KEY, profile_id_of, with_key
 from growthgrain.plans.frames import PROFILE_COLUMNS, canonical_profiles
 
 DIMENSION_COLUMNS = [
@@ -64,13 +64,10 @@ def profile_conflicts_detected(profiles: DataFrame) -> DataFrame:
 
 def _with_age(facts: DataFrame, date: str, dim: DataFrame) -> DataFrame:
     """Every fact with the source, start and age in days of its profile."""
-    profile = _with_profile_id(dim).select(
-        "profile_id", "acquisition_source", "first_activity_date"
-    )
-    dated = facts.withColumn(date, utc_day(facts, date))
-    return null_safe_left(dated, profile, ["profile_id"]).withColumn(
-        "days_since_first_activity", day_offset(F.col(date), F.col("first_activity_date"))
-    )
+    dated = with_key(facts.withColumn(date, utc_day(facts, date)))
+    joined = join_spread(dated, dim, ["acquisition_source", "first_activity_date"])
+    age = day_offset(F.col(date), F.col("first_activity_date"))
+    return joined.withColumn("days_since_first_activity", age).drop(KEY, SPREAD)
 
 
 def payments_enriched(payments: DataFrame, dim: DataFrame) -> DataFrame:
@@ -101,14 +98,15 @@ def cohort_base(dim: DataFrame) -> DataFrame:
 
 def activity_lifecycle(activity: DataFrame, dim: DataFrame) -> DataFrame:
     """Activity rows in lifecycle weeks 0..12 with the cohort of their profile."""
-    profile = cohort_base(dim).select(
-        "profile_id", "cohort_week", "acquisition_source", "signup_platform", "install_date"
-    )
-    dated = activity.withColumn("activity_date", utc_day(activity, "activity_date"))
+    started = F.col("first_activity_date")
+    profile = dim.withColumns({"cohort_week": cohort_week(started), "install_date": started})
+    dated = with_key(activity.withColumn("activity_date", utc_day(activity, "activity_date")))
     days = day_offset(F.col("activity_date"), F.col("install_date"))
+    columns = ["cohort_week", "acquisition_source", "signup_platform", "install_date"]
     return (
-        null_safe_left(dated, profile, ["profile_id"])
+        join_spread(dated, profile, columns)
         .withColumn("days_since_install", days)
         .where(F.col("days_since_install").between(0, LAST_LIFECYCLE_DAY))
         .withColumn("week_since_install", lifecycle_week(F.col("days_since_install")))
+        .drop(KEY, SPREAD)
     )

@@ -26,6 +26,7 @@ from growthgrain.functions.columns import (
 )
 from growthgrain.functions.daybits import bit_of, days_between, first_day, stretch_of
 from growthgrain.operators.dedup import first_row_by
+from growthgrain.operators.hot import hot_keys, join_spread, n_keys
 from growthgrain.operators.keys import (
     assert_unique,
     key_violations,
@@ -232,6 +233,24 @@ def test_null_safe_left(spark):
     ]
 
 
+def test_frequent_keys_meet_their_row_in_pieces(spark):
+    rows = [(k, i) for i in range(3000) for k in [["", "a=", "b=", f"{i}=", "no row="][i % 5]]]
+    facts = spark.createDataFrame(rows, "pk string, n int").repartition(6)
+    lookup = [("", 1, None), ("a=", 2, "x"), *((f"{i}=", i, str(i)) for i in range(0, 3000, 7))]
+    table = spark.createDataFrame(lookup, "pk string, v int, t string")
+    by_key = {k: (v, t) for k, v, t in lookup}
+    for least in (0, 100, 10**9):
+        found = join_spread(facts, table, ["v", "t"], least=least).collect()
+        wanted = sorted((n, k, *by_key.get(k, (None, None))) for k, n in rows)
+        assert sorted((r.n, r.pk, r.v, r.t) for r in found) == wanted
+        pieces = {k: len({r.spread_key for r in found if r.pk == k}) for k in ("", "a=", "b=", "no row=")}
+        assert all(n > 500 if least == 100 else n == 1 or least == 0 for n in pieces.values())
+        counted = join_spread(facts, table, ["v"], least=least).groupBy("spread_key", "pk").agg(F.max("v").alias("v"))
+        assert one(counted.agg(n_keys())) == len({k for k, _ in rows})
+    assert sorted(r[0] for r in hot_keys(facts, least=100).collect()) == ["", "a=", "b=", "no row="]
+    assert join_spread(facts.limit(0), table, ["v"]).count() == 0
+
+
 def test_uniqueness(spark):
     df = spark.createDataFrame([("a",), (None,), (None,)], "k string")
     assert key_violations(df, ["k"]).collect() == [(None, 2)]
