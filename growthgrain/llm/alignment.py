@@ -125,16 +125,17 @@ class Aligner:
             return None
         spaced = f" {text}"
         if packing._blank(spaced):  # the matcher of the ranks fails on very long white space
-            a = np.array(self._whole_ids(spaced), np.int64)
+            ids_a = self._whole_ids(spaced)
         else:
-            a = np.array(self.ranks.encode_ordinary(spaced), np.int64)
-        b = np.array(self.model.encode(text), np.int64)
-        wanted = spaced.encode()
-        for ids, known in ((a, self.a_bytes), (b, self.b_bytes)):
-            if b"".join([known[i] for i in ids.tolist()]) != wanted:
+            ids_a = self.ranks.encode_ordinary(spaced)
+        ids_b, wanted = self.model.encode(text), spaced.encode()
+        for ids, known in ((ids_a, self.a_bytes), (ids_b, self.b_bytes)):
+            if b"".join(map(known.__getitem__, ids)) != wanted:
                 return None
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        ends = np.union1d(ends_a, ends_b)
+        ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        ends = ends[np.diff(ends, append=0) != 0]
         at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         both = (ends_a[at_a] == ends) & (ends_b[at_b] == ends)
         return Aligned(a, b, at_a[both] + 1, at_b[both] + 1, a[at_a], b[at_b])
