@@ -1,10 +1,11 @@
 """WARC archives of web pages, written in shards and read back.
 
-Records are sorted by page over range partitions. A task writes its pages into files
-that are closed at a compressed size; each file is written under a temporary name and
-then renamed, and a manifest, written last and as a whole, names the files that count.
-File names, record ids, headers and digests follow from the pages alone, so a task that
-runs again writes the same files.
+Records are sorted by page over ranges whose bounds come from the pages: from those whose
+hash falls into a share. A task writes a range into files that are closed at a compressed
+size; each file is written under a temporary name and then renamed, and a manifest, written
+last and as a whole, names the files that count. Ranges, file names, record ids, headers
+and digests follow from the pages alone, so a task that runs again, a second attempt and a
+second writing, however partitioned, give the same files.
 """
 
 import base64
@@ -13,16 +14,22 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from growthgrain.operators.hot import join_spread
+
 #: Payloads below this are stored each time.
 SMALLEST_REVISIT = 1000
 #: A file ends with the record that brings it to this many compressed bytes.
 FILE_BYTES = 64 << 20
-#: Payload bytes for each range of pages.
-RANGE_BYTES = 256 << 20
+#: Payload bytes for each range of pages; few pages make up to so many smaller ranges.
+RANGE_BYTES, LEAST_RANGE_BYTES, SMALL_RANGES = 256 << 20, 2 << 20, 64
+#: Pages that the bounds of a range are taken from.
+SAMPLED = 32
 #: Groups of equal payloads that are sent to all executors; more are joined by shuffle.
 FEW_GROUPS = 100_000
 DATE = "2000-01-01T00:00:00Z"
@@ -132,14 +139,26 @@ class _File:
         ends = [self.pages[0][0] if self.pages else page["page_id"], page["page_id"]]
         self.pages = [ends, self.pages[1] + 1 if self.pages else 1]
 
-    def close(self) -> dict:
+    def _there(self, final: str) -> bool:
+        """Whether the file has been written, with the same bytes."""
         from pyarrow import fs
 
+        found = self.store.get_file_info(final)
+        if found.type == fs.FileType.NotFound or found.size != self.bytes:
+            return False
+        digest = hashlib.sha1()
+        with self.store.open_input_stream(final, compression=None) as stream:
+            while data := stream.read(1 << 20):
+                digest.update(data)
+        return digest.digest() == self.digest.digest()
+
+    def close(self) -> dict:
         self.out.close()
         final = f"{self.folder}/{self.name}"
-        if self.store.get_file_info(final).type != fs.FileType.NotFound:
-            self.store.delete_file(final)  # of an attempt of the same task
-        self.store.move(self.temporary, final)
+        if self._there(final):  # by another attempt, whose result may be committed already
+            self.store.delete_file(self.temporary)
+        else:
+            self.store.move(self.temporary, final)
         (first, last), records = self.pages
         return {
             "file": self.name,
@@ -160,18 +179,18 @@ def _rows(rows: list[dict], schema: str) -> pa.RecordBatch:
 
 def _writer(folder: str, file_bytes: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, file, closed = TaskContext.get().partitionId(), None, []
+        file, at, number, closed = None, -1, 0, []
         for batch in batches:
             for i in range(batch.num_rows):
                 page = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                if file is None:
-                    file = _File(folder, f"pages-{part:06d}-{len(closed):04d}.warc.gz")
-                file.add(page)
-                if file.bytes >= file_bytes:
+                if file is not None and (page["range"] != at or file.bytes >= file_bytes):
                     closed.append(file.close())
                     file = None
+                if file is None:
+                    number = number + 1 if page["range"] == at else 0
+                    at = page["range"]
+                    file = _File(folder, f"pages-{at:06d}-{number:04d}.warc.gz")
+                file.add(page)
         if file is not None:
             closed.append(file.close())
         yield _rows(closed, MANIFEST)
@@ -179,7 +198,37 @@ def _writer(folder: str, file_bytes: int) -> Callable:
     return write
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
+def _range_of(bounds: list[tuple[int, int]]):
+    """A function of the page and its place among rows of that page: how many bounds are
+    not above them. A missing page is below all others."""
+    lowest = np.iinfo(np.int64).min
+    pages = np.array([lowest if p is None else p for p, _ in bounds], np.int64)
+    places = np.array([x for _, x in bounds], np.int64)
+
+    @F.pandas_udf("int")
+    def find(page: pd.Series, place: pd.Series) -> pd.Series:
+        page, place = page.to_numpy(np.int64), place.to_numpy(np.int64)
+        first, last = np.searchsorted(pages, page, "left"), np.searchsorted(pages, page, "right")
+        for i in np.flatnonzero(first < last):
+            first[i] += np.searchsorted(places[first[i] : last[i]], place[i], "right")
+        return pd.Series(first.astype(np.int32))
+
+    def of(page: Column, place: Column) -> Column:
+        return find(F.coalesce(page, F.lit(lowest)), place)
+
+    return of
+
+
+def _bounds(rows: DataFrame, n: int, ranges: int) -> list[tuple[int, int]]:
+    """Where ranges of pages begin. What reaches the driver are some ``SAMPLED`` different
+    pages for each range, whichever tasks the pages are in."""
+    share = F.pmod(F.xxhash64("page_id", "place", F.lit(1)), F.lit(max(1, n // (ranges * SAMPLED))))
+    sample = rows.where(share == 0).select("page_id", "place").distinct().toArrow().to_pylist()
+    keys = sorted(((r["page_id"], r["place"]) for r in sample), key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
+    return [keys[len(keys) * i // ranges] for i in range(1, ranges)] if len(keys) >= ranges else []
+
+
+def with_revisits(pages: DataFrame, most: int = FEW_GROUPS) -> DataFrame:
     """``page_id``, ``url``, ``payload`` and ``refers_to``, the page that a revisit repeats."""
     rows = pages.select(
         pages.page_id.cast("bigint").alias("page_id"),
@@ -196,10 +245,13 @@ def with_revisits(pages: DataFrame) -> DataFrame:
         .drop("n")
         .checkpoint()
     )
-    if groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
-        groups = F.broadcast(groups)
     again = ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(groups, F.col("digest") == F.col("group"), "left").select(
+    if groups.limit(most + 1).count() <= most:
+        joined = rows.join(F.broadcast(groups), F.col("digest") == F.col("group"), "left")
+    else:  # frequent payloads, and those too small to have a digest, go to many tasks
+        keyed = rows.withColumn("key", F.coalesce(F.hex("digest"), F.concat(F.lit("-"), F.xxhash64("page_id", "payload").cast("string"))))
+        joined = join_spread(keyed, groups.withColumn("key", F.hex("group")), ["first_id"], "key")
+    return joined.select(
         "page_id", "url", "payload", F.when(again, F.col("first_id")).alias("refers_to")
     )
 
@@ -211,15 +263,24 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
     ``page_id`` is a response and the others are revisits; a null ``page_id`` is smaller
     than all others, and rows that share the largest are all responses. A null ``html``
     is an empty payload, a null ``url`` is left out. An empty table gives a manifest
-    without files. Further columns are not written.
+    without files. A payload of any length is one record. Further columns are not written.
+    Rows of one page are told apart by a hash of payload and url; rows equal in all three
+    are in one range.
     """
-    rows = with_revisits(pages)
-    total = pages.agg(F.sum(F.octet_length(pages.html))).first()[0] or 0
-    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(tasks, -(-total // RANGE_BYTES))
-    order = ["page_id", F.xxhash64("payload"), F.xxhash64("url")]
-    ordered = rows.repartitionByRange(ranges, "page_id", F.xxhash64("payload"))
-    manifest = ordered.sortWithinPartitions(*order).mapInArrow(_writer(folder, file_bytes), MANIFEST)
+    place = F.xxhash64("payload", "url")
+    rows = with_revisits(pages).withColumn("place", place)
+    total, n = pages.agg(F.sum(F.octet_length(pages.html)), F.count("*")).first()
+    total = total or 0
+    ranges = max(-(-total // RANGE_BYTES), min(SMALL_RANGES, -(-total // LEAST_RANGE_BYTES)), 1)
+    read = pages.select(
+        pages.page_id.cast("bigint").alias("page_id"),
+        F.coalesce(pages.html, F.lit("")).cast("binary").alias("payload"),
+        pages.url.cast("string").alias("url"),
+    )
+    bounds = _bounds(read.withColumn("place", place), n, ranges)
+    ranged = rows.withColumn("range", _range_of(bounds)(F.col("page_id"), F.col("place")))
+    ordered = ranged.repartition(ranges, "range").sortWithinPartitions("range", "page_id", "place")
+    manifest = ordered.drop("place").mapInArrow(_writer(folder, file_bytes), MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
 
 
@@ -293,7 +354,10 @@ def _reader(folder: str) -> Callable:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per page record in the files that the manifest names."""
+    """One row per page record in the files that the manifest names, its digests checked.
+
+    Missing ids and urls come back missing, repeated rows each; a manifest without files
+    gives no rows. A file without the records that the manifest says fails the query."""
     manifest = spark.read.parquet(f"{folder}/manifest")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return manifest.repartition(tasks, "file").mapInArrow(_reader(folder), RECORDS)

@@ -232,6 +232,56 @@ def test_archives_round_trip(spark, tmp_path, file_bytes):
     assert {p.name: p.read_bytes() for p in (tmp_path / "again").glob("*.warc.gz")} == files
 
 
+def many_pages(spark, n=2500):
+    html = F.concat(F.lit("<p>"), F.repeat(F.md5(F.col("id").cast("string")), (F.col("id") % 90).cast("int")))
+    shared_id = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 7 == 0, 77).otherwise(F.col("id") * 11)
+    return spark.range(n).select(shared_id.alias("page_id"), F.concat(F.lit("http://x/"), "id").alias("url"), html.alias("html"))
+
+
+def written(spark, table, folder):
+    warc.write_archives(table, f"file://{folder}", 50_000)
+    names = {p.name: p.read_bytes() for p in folder.glob("*.warc.gz")}
+    manifest = spark.read.parquet(f"file://{folder}/manifest").collect()
+    return names, sorted(map(tuple, manifest))
+
+
+def test_files_follow_from_the_pages_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LEAST_RANGE_BYTES", 300_000)
+    table = many_pages(spark).checkpoint()
+    first = written(spark, table.repartition(3), tmp_path / "first")
+    assert len({name.split("-")[1] for name in first[0]}) > 8
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = written(spark, table.repartition(11, "url"), tmp_path / "again")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    assert again == first
+    # rows without an id, a third of all, are in many ranges
+    ids = {r[0].split("-")[1] for r in first[1] if r[4] is None}
+    assert len(ids) > 2
+
+
+def test_a_second_attempt_leaves_the_files_of_the_first(spark, tmp_path):
+    table = spark.createDataFrame(PAGES, "page_id bigint, url string, html string").checkpoint()
+    first = written(spark, table, tmp_path / "a")
+    times = {p: p.stat().st_mtime_ns for p in (tmp_path / "a").glob("*.warc.gz")}
+    page = {"page_id": 1, "url": "u", "payload": b"abc", "refers_to": None}
+    lost = warc._File(f"file://{tmp_path}/a", "pages-000000-0000.warc.gz")
+    lost.add(page)  # dies before it is closed
+    assert written(spark, table, tmp_path / "a") == first
+    assert {p: p.stat().st_mtime_ns for p in times} == times
+    assert warc.read_archives(spark, f"file://{tmp_path}/a").count() == len(PAGES)
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_revisits_with_many_groups(spark, most):
+    table = spark.createDataFrame(PAGES * 3, "page_id bigint, url string, html string")
+    found = warc.with_revisits(table, most).select("page_id", "url", "refers_to").collect()
+    wanted = warc.with_revisits(table).select("page_id", "url", "refers_to").collect()
+    assert sorted(found, key=str) == sorted(wanted, key=str) and len(found) == 3 * len(PAGES)
+
+
 def test_leftover_files_do_not_count(spark, tmp_path):
     folder = str(tmp_path / "archive")
     warc.write_archives(pages(spark, PAGES[:3]), folder)
