@@ -3,21 +3,26 @@
 Documents of the same sources form a pattern. Every source has a quota of words, and a
 pattern may give its words to any of its sources, up to three times over; each time over
 costs more than the last. The cheapest flow says how many words each pattern gives, and
-documents are taken in a seeded order until the pattern has given them.
+documents are taken in a seeded order until the pattern has given them. Sources that
+patterns connect share a flow; a source that no pattern shares is its own, of one edge.
 """
 
 from collections import deque
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from growthgrain.llm.components import components
 from growthgrain.llm.words import WORD
+from growthgrain.operators.ordered import ranked
+from growthgrain.session import shared_folder
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "1"
-#: The flow is solved on the driver over one node for each pattern and source.
-MOST_PATTERNS = 100_000
+#: Patterns that are solved by one task, connected ones always together.
+PATTERNS_A_TASK = 10_000
 #: Hexadecimal digits of the seeded order that make a bucket: 4096 for each pattern.
 BUCKET_DIGITS = 3
 
@@ -26,24 +31,36 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def targets(sizes: dict[str | None, int], total: int, weights=WEIGHTS, most=MOST) -> dict:
-    """Words wanted of each source: shares of ``total`` by weight, none over ``most``
-    times its size; what is over goes to the others by weight.
+def _key(source: Column) -> Column:
+    """A text that is never missing, another for every source."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
-    Sources by code point, missing last, take the weights in turn.
+
+def targets(sizes: DataFrame, total: int, weights=WEIGHTS, most=MOST) -> DataFrame:
+    """``sizes`` (``source``, ``source_size``) with the words wanted of each source,
+    ``target``: shares of ``total`` by weight, none over ``most`` times its size; what is
+    over goes to the others by weight.
+
+    Sources by code point, missing last, take the weights in turn. Each round adds up what
+    the sources that cannot give their share leave to the others, until no more become so.
     """
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    found, left, open_weight = {}, total, sum(weight.values())
-    for s in sorted(names, key=lambda s: most * sizes[s] / weight[s]):
-        if weight[s] * (left / open_weight) >= most * sizes[s]:
-            found[s] = float(most * sizes[s])
-            left -= most * sizes[s]
-            open_weight -= weight[s]
-        else:
-            found |= {o: weight[o] * (left / open_weight) for o in names if o not in found}
+    placed = ranked(sizes.withColumn("_same", F.lit(0)), "_same", ["source"], "_place")
+    turn = F.pmod(F.col("_place") - 1, F.lit(len(weights)))
+    placed = placed.withColumn("_weight", F.get(F.array(*map(F.lit, weights)), turn)).checkpoint()
+    full_size, weight = F.col("source_size") * most, F.col("_weight")
+    share, full, n_full = F.lit(0.0), F.lit(False), -1
+    while True:
+        row = placed.agg(
+            F.count_if(full).alias("n"),
+            F.coalesce(F.sum(F.when(full, full_size)), F.lit(0)).alias("given"),
+            F.coalesce(F.sum(F.when(~full, weight)), F.lit(0)).alias("open"),
+        ).first()
+        if row.n == n_full or not row.open:
             break
-    return found
+        share, n_full = weight * F.lit((total - row.given) / row.open), row.n
+        full = share >= full_size
+    target = F.when(full, full_size.cast("double")).otherwise(share)
+    return placed.withColumn("target", target).drop("_same", "_place", "_weight")
 
 
 class _Flow:
@@ -59,27 +76,44 @@ class _Flow:
         self.edges += [[b, capacity], [a, 0]]
         return len(self.edges) - 2
 
+    def _levels(self, source: int, sink: int) -> dict[int, int]:
+        """Steps from the source to the nodes that can still be reached, up to the sink."""
+        level, queue = {source: 0}, deque([source])
+        while queue and sink not in level:
+            node = queue.popleft()
+            for e in self.at[node]:
+                target, capacity = self.edges[e]
+                if capacity and target not in level:
+                    level[target] = level[node] + 1
+                    queue.append(target)
+        return level
+
     def fill(self, source: int, sink: int) -> None:
-        """Augment along shortest paths until none is left."""
-        while True:
-            reached, queue = {source: -1}, deque([source])
-            while queue and sink not in reached:
-                node = queue.popleft()
-                for e in self.at[node]:
-                    target, capacity = self.edges[e]
-                    if capacity and target not in reached:
-                        reached[target] = e
-                        queue.append(target)
-            if sink not in reached:
-                return
-            path, node = [], sink
-            while node != source:
-                path.append(reached[node])
-                node = self.edges[reached[node] ^ 1][0]
-            amount = min(self.edges[e][1] for e in path)
-            for e in path:
-                self.edges[e][1] -= amount
-                self.edges[e ^ 1][1] += amount
+        """Block all shortest paths at once, as long as there are any."""
+        while sink in (level := self._levels(source, sink)):
+            following = {node: iter(self.at[node]) for node in level}
+            path, node = [], source
+            while True:
+                if node == sink:
+                    amount = min(self.edges[e][1] for e in path)
+                    for e in path:
+                        self.edges[e][1] -= amount
+                        self.edges[e ^ 1][1] += amount
+                    cut = next(i for i, e in enumerate(path) if not self.edges[e][1])
+                    node = self.edges[path[cut] ^ 1][0]
+                    following[node] = iter([path[cut], *following[node]])
+                    path = path[:cut]
+                step = next(
+                    (e for e in following[node] if self.edges[e][1] and level.get(self.edges[e][0]) == level[node] + 1),
+                    None,
+                )
+                if step is not None:
+                    path.append(step)
+                    node = self.edges[step][0]
+                elif path:
+                    node = self.edges[path.pop() ^ 1][0]
+                else:
+                    break
 
 
 def given(
@@ -89,14 +123,10 @@ def given(
 
     All patterns cost the same, more for each time over, and giving to one source or
     another costs nothing; so the cheapest flow is the largest that takes every pattern
-    once, enlarged with second times, and so on. Patterns of one source that nobody else
-    draws on need no search.
+    once, enlarged with second times, and so on.
     """
-    shared = {s for p in patterns if len(p) > 1 for s in p}
-    alone = {p: n for p, n in patterns.items() if len(p) == 1 and p[0] not in shared}
-    found = {p: min(quotas[p[0]], most * n) for p, n in alone.items()}
-    rest = [p for p in patterns if p not in alone]
-    names = sorted(shared, key=lambda s: (s is None, s or ""))
+    rest = list(patterns)
+    names = sorted({s for p in rest for s in p}, key=lambda s: (s is None, s or ""))
     begin, end = len(rest) + len(names), len(rest) + len(names) + 1
     node = {s: len(rest) + i for i, s in enumerate(names)}
     flow = _Flow(end + 1)
@@ -110,25 +140,69 @@ def given(
         for i, p in enumerate(rest):
             flow.edges[supply[i]][1] += patterns[p]
         flow.fill(begin, end)
-    return found | {p: flow.edges[supply[i] ^ 1][1] for i, p in enumerate(rest)}
+    return {p: flow.edges[supply[i] ^ 1][1] for i, p in enumerate(rest)}
+
+
+def _solved(table: pa.Table, quotas: pa.Table, most: int) -> pa.Table:
+    """``amount``, the words that each pattern of some groups of sources gives."""
+    wanted = dict(zip(quotas.column("source").to_pylist(), quotas.column("quota").to_pylist(), strict=True))
+    names = [tuple(p) for p in table.column("sources").to_pylist()]
+    found = given(dict(zip(names, table.column("size").to_pylist(), strict=True)), wanted, most)
+    sources = pa.array([list(p) for p in names], pa.list_(pa.string()))
+    amounts = pa.array([found[p] for p in names], pa.int64())
+    return pa.table({"sources": sources, "size": table.column("size"), "amount": amounts})
+
 
+def _amounts(patterns: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """``sources``, ``size`` and ``amount`` of every pattern.
 
-def _plan(spark: SparkSession, patterns: list, weights, most) -> DataFrame:
+    A source that no pattern shares gives its quota, or all it has ``most`` times over.
+    The others are grouped by what connects them, and each group is solved in one task.
+    """
+    quota = F.floor(F.col("target") + 0.5).alias("quota")
+    node = F.xxhash64(_key(F.col("source")))
+    nodes = wanted.select("source", quota, node.alias("node"), _key(F.col("source")).alias("key"))
+    pairs = F.transform(F.col("sources"), lambda s: F.xxhash64(_key(s)))
+    shared = patterns.where(F.size("sources") > 1).withColumn("nodes", pairs)
+    if shared.isEmpty():
+        linked = None
+    else:
+        links = shared.select(F.get("nodes", F.lit(0)).alias("a"), F.explode("nodes").alias("b"))
+        linked = components(links).withColumnRenamed("node", "linked")
+        nodes = nodes.join(linked, F.col("node") == F.col("linked"), "left").checkpoint()
+    first = patterns.withColumn("first", _key(F.get("sources", F.lit(0))))
+    joined = first.join(nodes, F.col("first") == F.col("key"))
+    single = F.least(F.col("quota"), F.col("size") * most)
+    if linked is None:
+        return joined.select("sources", "size", single.alias("amount"))
+    joined = joined.checkpoint()
+    alone = joined.where("root is null").select("sources", "size", single.alias("amount"))
+    n = max(1, -(-patterns.count() // PATTERNS_A_TASK))
+    task = F.pmod(F.xxhash64("root"), F.lit(n)).alias("task")
+    together = joined.where("root is not null").select(task, "sources", "size").groupBy("task")
+    quotas = nodes.where("root is not null").select(task.alias("of"), "source", "quota").groupBy("of")
+    solve = lambda table, quotas: _solved(table, quotas, most)
+    solved = together.cogroup(quotas).applyInArrow(solve, "sources array<string>, size bigint, amount bigint")
+    return alone.unionByName(solved)
+
+
+def _plan(patterns: DataFrame, weights, most) -> DataFrame:
     """For each pattern the words of its first source, that source's target, and how many
     words the pattern gives as whole rounds (``rounds``) and beyond (``rest``)."""
-    capacity = {tuple(row["sources"]): row["size"] for row in patterns}
-    sizes: dict = {}
-    for p, n in capacity.items():
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + n
-    wanted = targets(sizes, sum(capacity.values()), weights, most)
-    amount = given(capacity, {s: int(t + 0.5) for s, t in wanted.items()}, most)
-    rows = []
-    for p, n in capacity.items():
-        rounds, rest = divmod(amount[p], n) if n else (0, 0)
-        rows.append((list(p), sizes[p[0]], wanted[p[0]], rounds, rest))
-    schema = "plan_sources array<string>, source_size bigint, target double, rounds bigint, rest bigint"
-    return spark.createDataFrame(rows, schema)
+    each = patterns.select(F.explode("sources").alias("source"), "size")
+    sizes = each.groupBy("source").agg(F.sum("size").alias("source_size")).checkpoint()
+    total = patterns.agg(F.sum("size")).first()[0] or 0
+    wanted = targets(sizes, total, weights, most).checkpoint()
+    amounts = _amounts(patterns, wanted, most).withColumn("first", _key(F.get("sources", F.lit(0))))
+    named = wanted.select(_key(F.col("source")).alias("first"), "source_size", "target")
+    some = F.col("size") > 0
+    return amounts.join(named, "first").select(
+        F.col("sources").alias("plan_sources"),
+        "source_size",
+        "target",
+        F.when(some, F.expr("amount div size")).otherwise(0).alias("rounds"),
+        F.when(some, F.expr("amount % size")).otherwise(0).alias("rest"),
+    )
 
 
 def mix(
@@ -146,10 +220,11 @@ def mix(
     of sources are those of the first by code point. Whole documents are taken, 0 to
     ``most`` times, but for one document of each pattern, which is cut where the quota
     ends. The order is the MD5 of ``doc_id`` and ``seed``; rows equal in ``doc_id`` go by
-    size. A null text has no words, a null source is a source of its own, a null
-    ``doc_id`` counts as an empty one. An empty table gives no rows.
+    size and a hash of the text. A null text has no words, a null source is a source of its own, a null
+    ``doc_id`` counts as an empty one. A text of any length is one document. An empty table
+    gives no rows.
     """
-    spark = docs.sparkSession
+    shared_folder(docs.sparkSession)
     sources = F.array(docs.source.cast("string")) if sources is None else sources
     order = F.md5(F.concat(F.coalesce(docs.doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")))
     items = docs.select(
@@ -158,23 +233,20 @@ def mix(
         word_count(docs.text).alias("size"),
         order.alias("order"),
         F.substring(order, 1, BUCKET_DIGITS).alias("bucket"),
+        F.xxhash64(docs.text).alias("tie"),
     )
     buckets = items.groupBy("sources", "bucket").agg(F.sum("size").alias("bucket_size"))
     buckets = buckets.checkpoint()
-    patterns = (
-        buckets.groupBy("sources").agg(F.sum("bucket_size").alias("size")).limit(MOST_PATTERNS + 1)
-    ).collect()
-    if len(patterns) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} combinations of sources")
-    plan = _plan(spark, patterns, weights, most)
+    patterns = buckets.groupBy("sources").agg(F.sum("bucket_size").alias("size")).checkpoint()
+    plan = _plan(patterns, weights, most)
     earlier = Window.partitionBy("sources").orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = buckets.withColumn("offset", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
-    offsets = offsets.join(F.broadcast(plan), F.col("sources") == F.col("plan_sources"))
+    offsets = offsets.join(plan, F.col("sources") == F.col("plan_sources"))
     inside = (
         Window.partitionBy("sources", "bucket")
-        .orderBy("order", "size")
+        .orderBy("order", "size", "tie")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     before = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))

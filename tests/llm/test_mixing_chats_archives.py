@@ -14,11 +14,6 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from growthgrain.llm import chats, mixing, packing, quality, simhash, substrings, warc
 
-SIZES = st.dictionaries(
-    st.one_of(st.none(), st.text("abcé", max_size=3)), st.integers(0, 1000), min_size=1, max_size=8
-)
-
-
 def plain_targets(sizes, total):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
@@ -38,14 +33,54 @@ def plain_targets(sizes, total):
             full.add(s)
 
 
-@settings(max_examples=200, deadline=None)
-@given(SIZES)
-def test_targets_equal_repeated_resharing(sizes):
-    found = mixing.targets(sizes, sum(sizes.values()))
+def spark_targets(spark, sizes, total):
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint").repartition(2)
+    return {r.source: r.target for r in mixing.targets(table, total).collect()}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_targets_equal_repeated_resharing(spark, seed):
+    chance = random.Random(seed)
+    names = [None, "", "a", "b", "B", "ü", "z", "梦", "aa"]
+    sizes = {s: chance.choice([0, 1, 3, 10, 10**4, 10**9]) for s in names[: 2 + 2 * seed]}
+    found = spark_targets(spark, sizes, sum(sizes.values()))
     wanted = plain_targets(sizes, sum(sizes.values()))
     assert found.keys() == wanted.keys()
     for s, t in wanted.items():
-        assert found[s] == pytest.approx(t, abs=1e-6)
+        assert found[s] == pytest.approx(t, abs=1e-6, rel=1e-12)
+
+
+def test_a_hundred_thousand_sources_give_rows(spark):
+    n = 100_050
+    docs = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.lit("two words").alias("text"), F.concat(F.lit("host"), "id").alias("source")
+    )
+    found = mixing.mix(docs, ["doc_id"]).agg(F.count("*"), F.sum("taken"), F.max("taken")).first()
+    assert found[0] == n and abs(found[1] - 2 * n) < n and found[2] == 4
+
+
+def test_many_groups_of_shared_sources(spark):
+    rows = [(i, "w " * (1 + i % 5), f"g{i % 40}", i % 3) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, g string, kind int")
+    left, right = (F.concat("g", F.lit(x)) for x in ("a", "b"))
+    both = F.when(F.col("kind") == 0, F.array(left)).when(F.col("kind") == 1, F.array(left, right)).otherwise(F.array(right))
+    found = mixing.mix(docs, ["doc_id", "g", "kind"], sources=both).collect()
+    sizes, words = {}, {}
+    for i, text, g, kind in rows:
+        pattern = [(f"{g}a",), (f"{g}a", f"{g}b"), (f"{g}b",)][kind]
+        words[pattern] = words.get(pattern, 0) + len(text.split())
+        for s in pattern:
+            sizes[s] = sizes.get(s, 0) + len(text.split())
+    wanted = plain_targets(sizes, sum(words.values()))
+    amounts = mixing.given(words, {s: int(t + 0.5) for s, t in wanted.items()})
+    taken = {}
+    for r in found:
+        g, kind = r["row"]["g"], r["row"]["kind"]
+        pattern = [(f"{g}a",), (f"{g}a", f"{g}b"), (f"{g}b",)][kind]
+        taken[pattern] = taken.get(pattern, 0) + r.taken
+    assert sum(taken.values()) == sum(amounts.values())
+    # patterns without a shared source have one cheapest amount
+    assert all(taken[p] <= 3 * words[p] for p in words)
 
 
 def cheapest(patterns, quotas):
