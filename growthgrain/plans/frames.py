@@ -249,11 +249,11 @@ class GrowthFrames:
         return activity_stretches(self.activity)
 
     def _paid(self, *columns: str) -> DataFrame:
-        """Payments with columns of their profile. Stored ones are one row per profile and
-        day, in the partitioning of the profiles."""
+        """Payments with columns of their profile, those on the days of any life at least.
+        Stored ones are one row per profile and day, in the partitioning of the profiles."""
         if "booking_days" in self.ready:
-            days = self.booking_days.join(self.dim.select(KEY, *columns), KEY, "left")
-            return days.withColumn(SPREAD, F.col(KEY))
+            days = self.ready.get("life_days", self.booking_days)
+            return days.join(self.dim.select(KEY, *columns), KEY, "left").withColumn(SPREAD, F.col(KEY))
         return join_spread(self.bookings, self.dim, list(columns), least=self.hot_rows)
 
     @cached_property

@@ -3,7 +3,7 @@
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,14 +58,40 @@ def read_csv_with_rejects(
     """The rows whose fields are all of their type, and the others.
 
     The others hold their fields as text, and in ``unreadable`` the names of those that
-    are not of their type; counting them is up to the caller.
+    are not of their type. Each of the two reads the file; ``read_csv_counted`` counts the
+    others on the way.
     """
+    marked = _marked(spark, path, schema)
+    return _readable(marked, schema), marked.where(F.size("unreadable") > 0)
+
+
+def _marked(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     raw = _raw_csv(spark, path).select(*[_text(field).alias(field.name) for field in schema])
     names = [F.when(_unreadable(field), F.lit(field.name)) for field in schema]
-    marked = raw.withColumn("unreadable", F.array_compact(F.array(*names)))
+    return raw.withColumn("unreadable", F.array_compact(F.array(*names)))
+
+
+def _readable(marked: DataFrame, schema: T.StructType) -> DataFrame:
     good = marked.where(F.size("unreadable") == 0)
-    good = good.select(*[_parsed(field).alias(field.name) for field in schema])
-    return good, marked.where(F.size("unreadable") > 0)
+    return good.select(*[_parsed(field).alias(field.name) for field in schema])
+
+
+def read_csv_counted(
+    spark: SparkSession, path: str, schema: T.StructType
+) -> tuple[DataFrame, Observation]:
+    """The rows whose fields are all of their type, and what was left out: ``rows`` read,
+    ``rejected`` rows, and for each column the unreadable fields in ``unreadable_<column>``.
+
+    The counts come with the rows, from the first action that reads them all; asking for
+    them before waits for it.
+    """
+    marked, counts = _marked(spark, path, schema), Observation()
+    each = [
+        F.count_if(F.array_contains("unreadable", f.name)).alias(f"unreadable_{f.name}") for f in schema
+    ]
+    rejected = F.count_if(F.size("unreadable") > 0).alias("rejected")
+    observed = marked.observe(counts, F.count("*").alias("rows"), rejected, *each)
+    return _readable(observed, schema), counts
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -96,20 +122,28 @@ def read_table(
     return {"csv": read_csv, "parquet": read_parquet}[kind](spark, path, schema)
 
 
+def _save(writer, table: str, path: str | None, append: bool) -> None:
+    writer = writer.mode("append" if append else "overwrite").format("parquet")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+
+
 def save_bucketed(
-    df: DataFrame, table: str, buckets: int, path: str | None = None, append: bool = False
+    df: DataFrame,
+    table: str,
+    buckets: int,
+    path: str | None = None,
+    append: bool = False,
+    period: str | None = None,
 ) -> None:
-    """A table bucketed by profile, at ``path`` if given, else in the warehouse."""
-    writer = (
-        df.repartition(buckets, KEY)
-        .write.mode("append" if append else "overwrite")
-        .format("parquet")
-        .bucketBy(buckets, KEY)
-        .sortBy(KEY)
-    )
-    if path is not None:
-        writer = writer.option("path", path)
-    writer.saveAsTable(table)
+    """A table bucketed by profile, in folders by ``period`` if that column is given, at
+    ``path`` if given, else in the warehouse."""
+    writer = df.repartition(buckets, KEY).write.bucketBy(buckets, KEY).sortBy(KEY)
+    _save(writer.partitionBy(period) if period else writer, table, path, append)
+
+
+def save_small(df: DataFrame, table: str, path: str | None = None, append: bool = False) -> None:
+    """A table of few rows, each time in one file."""
+    _save(df.coalesce(1).write, table, path, append)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from growthgrain import MARKETING_QUERIES, GrowthFrames
 from growthgrain.plans.report import EXPERIMENT_FEED, OUTPUTS, write_report
 from growthgrain.schemas import (
+    ACTIVITY,
     EXPERIMENT_RESULTS,
     PAYMENTS,
     PROFILES,
@@ -20,9 +21,10 @@ from growthgrain.schemas import (
 )
 from growthgrain.schemas import experiment_results_template, weekly_scorecard_template
 from growthgrain.session import shared_folder
-from growthgrain.sources.conformed import append_facts, load_conformed, save_conformed
+from growthgrain.sources.conformed import append_facts, append_load, load_conformed, save_conformed
 from growthgrain.sources.tables import (
     read_csv,
+    read_csv_counted,
     read_csv_with_rejects,
     read_optional_csv,
     read_parquet,
@@ -155,6 +157,7 @@ def test_conformed_tables_give_the_same_results_without_moving_facts(spark, fram
         for life in (loaded.booking_life, loaded.activity_life):
             plan = life._jdf.queryExecution().executedPlan().toString()
             assert "SortMergeJoin" in plan and "Exchange" not in plan
+            assert "PartitionFilters: [" in plan and "period" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -175,6 +178,7 @@ def test_facts_can_be_appended(spark, frames, tmp_path):
     spark.sql("DROP TABLE loads_profile_dim")
     spark.sql("DROP TABLE loads_booking_days")
     spark.sql("DROP TABLE loads_activity_stretches")
+    spark.sql("DROP TABLE loads_loads")
     from_files = load_conformed(spark, "loads", frames, folder)
     for query in ["segment_rpi", "ltv_90", "cohort_retention_revenue"]:
         expected = sorted(map(str, MARKETING_QUERIES[query](frames).collect()))
@@ -182,6 +186,85 @@ def test_facts_can_be_appended(spark, frames, tmp_path):
     assert loaded.dim.columns == other.dim.columns
 
 
+LOADED = ["profile_dim", "segment_rpi", "ltv_90", "cohort_retention_revenue", "payer_rate_by_segment"]
+
+
+def results(frames):
+    return {q: sorted(map(str, MARKETING_QUERIES[q](frames).collect())) for q in LOADED}
+
+
+def test_loads_add_up_to_a_rebuild_and_count_once(spark, frames, tmp_path):
+    """Profiles, payments and activity in three loads, one of them written twice and one
+    that dies before it is registered."""
+    loads = []
+    for part in range(3):
+        mine = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(3)) == part
+        loads.append(GrowthFrames(*(t.where(mine) for t in (frames.profiles, frames.payments, frames.activity))))
+    folder = f"file://{tmp_path}/tables"
+    save_conformed(loads[0], "step", 4, folder)
+    assert append_load(loads[1], "step", 4, "monday", folder)
+    before = results(load_conformed(spark, "step", frames, folder))
+    assert not append_load(loads[1], "step", 4, "monday", folder)
+    with pytest.raises(Exception, match="lost"):
+        broken = loads[2].activity.withColumn("activity_date", F.raise_error(F.lit("lost")).cast("date"))
+        append_load(GrowthFrames(loads[2].profiles, loads[2].payments, broken), "step", 4, "tuesday", folder)
+    assert results(load_conformed(spark, "step", frames, folder)) == before
+    assert append_load(loads[2], "step", 4, "tuesday", folder)
+    assert results(load_conformed(spark, "step", frames, folder)) == results(frames)
+
+
+def files_read(df):
+    """Files that the scans of an executed plan opened."""
+    found = []
+
+    def walk(node):
+        if node.nodeName().startswith("Scan "):
+            found.append(node.metrics().apply("numFiles").value())
+        inner = node.plan() if "QueryStage" in node.nodeName() else None
+        inner = node.executedPlan() if node.nodeName().startswith("AdaptiveSparkPlan") else inner
+        for child in [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]:
+            walk(child)
+
+    df.collect()
+    walk(df._jdf.queryExecution().executedPlan())
+    return sum(found)
+
+
+def test_first_days_of_life_leave_out_files(spark, frames, tmp_path):
+    years = [(f"p{i % 5}", dt.date(2010 + i % 30, 1 + i % 12, 3), 1.0) for i in range(600)]
+    payments = frames.payments.unionByName(spark.createDataFrame(years, PAYMENTS))
+    active = spark.createDataFrame([r[:2] for r in years], ACTIVITY)
+    more = GrowthFrames(frames.profiles, payments, frames.activity.unionByName(active))
+    save_conformed(more, "pruned", 2)
+    loaded = load_conformed(spark, "pruned", more)
+    assert results(loaded) == results(more)
+    every, some = files_read(loaded.booking_days), files_read(loaded.life_days)
+    assert 0 < some < every / 10
+    stored = spark.table("pruned_activity_stretches").inputFiles()
+    assert 0 < files_read(loaded.activity_stretches) < len(stored) / 5
+
+
+def test_tables_without_a_complete_load_are_refused(spark, frames, tmp_path):
+    folder = f"file://{tmp_path}/tables"
+    broken = frames.activity.withColumn("activity_date", F.raise_error(F.lit("lost")).cast("date"))
+    with pytest.raises(Exception, match="lost"):
+        save_conformed(GrowthFrames(frames.profiles, frames.payments, broken), "begun", 2, folder)
+    with pytest.raises(ValueError, match="no load"):
+        load_conformed(spark, "begun", frames, folder)
+
+
+def test_rejects_are_counted_in_the_reading(spark, tmp_path):
+    path = tmp_path / "payments.csv"
+    path.write_text(PAYMENT_LINES + 'p0,2024-01-01,1.5\np1,03/01/2024,"1,000.00"\np2,NA,\np3,2024-01-01,x\n')
+    good, counts = read_csv_counted(spark, str(path), PAYMENTS)
+    assert good.schema == PAYMENTS and sorted(r[0] for r in good.collect()) == ["p0", "p2"]
+    assert counts.get == {
+        "rows": 4, "rejected": 2, "unreadable_profile_id": 0, "unreadable_reported_date": 1,
+        "unreadable_gross_bookings_usd": 2,
+    }
+    assert good.groupBy("profile_id").agg(F.sum("gross_bookings_usd")).count() == 2
+
+
 def test_a_doubled_profile_fails_the_query(spark, frames):
     doubled = frames.with_ready(dim=frames.dim.unionAll(frames.dim))
     with pytest.raises(Exception, match="more than one row for"):
