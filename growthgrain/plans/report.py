@@ -13,6 +13,7 @@ from growthgrain.plans.frames import GrowthFrames
 from growthgrain.plans.ltv import best_first
 from growthgrain.plans.recommend import experiment_trend, summary_q5
 from growthgrain.schemas import experiment_results_template, weekly_scorecard_template
+from growthgrain.sources.published import publish
 from growthgrain.sources.tables import save_bucketed, write_csv, write_parquet
 
 # Names of the output tables, and the query each one holds.
@@ -113,10 +114,11 @@ def write_report(
     as_csv: bool = True,
     at_once: int = 4,
     channels: dict[str, Sequence[str]] | None = None,
-) -> list[str]:
-    """Write every output below ``folder`` and return their names.
+) -> dict[str, str]:
+    """Publish every output in ``folder``; where each one lies, by name.
 
-    The outputs are small once the shared frames are written, so ``at_once`` of them
+    Readers of ``published(spark, folder)`` see the outputs before these until all are
+    written. The outputs are small once the shared frames are written, so ``at_once`` of them
     run side by side. The experiment feed is written only if results are given.
     ``channels`` are the sources to ``scale`` and to ``trim`` in the recommendation.
     """
@@ -130,5 +132,9 @@ def write_report(
         tables[SCORECARD_TEMPLATE] = partial(weekly_scorecard_template, spark)
         if experiment is not None:
             tables[EXPERIMENT_FEED] = partial(experiment_trend, experiment)
-        list(pool.map(lambda name: write(tables[name](), f"{folder}/{name}"), tables))
-    return list(tables)
+
+        def write_all(below: str) -> list[str]:
+            list(pool.map(lambda name: write(tables[name](), f"{below}/{name}"), tables))
+            return list(tables)
+
+        return publish(spark, folder, write_all)

@@ -110,16 +110,16 @@ def read_optional_csv(spark: SparkSession, path: str, schema: T.StructType) -> D
         raise
 
 
+def table_kind(path: str, kind: str | None = None) -> str:
+    """``kind``, or else ``csv`` if the path ends in ``.csv`` or a compressed form of it."""
+    return kind or ("csv" if re.search(r"\.csv(\.\w+)?/?$", path) else "parquet")
+
+
 def read_table(
     spark: SparkSession, path: str, schema: T.StructType, kind: str | None = None
 ) -> DataFrame:
-    """A table of the given ``kind``, ``csv`` or ``parquet``.
-
-    Without one it is CSV if the path ends in ``.csv`` or a compressed form of it.
-    """
-    if kind is None:
-        kind = "csv" if re.search(r"\.csv(\.\w+)?/?$", path) else "parquet"
-    return {"csv": read_csv, "parquet": read_parquet}[kind](spark, path, schema)
+    """A table of the given ``kind``, ``csv`` or ``parquet``, or of that its path tells."""
+    return {"csv": read_csv, "parquet": read_parquet}[table_kind(path, kind)](spark, path, schema)
 
 
 def _save(writer, table: str, path: str | None, append: bool) -> None:

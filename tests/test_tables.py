@@ -22,6 +22,7 @@ from growthgrain.schemas import (
 from growthgrain.schemas import experiment_results_template, weekly_scorecard_template
 from growthgrain.session import shared_folder
 from growthgrain.sources.conformed import append_facts, append_load, load_conformed, save_conformed
+from growthgrain.sources.published import publish, published
 from growthgrain.sources.tables import (
     read_csv,
     read_csv_counted,
@@ -136,16 +137,39 @@ def test_report_writes_every_table(spark, frames, tmp_path):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("report_")]
     assert not list(Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")).glob("report_*"))
     for name in names:
-        assert list((tmp_path / name).glob("part-*.csv")), name
+        assert list(Path(names[name]).glob("part-*.csv")), name
+    assert published(spark, str(tmp_path)) == names
     without = write_report(frames, str(tmp_path / "parquet"), as_csv=False)
     assert EXPERIMENT_FEED not in without
     for name, query in OUTPUTS.items():
-        written = spark.read.parquet(str(tmp_path / "parquet" / name))
+        written = spark.read.parquet(without[name])
         direct = MARKETING_QUERIES[query](frames)
         if query != "ltv_regression":
             assert sorted(map(str, written.collect())) == sorted(map(str, direct.collect())), name
 
 
+def test_a_writing_that_fails_changes_nothing_for_readers(spark, tmp_path):
+    folder = str(tmp_path)
+    assert published(spark, folder) == {}
+
+    def write(number, fail):
+        def write_all(below):
+            write_parquet(spark.range(number), f"{below}/one")
+            if fail:
+                raise RuntimeError("half way")
+            write_parquet(spark.range(number), f"{below}/two")
+            return ["one", "two"]
+
+        return write_all
+
+    publish(spark, folder, write(3, False))
+    with pytest.raises(RuntimeError):
+        publish(spark, folder, write(5, True))
+    assert {n: spark.read.parquet(p).count() for n, p in published(spark, folder).items()} == {"one": 3, "two": 3}
+    publish(spark, folder, write(7, False))
+    assert {n: spark.read.parquet(p).count() for n, p in published(spark, folder).items()} == {"one": 7, "two": 7}
+
+
 def test_conformed_tables_give_the_same_results_without_moving_facts(spark, frames):
     save_conformed(frames, "growth", 4)
     loaded = load_conformed(spark, "growth", frames)
