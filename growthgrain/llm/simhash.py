@@ -127,6 +127,12 @@ def _ring(prints: DataFrame, distance: int) -> DataFrame:
             run = run + differ[(i + n) % len(parts)]
             within = within & (run <= (n + 1) * distance // (distance + 1))
         chains = chains | within
+    # a key at which one group alone is offered has nothing to tell that group; so a group
+    # of any number of prints costs no more than their number at the keys it has alone
+    offered = offered.repartition("ring", "key")
+    only = offered.groupBy("ring", "key").agg(F.min("root_b").alias("low"), F.max("root_b").alias("high"))
+    news = (F.col("low") != F.col("high")) | (F.col("low") != F.col("root_a"))
+    asking = asking.join(only, ["ring", "key"]).where(news).drop("low", "high")
     candidates = asking.join(offered, ["ring", "key"]).where(F.col("root_a") != F.col("root_b"))
     return (
         candidates.where(chains)
@@ -140,7 +146,8 @@ def groups(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
 
     Fingerprints at most ``distance`` bits apart are linked, ``group`` names those that
     links connect, and ``component_id`` is the smallest ``doc_id`` among their rows.
-    Equal fingerprints share one node, so copies are never paired. Null ``doc_id`` rows
+    Equal fingerprints share one node, so copies are never paired. A text of any length is
+    one fingerprint. Null ``doc_id`` rows
     join groups but never name one, unless a group has no other rows: then its
     ``component_id`` is null. Repeated rows, empty tables and further columns change
     nothing.

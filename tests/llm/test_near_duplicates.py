@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 import xxhash
@@ -107,6 +108,23 @@ def test_a_dense_group_makes_no_pairs(spark):
     assert len(set(links(spark, prints).values())) == 1
 
 
+def test_prints_of_one_group_at_one_key_are_not_paired(spark):
+    """8,000 prints with two equal segments: as one group they make no pairs, and a print of
+    another group among them is still linked."""
+    chance = random.Random(6)
+    low = chance.getrandbits(26)
+    crowd = {chance.getrandbits(38) << 26 | low for _ in range(8000)}
+    near = [next(iter(crowd)) ^ (1 << 40) ^ (1 << 50) ^ (1 << 60)]
+    rows = [(signed(p), 1) for p in crowd] + [(signed(p), 2) for p in near if p not in crowd]
+    prints = spark.createDataFrame(rows, "fp bigint, root bigint").repartition(4)
+    alone = simhash._ring(prints.where("root = 1"), 4)
+    begin = time.monotonic()
+    assert alone.count() == 0
+    assert time.monotonic() - begin < 60
+    found = {tuple(r) for r in simhash._ring(prints, 4).distinct().collect()}
+    assert found and found <= {(1, 2), (2, 1)}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 1), (5, 4), (9, 9), (30, 20), (20, 10)]
     edges += [(n, n + 1) for n in range(100, 180)] + [(n, 500) for n in range(501, 560)]
