@@ -14,18 +14,32 @@ MARKER, INSTEAD = r"<\|(im_start|im_end)\|>", "< |$1|>"
 NO_ROLE = "unknown"
 
 
+#: A conversation by a text that is never missing, so that windows, joins and groups on it
+#: share one exchange of the texts.
+KEY = "_conversation"
+
+
+def _key(conv_id: Column) -> Column:
+    return F.coalesce(F.concat(conv_id.cast("string"), F.lit("=")), F.lit(""))
+
+
+def _conv_id(turns: DataFrame) -> Column:
+    number = F.when(F.col(KEY) != "", F.left(KEY, F.length(KEY) - 1))
+    return number.cast(turns.schema["conv_id"].dataType)
+
+
 def _numbered(turns: DataFrame) -> DataFrame:
     """Turns with their place in the conversation and a hash of the turns so far.
 
     The hash is the exclusive or of two 64-bit hashes of every (place, role, text).
     """
     rows = turns.select(
-        turns.conv_id.alias("conv_id"),
+        _key(turns.conv_id).alias(KEY),
         turns.turn.alias("turn"),
         F.coalesce(turns.role, F.lit(NO_ROLE)).alias("role"),
         F.coalesce(turns.text, F.lit("")).alias("text"),
     )
-    in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    in_order = Window.partitionBy(KEY).orderBy("turn", "role", "text")
     whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     this = F.struct("turn", "role", "text")
@@ -36,7 +50,7 @@ def _numbered(turns: DataFrame) -> DataFrame:
         .withColumn("one", F.xxhash64("place", "role", "text"))
         .withColumn("other", F.xxhash64("text", "role", "place"))
         .select(
-            "conv_id",
+            KEY,
             "place",
             "role",
             "text",
@@ -55,7 +69,7 @@ def maximal(turns: DataFrame) -> DataFrame:
     numbered = _numbered(turns)
     key = ["n_turns", "one", "other"]
     whole = numbered.where(F.col("place") == F.col("n_turns"))
-    whole = whole.groupBy(*key).agg(F.min("conv_id").alias("conv_id"))
+    whole = whole.groupBy(*key).agg(F.min(_conv_id(turns)).alias("conv_id"))
     begun = numbered.where(F.col("place") < F.col("n_turns"))
     begun = begun.select(F.col("place").alias("n_turns"), "one", "other").distinct()
     return whole.join(begun, key, "left_anti").select("conv_id", "n_turns")
@@ -73,16 +87,16 @@ def collapse(turns: DataFrame) -> DataFrame:
     Turns go by ``turn``, ``role`` and ``text``, missing values first; a row that repeats
     another counts once. A missing role is "unknown", a missing text empty. Rows without
     ``conv_id`` are one conversation. An empty table gives no rows; further columns are
-    not read.
+    not read. A conversation, and so its texts, is held by one task; the texts pass one
+    exchange.
     """
-    left = maximal(turns).select(F.col("conv_id").alias("left_id"))
-    numbered = _numbered(turns)
-    kept = numbered.join(left, F.col("conv_id").eqNullSafe(F.col("left_id")), "left_semi")
+    left = maximal(turns).select(_key(F.col("conv_id")).alias(KEY))
+    kept = _numbered(turns).join(left, KEY, "left_semi")
     line = F.struct("place", rendered_turn(F.col("role"), F.col("text")).alias("line"))
     lines = F.array_sort(F.collect_list(line))
-    return kept.groupBy("conv_id").agg(
+    return kept.groupBy(KEY).agg(
         F.count("*").alias("n_turns"), F.array_join(lines["line"], "").alias("rendered")
-    )
+    ).select(_conv_id(turns).alias("conv_id"), "n_turns", "rendered")
 
 
 SQL = """

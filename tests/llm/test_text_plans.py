@@ -43,3 +43,11 @@ def test_texts_pass_one_exchange(no_broadcast, odd):
         with_text = [line for line in plan.split("\n") if "Exchange hashpartitioning(chunk" in line]
         texts = [line for line in with_text if "ReusedExchange" not in line]
         assert any("ReusedExchange [chunk" in line for line in plan.split("\n")) and texts
+
+
+def test_turns_pass_one_exchange(no_broadcast):
+    turns = no_broadcast.read.parquet(f"{SAMPLE}/conversations.parquet")
+    plan = plan_of(chats.collapse(turns), run=True).split("== Initial Plan ==")[0]
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning(_conversation" in line]
+    first = [line for line in moved if "ReusedExchange" not in line]
+    assert len(first) == 2 and len(moved) - len(first) == 2  # the turns, and which ones stay
