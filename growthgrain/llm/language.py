@@ -29,6 +29,8 @@ MOST_LANGUAGES = 1000
 HELD_LANGUAGES = 64
 #: Numbers in the forward table of the words that are scored together.
 MOST_SUMS = 4_000_000
+#: Numbers of words that are kept from one megabyte to the next; beyond, those of the last.
+MOST_KEPT = 4_000_000
 
 
 def vocabulary_path() -> str:
@@ -137,10 +139,41 @@ class Vocabulary:
         return np.add.reduceat(logs, np.cumsum(cut) - cut) if len(cut) else logs
 
 
-def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """One place of every distinct word, and for every word which one it is."""
-    _, at, which = np.unique(word_hashes(words), return_index=True, return_inverse=True)
-    return at, which
+def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash and one place of every distinct word, and for every word which one it is."""
+    return np.unique(word_hashes(words), return_index=True, return_inverse=True)
+
+
+class _WordScores:
+    """Logs of words by language, kept from one megabyte of a task to the next."""
+
+    def __init__(self, vocabulary: Vocabulary, chance: np.ndarray):
+        self.vocabulary, self.chance = vocabulary, chance
+        self._keep(np.zeros(0, np.uint64), np.zeros((0, chance.shape[1])))
+
+    def _keep(self, hashes: np.ndarray, logs: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.logs = hashes[order], logs[order]
+
+    def of(self, words: Words, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """One row for each of some different words, given by hash and place."""
+        langs = self.chance.shape[1]
+        place = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == hashes[inside]
+        logs = np.empty((len(hashes), langs))
+        logs[known] = self.logs[place[known]]
+        new = np.flatnonzero(~known)
+        few = max(1, MOST_SUMS // (LONGEST * max(1, langs)))
+        for i in range(0, len(new), few):
+            some = new[i : i + few]
+            logs[some] = self.vocabulary.forward(words, at[some], self.chance)
+        if (len(self.hashes) + len(new)) * max(1, langs) > MOST_KEPT:
+            self._keep(hashes, logs)
+        else:
+            self._keep(np.append(self.hashes, hashes[new]), np.concatenate([self.logs, logs[new]]))
+        return logs
 
 
 def piece_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -170,7 +203,7 @@ def piece_counts(docs: DataFrame, path: str) -> DataFrame:
                 own = texts.take(pa.array(np.flatnonzero(langs == lang)))
                 for a, b in pieces(own):
                     words = read_words(own[a:b].to_pylist())
-                    at, which = _distinct(words)
+                    _, at, which = _distinct(words)
                     spans = zip(words.starts[at], words.ends[at], strict=True)
                     distinct = [words.data[s:e].tobytes().decode("utf-8") for s, e in spans]
                     found = vocabulary.counts(distinct, np.bincount(which, minlength=len(at)))
@@ -220,16 +253,14 @@ def predict(docs: DataFrame, train: Column, path: str | None = None) -> DataFram
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(path)
         langs, chance = model.value
+        scores_of = _WordScores(vocabulary, chance)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             for a, b in pieces(texts):
                 some = texts[a:b].to_pylist()
                 words = read_words(some)
-                at, which = _distinct(words)
-                few = max(1, MOST_SUMS // (LONGEST * max(1, len(langs))))
-                logs = np.zeros((len(at), len(langs)))
-                for i in range(0, len(at), few):
-                    logs[i : i + few] = vocabulary.forward(words, at[i : i + few], chance)
+                hashes, at, which = _distinct(words)
+                logs = scores_of.of(words, hashes, at)
                 owner = words.text_of()
                 total = np.zeros((len(some), len(langs)))
                 for i in range(len(langs)):

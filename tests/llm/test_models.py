@@ -157,6 +157,18 @@ def test_forward_sums_over_all_segmentations(vocabulary):
         assert np.allclose(total, logs)
 
 
+@pytest.mark.parametrize("most", [0, 60, 10**6])
+def test_kept_word_scores_are_those_of_the_forward_pass(vocabulary, monkeypatch, most):
+    monkeypatch.setattr(language, "MOST_KEPT", most)
+    chance = np.random.default_rng(2).random((vocabulary.size, 3)) * 1e-3
+    kept = language._WordScores(vocabulary, chance)
+    for text in ("one two three two", "", "two four five größer", "one five six seven eight", "two"):
+        words = read_words([text.encode()])
+        hashes, at, _ = language._distinct(words)
+        assert np.array_equal(kept.of(words, hashes, at), vocabulary.forward(words, at, chance))
+        assert kept.logs.size <= max(most, 3 * len(at))
+
+
 def test_languages_of_odd_rows(odd, none):
     found = language.predict(odd, F.lit(True)).collect()
     assert len(found) == len(ODD)
