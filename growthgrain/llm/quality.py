@@ -121,7 +121,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repetition(docs: DataFrame) -> DataFrame:
     """``row`` (all columns of ``docs``) and the measures of its text, without a shuffle.
 
-    A null text has no words. Every row, also a repeated one, gives a row; an empty
+    A null text has no words. A text is measured whole, however long, one by one where it is
+    longer than a megabyte. Every row, also a repeated one, gives a row; an empty
     table gives none. Columns of ``docs`` may have any names, as they stay inside ``row``.
     """
     given = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs.text)
@@ -146,12 +147,13 @@ def verdict() -> F.Column:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """``row``, the measures, and the verdict ``kept``."""
+    """``row``, the measures, and the verdict ``kept``; odd rows as in ``repetition``. A null
+    or empty text has too few words and is not kept."""
     return repetition(docs).withColumns({"base_failed": base_failed(), "kept": verdict()})
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns as they were."""
+    """The documents that pass, with their columns as they were, repeated rows each."""
     return judged(docs).where("kept").select("row.*")
 
 
