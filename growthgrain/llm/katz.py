@@ -1,14 +1,16 @@
 """Katz backoff language model over words.
 
-Counts of words, then of word pairs and so on up to ``order`` words, are gathered level
-by level in buckets (see ``chunks``). A seen n-gram has its Good-Turing discounted
+Documents become chunks of word numbers, written as a table. Counts of words, then of word
+pairs and so on up to ``order`` words, are gathered level by level in buckets (see
+``chunks``); each level is a table of its own, with a folder for each kind of row, and its
+exchanges go before the next level starts. A seen n-gram has its Good-Turing discounted
 relative frequency; the mass that leaves over is spread over the words not seen after the
 same history in proportion to the next shorter model, which makes every history's
 probabilities add up to exactly one. Single words have add-half probabilities over the
 vocabulary and one class for all unknown words.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from growthgrain.llm import chunks
+from growthgrain.llm.stored import Tables
 from growthgrain.llm.words import (
     BASE,
     mixed,
@@ -44,7 +47,8 @@ FOLDS = 5
 ASK, COUNTS, WANT, PART, HOT, TOTALS = range(6)
 PACKED = ["keys", "counts", "lower", "histories", "history", "hot", "seen"]
 NUMBERS = [f"total_{i}" for i in range(TRUSTED + 1)]
-MESSAGE = "level int, kind int, bucket int, chunk int, " + ", ".join(
+TOKENS = "sizes binary, training binary, words binary, tokens binary"
+MESSAGE = "level int, kind int, bucket int, chunk bigint, " + ", ".join(
     [f"{c} binary" for c in PACKED] + [f"{c} bigint" for c in NUMBERS]
 )
 
@@ -60,30 +64,89 @@ def joined(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Tokens(NamedTuple):
-    """Tokens of a chunk with an end token after each document: the hash of each, the
-    hash of the 1, 2, ... tokens before it, and whether its document is for training."""
+    """Tokens of a chunk with an end token after each document: the number of each among the
+    sorted hashes in ``words``, the hash of the 1, 2, ... tokens before it, and whether
+    its document is for training."""
 
-    word: np.ndarray
+    words: np.ndarray
+    tokens: np.ndarray
     histories: list[np.ndarray]
     training: np.ndarray
     first: np.ndarray
 
 
-def read_tokens(table: pa.Table, order: int) -> Tokens:
-    words = read_words(chunks.texts_of(table), lower=True)
+def cut_texts(texts: list[bytes | None], training: np.ndarray) -> list[bytes]:
+    """What a chunk holds of its documents, in the columns of TOKENS."""
+    words = read_words(texts, lower=True)
     first = words.first + np.arange(len(words.first))
     word = np.full(first[-1], END, np.uint64)
     inner = np.ones(len(word), bool)
     inner[first[1:] - 1] = False
     word[inner] = word_hashes(words)
+    known, tokens = np.unique(word, return_inverse=True)
+    sizes = np.diff(first).astype(np.uint32)
+    return [
+        pack(sizes),
+        pack(training.astype(np.uint8)),
+        pack_sorted(known),
+        pack(tokens.astype(np.uint32)),
+    ]
+
+
+def read_tokens(table: pa.Table, order: int) -> Tokens:
+    """The tokens of a chunk; of its rows, one has them."""
+    sizes, training, words, tokens = (
+        unpack(next(v for v in table.column(field.split()[0]).to_pylist() if v))
+        for field in TOKENS.split(", ")
+    )
+    words = np.cumsum(words, dtype=np.uint64)
+    first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    word = words[tokens]
     place = np.arange(len(word)) - np.repeat(first[:-1], np.diff(first))
     histories: list[np.ndarray] = []
     for back in range(1, order):
         before = np.full(len(word), BEGIN, np.uint64)
         before[back:] = np.where(place[back:] >= back, word[:-back], BEGIN)
         histories.append(joined(histories[-1], before) if histories else mixed(before))
-    trains = table.column("training").to_numpy()
-    return Tokens(word, histories, np.repeat(trains, np.diff(first)), first)
+    return Tokens(words, tokens, histories, np.repeat(training > 0, sizes), first)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of documents as they are read, one row for each; the first of a chunk has its tokens."""
+    number = 0
+    for table in _some_megabytes(batches):
+        texts = chunks.texts_of(table)
+        found = cut_texts(texts, table.column("training").to_numpy())
+        chunk = (table.column("part")[0].as_py() << 32) + number
+        number += 1
+        n = len(texts)
+        made = {
+            "chunk": pa.array(np.full(n, chunk, np.int64)),
+            "place": pa.array(np.arange(n), pa.int32()),
+            "row": table.column("row"),
+        }
+        for field, value in zip(TOKENS.split(", "), found, strict=True):
+            made[field.split()[0]] = pa.array([value] + [None] * (n - 1), pa.binary())
+        yield from pa.table(made).to_batches()
+
+
+def _some_megabytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        sizes = np.cumsum([len(t or b"") for t in chunks.texts_of(pa.table(batch))])
+        a = 0
+        while a < batch.num_rows:
+            before = sizes[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(sizes, before + chunks.CHUNK_BYTES - size, "right")))
+            held.append(batch.slice(a, b - a))
+            size += int(sizes[b - 1] - before)
+            a = b
+            if size >= chunks.CHUNK_BYTES or a < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
@@ -100,40 +163,54 @@ def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
     return np.where((found > 0) & (found < 1), found, absolute)
 
 
-def _bounds(n: int) -> np.ndarray:
-    """Lower ends of the buckets, on steps that never part the n-grams of a history."""
-    return np.array([((b << 24) // n) << 40 for b in range(n)], np.uint64)
+def _parts(keys: np.ndarray, n: int) -> list[tuple[int, slice]]:
+    """The buckets that sorted keys fall in, and where. Buckets go by the upper 24 bits, so
+    they never part the n-grams of a history."""
+    bucket = ((keys >> np.uint64(40)).astype(np.int64) * n + n - 1) >> 24
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]])
+    return [(int(bucket[a]), slice(a, b)) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-def _parts(keys: np.ndarray, n: int) -> list[tuple[int, slice]]:
-    """The buckets that sorted keys fall in, and where."""
-    cuts = np.append(np.searchsorted(keys, _bounds(n)), len(keys))
-    return [(int(b), slice(cuts[b], cuts[b + 1])) for b in np.flatnonzero(np.diff(cuts))]
+def _pack_close(numbers: np.ndarray) -> bytes:
+    """Numbers that differ little from the one before, by their differences without a sign."""
+    steps = np.diff(numbers.astype(np.int32), prepend=np.int32(0))
+    return pack(((steps << 1) ^ (steps >> 31)).astype(np.uint32))
+
+
+def _unpack_close(packed: bytes) -> np.ndarray:
+    steps = unpack(packed)
+    return np.cumsum((steps >> 1).astype(np.int64) ^ -(steps & 1).astype(np.int64))
 
 
 class Level:
     """The distinct n-grams of one length in a chunk, by sorted key. ``history`` is the
     place of their history in the sorted ``histories``; ``seen`` holds how many
     continuations of a history occur 1 to TRUSTED times and how often it is continued in
-    all, ``lower`` the probability that the shorter model gives the continuations."""
+    all. ``lower`` tells of the same continuations after the history without its oldest
+    word: how many occur 1 to TRUSTED times there, and how often the others do in all; on
+    level 2, where that history is empty, only twice their counts and one for each."""
 
     def __init__(self, tokens: Tokens, level: int, history_counts: np.ndarray, often: float):
         if level == 1:
-            keys, history, hot = tokens.word, np.zeros(len(tokens.word), np.uint64), False
+            self.keys, self.back = tokens.words, tokens.tokens
+            self.at = np.zeros(len(self.keys), np.int64)
+            self.at[self.back] = np.arange(len(self.back))
+            history, hot = np.zeros(len(self.back), np.uint64), np.zeros(len(self.back), bool)
         else:
             history = mixed(tokens.histories[level - 2])
-            gram, hot = joined(history, tokens.word), history_counts > often
+            gram, hot = joined(history, tokens.words[tokens.tokens]), history_counts > often
             top = np.uint64(40)
             together = (history >> top << top) | (gram >> np.uint64(24))
             keys = np.where(hot, gram, together)
-        self.keys, self.at, self.back = np.unique(keys, return_index=True, return_inverse=True)
+            self.keys, self.at, self.back = np.unique(keys, return_index=True, return_inverse=True)
         self.histories, first, self.history = np.unique(
             history[self.at], return_index=True, return_inverse=True
         )
-        self.hot = np.broadcast_to(hot, len(keys))[self.at][first]
+        self.history_at = self.at[first]
+        self.hot = hot[self.history_at]
         self.counts = np.zeros(len(self.keys), np.int64)
         self.seen = np.zeros((len(self.histories), TRUSTED + 1), np.int64)
-        self.lower = np.zeros(len(self.histories))
+        self.lower = np.zeros((len(self.histories), TRUSTED + 1), np.int64)
 
     def some_histories(self, hot: bool, n: int) -> list[tuple[int, np.ndarray]]:
         """Places of the hot or the other histories, by bucket."""
@@ -142,15 +219,17 @@ class Level:
 
 
 class Reader:
-    """A chunk with the answers it has had. Levels follow from the answers to lower ones."""
+    """A chunk with the answers it has had and the totals of each level. Levels follow from
+    the answers to lower ones."""
 
-    def __init__(self, table: pa.Table, told: list[dict], order: int, n_buckets: int):
-        self.n_buckets = n_buckets
+    def __init__(self, table: pa.Table, told: list[dict], totals: list[list[int]], order: int, n: int):
+        self.n_buckets = n
         self.tokens = read_tokens(table, order)
-        self.totals = {a["level"]: np.array([a[c] for c in NUMBERS]) for a in told}
+        self.totals = dict(enumerate(totals, 1))
         self.levels: list[Level] = []
         self.logs: list[np.ndarray] = []
-        for level in sorted(self.totals):
+        self.room = np.zeros(0)
+        for level in self.totals:
             found = self.next_level()
             self._hear(found, [a for a in told if a["level"] == level])
             self.levels.append(found)
@@ -174,7 +253,7 @@ class Reader:
             own = places[a["kind"]].get(a["bucket"])
             if own is not None and a["seen"]:
                 found.seen[own] = unpack(a["seen"]).reshape(len(own), -1)
-                found.lower[own] = unpack(a["lower"])
+                found.lower[own] = unpack(a["lower"]).reshape(len(own), -1)
 
     @property
     def mass(self) -> float:
@@ -191,7 +270,14 @@ class Reader:
         left = (found.seen[:, :-1] * np.arange(1, TRUSTED + 1)) @ (1 - factor[:-1])
         full = (of > 0) & (left <= 0)  # nothing was taken off: make room for one more
         left, room = np.where(full, 1.0, left), of + full
-        lower = found.lower / (2 * self.mass if level == 2 else 1.0)
+        if level == 2:
+            lower = found.lower[:, -1] / (2 * self.mass)
+        else:
+            below = discounts(self.totals[level - 1]) * np.arange(1, TRUSTED + 1)
+            lower = found.lower[:, :-1] @ below + found.lower[:, -1]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                lower = lower / self.room[found.history_at]
+        self.room = room[found.history][found.back]
         r = found.counts
         with np.errstate(divide="ignore", invalid="ignore"):
             backoff = np.where(of > 0, np.log10(left / room) - np.log10(1 - lower), 0.0)
@@ -204,10 +290,9 @@ class Reader:
         counts = np.bincount(found.back, self.tokens.training, len(found.keys)).astype(np.uint32)
         if level == 1:
             lower = np.zeros(len(found.keys), np.uint8)
-        elif level == 2:  # half counts: they compress well and add up exactly
-            lower = (2 * self.levels[0].counts[self.levels[0].back][found.at] + 1).astype(np.uint64)
         else:
-            lower = 10 ** self.logs[-1][found.at]
+            lower = self.levels[-1].counts[self.levels[-1].back][found.at]
+            lower = (2 * lower + 1 if level == 2 else lower).astype(np.uint64)
         rows = []
         for b, part in _parts(found.keys, self.n_buckets):
             own, history = np.unique(found.history[part], return_inverse=True)
@@ -215,7 +300,7 @@ class Reader:
                 {"kind": ASK, "bucket": b, "keys": pack_sorted(found.keys[part])}
                 | {"counts": pack(counts[part]), "lower": pack(lower[part])}
                 | {"histories": pack_sorted(found.histories[own])}
-                | {"history": pack(history.astype(np.uint32))}
+                | {"history": _pack_close(history)}
                 | {"hot": pack(found.hot[own].astype(np.uint8))}
             )
         for b, own in found.some_histories(True, self.n_buckets):
@@ -228,13 +313,6 @@ def _message(rows: list[dict]) -> pa.Table:
     return chunks.as_table({c: [row.get(c) for row in rows] for c in names}, MESSAGE)
 
 
-def _added(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values by the group they are of, in the type of the values."""
-    total = np.zeros(n, values.dtype)
-    np.add.at(total, of, values)
-    return total
-
-
 def _count(table: pa.Table) -> pa.Table:
     """A bucket: count its n-grams over all chunks and tell each chunk its own."""
     asked = table.to_pylist()
@@ -247,7 +325,7 @@ def _count(table: pa.Table) -> pa.Table:
     keys = np.concatenate([unpack_sorted(a["keys"]) for a in asked])
     owns = [unpack_sorted(a["histories"]) for a in asked]
     history = np.concatenate(
-        [o[unpack(a["history"])] for o, a in zip(owns, asked, strict=True)]
+        [o[_unpack_close(a["history"])] for o, a in zip(owns, asked, strict=True)]
     )
     order = np.argsort(keys, kind="stable")
     new = np.diff(keys[order], prepend=np.uint64(0)) != 0
@@ -259,7 +337,7 @@ def _count(table: pa.Table) -> pa.Table:
     del keys
     counts = np.concatenate([unpack(a["counts"]) for a in asked]).astype(np.int64)
     counts = np.add.reduceat(counts[order], begins)
-    lower = np.concatenate([unpack(a["lower"]) for a in asked])[one]
+    lower = np.concatenate([unpack(a["lower"]) for a in asked])[one].astype(np.int64)
     history = history[one]
     if level == 1:
         total = np.array([counts.sum(), (counts > 0).sum(), *[0] * (TRUSTED - 1)])
@@ -275,7 +353,11 @@ def _count(table: pa.Table) -> pa.Table:
     few = (counts > 0) & (counts <= TRUSTED)
     np.add.at(seen, (of[few], counts[few] - 1), 1)
     np.add.at(seen[:, TRUSTED], of, counts)
-    mass = _added(of, np.where(counts > 0, lower, 0), len(histories))
+    mass = np.zeros((len(histories), TRUSTED + 1), np.int64)
+    there = counts > 0
+    few = there & (lower <= TRUSTED) if level > 2 else np.zeros(len(counts), bool)
+    np.add.at(mass, (of[few], lower[few] - 1), 1)
+    np.add.at(mass[:, TRUSTED], of[there & ~few], lower[there & ~few])
     hot = np.zeros(len(histories), bool)
     for own, a in zip(owns, asked, strict=True):
         hot[np.searchsorted(histories, own[unpack(a["hot"]) > 0])] = True
@@ -305,8 +387,8 @@ def _split_parts(n_buckets: int) -> Callable[[pa.Table], pa.Table]:
                 if a["kind"] == WANT:
                     rows.append(a)
                     continue
-                histories, seen = unpack_sorted(a["histories"]), unpack(a["seen"])
-                seen, lower = seen.reshape(len(histories), -1), unpack(a["lower"])
+                histories = unpack_sorted(a["histories"])
+                seen, lower = (unpack(a[c]).reshape(len(histories), -1) for c in ("seen", "lower"))
                 for b, part in _parts(histories, n_buckets):
                     rows.append(
                         {"level": a["level"], "kind": PART, "bucket": b}
@@ -326,9 +408,9 @@ def _add_parts(table: pa.Table) -> pa.Table:
         return _message([])
     own = np.concatenate([unpack_sorted(a["histories"]) for a in parts])
     histories, of = np.unique(own, return_inverse=True)
-    seen = np.zeros((len(histories), TRUSTED + 1), np.int64)
-    np.add.at(seen, of, np.concatenate([unpack(a["seen"]) for a in parts]).reshape(len(own), -1))
-    lower = _added(of, np.concatenate([unpack(a["lower"]) for a in parts]), len(histories))
+    seen, lower = (np.zeros((len(histories), TRUSTED + 1), np.int64) for _ in range(2))
+    for name, total in (("seen", seen), ("lower", lower)):
+        np.add.at(total, of, np.concatenate([unpack(a[name]) for a in parts]).reshape(len(own), -1))
     told = []
     for a in wants:
         mine = np.searchsorted(histories, unpack_sorted(a["histories"]))
@@ -339,34 +421,32 @@ def _add_parts(table: pa.Table) -> pa.Table:
     return _message(told)
 
 
-def _told(asked: DataFrame, n_buckets: int) -> DataFrame:
-    """Answers to the questions of all chunks on one level, each with the level's totals."""
+class Told(NamedTuple):
+    """What chunks are told about one level, and the level's totals."""
+
+    rows: DataFrame
+    totals: list[int]
+
+
+def _told(tables: Tables, level: int, asked: DataFrame, n: int) -> Told:
+    """The table of a level: all n-grams that chunks asked for, counted in buckets."""
     counted = asked.groupBy("bucket").applyInArrow(_count, MESSAGE)
+    counted = tables.write(f"counts-{level}", counted, by="kind")
     total = counted.where(F.col("kind") == TOTALS).agg(
-        F.struct(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in NUMBERS]).alias("total")
-    )
-    parts = counted.where(F.col("kind").isin(PART, WANT)).mapInArrow(
-        _split_parts(n_buckets), MESSAGE
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in NUMBERS]
     )
+    parts = counted.where(F.col("kind").isin(PART, WANT)).mapInArrow(_split_parts(n), MESSAGE)
     hot = parts.groupBy("bucket").applyInArrow(_add_parts, MESSAGE)
+    hot = tables.write(f"frequent-{level}", hot)
     told = counted.where(F.col("kind") == COUNTS).unionByName(hot)
-    return told.withColumn("total", total.scalar()).withColumns(
-        {c: F.col("total")[c] for c in NUMBERS}
-    ).drop("total")
+    answers = ["level", "kind", "bucket", "chunk", "counts", "seen", "lower"]
+    return Told(told.select(*answers), list(total.first()))
 
 
-def _ask_first(order: int, n_buckets: int) -> Callable[[pa.Table], pa.Table]:
-    def ask(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        return _message(Reader(table, [], order, n_buckets).ask(chunk))
-
-    return ask
-
-
-def _ask_next(order: int, n_buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _ask(totals: list[list[int]], order: int, n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def ask(table: pa.Table, told: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        return _message(Reader(table, told.to_pylist(), order, n_buckets).ask(chunk))
+        return _message(Reader(table, told.to_pylist(), totals, order, n).ask(chunk))
 
     return ask
 
@@ -374,9 +454,10 @@ def _ask_next(order: int, n_buckets: int) -> Callable[[pa.Table, pa.Table], pa.T
 SCORES = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _score(order: int, n_buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _score(totals: list[list[int]], order: int, n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
-        reader = Reader(table, told.to_pylist(), order, n_buckets)
+        table = table.sort_by("place")
+        reader = Reader(table, told.to_pylist(), totals, order, n)
         first, words = reader.tokens.first, reader.levels[0]
         known = words.counts[words.back] > 0
         made = {
@@ -397,19 +478,33 @@ def scores(docs: DataFrame, train: Column, order: int = 2) -> DataFrame:
     model of ``order`` words learned from the rows for which ``train`` holds.
 
     ``score`` is log10 of the model's probability of the text, ``base_score`` that of
-    single words. A null text is empty and has the end token only. Repeated rows are
-    learned from and scored each; an empty table gives no rows. With nothing to learn
-    from, everything is unknown and has probability one. Words are told apart by 64-bit
-    hashes.
+    single words. A null text is empty and has the end token only; a very long one ends
+    its chunk and is held whole by one task. Repeated rows are learned from and scored each; an
+    empty table gives no rows. With nothing to learn from, everything is unknown and has
+    probability one. Words are told apart by 64-bit hashes.
+
+    The tables of counts are written when this is called, and dropped once the scores are.
     """
     n = chunks.chunk_count(docs)
-    texts = chunks.chunked(docs, n, training=F.coalesce(train, F.lit(False)))
-    asked = texts.groupBy("chunk").applyInArrow(_ask_first(order, n), MESSAGE)
-    answers = [_told(asked, n)]
-    for _ in range(2, order + 1):
-        known = reduce(DataFrame.unionByName, answers)
-        asked = chunks.by_chunk(texts, known, _ask_next(order, n), MESSAGE)
-        answers.append(_told(asked, n))
-    row = texts.schema["row"].dataType.simpleString()
-    known = reduce(DataFrame.unionByName, answers)
-    return chunks.by_chunk(texts, known, _score(order, n), f"row {row}, {SCORES}")
+    tables = Tables(docs.sparkSession, "katz")
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row")
+    training = F.coalesce(train, F.lit(False)).alias("training")
+    read = docs.select(row, docs.text, training, F.spark_partition_id().alias("part"))
+    row = read.schema["row"].dataType.simpleString()
+    texts = read.mapInArrow(_cut, f"chunk bigint, place int, row {row}, {TOKENS}")
+    texts = tables.write("tokens", texts)
+    tokens = texts.where("place = 0").drop("place", "row")
+    answers = docs.sparkSession.createDataFrame([], MESSAGE).select(
+        "level", "kind", "bucket", "chunk", "counts", "seen", "lower"
+    )
+    told: list[Told] = []
+    for level in range(1, order + 1):
+        known = reduce(DataFrame.unionByName, [t.rows for t in told], answers)
+        ask = _ask([t.totals for t in told], order, n)
+        told.append(_told(tables, level, chunks.by_chunk(tokens, known, ask, MESSAGE), n))
+    known = reduce(DataFrame.unionByName, [t.rows for t in told], answers)
+    score = _score([t.totals for t in told], order, n)
+    found = tables.write("scores", chunks.by_chunk(texts, known, score, f"row {row}, {SCORES}"))
+    for name in ["tokens", *[f"{kind}-{i}" for i in range(1, order + 1) for kind in ("counts", "frequent")]]:
+        tables.drop(name)
+    return found
