@@ -3,7 +3,8 @@
 Documents become chunks of word numbers, written as a table. Counts of words, then of word
 pairs and so on up to ``order`` words, are gathered level by level in buckets (see
 ``chunks``); each level is a table of its own, with a folder for each kind of row, and its
-exchanges go before the next level starts. A seen n-gram has its Good-Turing discounted
+exchanges go before the next level starts. What follows an n-gram that only one chunk
+holds, whether to learn from or to score, is counted in that chunk alone. A seen n-gram has its Good-Turing discounted
 relative frequency; the mass that leaves over is spread over the words not seen after the
 same history in proportion to the next shorter model, which makes every history's
 probabilities add up to exactly one. Single words have add-half probabilities over the
@@ -40,12 +41,13 @@ BEGIN = np.uint64(0xBE61)
 OFTEN = 1000
 NOT_TRAINING = 1
 FOLDS = 5
+CHUNK_BYTES = 5_000_000
 
 #: What rows between chunks and buckets hold. ASK: the n-grams of a chunk. COUNTS: their
 #: counts and the continuations of their histories. WANT, PART, HOT: the same for
 #: histories too frequent for one bucket, asked for, added up and answered apart.
 ASK, COUNTS, WANT, PART, HOT, TOTALS = range(6)
-PACKED = ["keys", "counts", "lower", "histories", "history", "hot", "seen"]
+PACKED = ["keys", "counts", "lower", "histories", "history", "hot", "seen", "alone"]
 NUMBERS = [f"total_{i}" for i in range(TRUSTED + 1)]
 TOKENS = "sizes binary, training binary, words binary, tokens binary"
 MESSAGE = "level int, kind int, bucket int, chunk bigint, " + ", ".join(
@@ -111,40 +113,41 @@ def read_tokens(table: pa.Table, order: int) -> Tokens:
     return Tokens(words, tokens, histories, np.repeat(training > 0, sizes), first)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of documents as they are read, one row for each; the first of a chunk has its tokens."""
-    number = 0
-    for table in _some_megabytes(batches):
-        texts = chunks.texts_of(table)
-        found = cut_texts(texts, table.column("training").to_numpy())
-        chunk = (table.column("part")[0].as_py() << 32) + number
-        number += 1
-        n = len(texts)
-        made = {
-            "chunk": pa.array(np.full(n, chunk, np.int64)),
-            "place": pa.array(np.arange(n), pa.int32()),
-            "row": table.column("row"),
-        }
-        for field, value in zip(TOKENS.split(", "), found, strict=True):
-            made[field.split()[0]] = pa.array([value] + [None] * (n - 1), pa.binary())
-        yield from pa.table(made).to_batches()
+def _cut(chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks of documents as they are read, a row for each; the first of a chunk has its tokens."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, table in enumerate(_together(batches, chunk_bytes)):
+            found = cut_texts(chunks.texts_of(table), table.column("training").to_numpy())
+            n = table.num_rows
+            made = {
+                "chunk": pa.array(np.full(n, (table.column("part")[0].as_py() << 32) + number)),
+                "place": pa.array(np.arange(n), pa.int32()),
+                "row": table.column("row"),
+            }
+            for field, value in zip(TOKENS.split(", "), found, strict=True):
+                made[field.split()[0]] = pa.array([value] + [None] * (n - 1), pa.binary())
+            yield from pa.table(made).to_batches()
 
+    return cut
 
-def _some_megabytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+
+def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Rows in the order they come, with texts of some ``size`` bytes at a time."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    room = size
     for batch in batches:
-        sizes = np.cumsum([len(t or b"") for t in chunks.texts_of(pa.table(batch))])
+        until = np.cumsum([len(t or b"") for t in chunks.texts_of(pa.table(batch))])
         a = 0
         while a < batch.num_rows:
-            before = sizes[a - 1] if a else 0
-            b = max(a + 1, int(np.searchsorted(sizes, before + chunks.CHUNK_BYTES - size, "right")))
+            before = until[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(until, before + room, "right")))
             held.append(batch.slice(a, b - a))
-            size += int(sizes[b - 1] - before)
+            room -= int(until[b - 1] - before)
             a = b
-            if size >= chunks.CHUNK_BYTES or a < batch.num_rows:
+            if room <= 0 or a < batch.num_rows:
                 yield pa.Table.from_batches(held)
-                held, size = [], 0
+                held, room = [], size
     if held:
         yield pa.Table.from_batches(held)
 
@@ -182,23 +185,54 @@ def _unpack_close(packed: bytes) -> np.ndarray:
     return np.cumsum((steps >> 1).astype(np.int64) ^ -(steps & 1).astype(np.int64))
 
 
+def _gathered(
+    of: np.ndarray, counts: np.ndarray, lower: np.ndarray, n: int, level: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """``seen`` and ``lower`` of ``n`` histories (see ``Level``) from the counts of the
+    n-grams that continue them, ``of`` which history each is, and their ``lower`` counts."""
+    seen, below = (np.zeros((n, TRUSTED + 1), np.int64) for _ in range(2))
+    few = (counts > 0) & (counts <= TRUSTED)
+    np.add.at(seen, (of[few], counts[few] - 1), 1)
+    np.add.at(seen[:, TRUSTED], of, counts)
+    there = counts > 0
+    few = there & (lower <= TRUSTED) if level > 2 else np.zeros(len(counts), bool)
+    np.add.at(below, (of[few], lower[few] - 1), 1)
+    np.add.at(below[:, TRUSTED], of[there & ~few], lower[there & ~few])
+    return seen, below
+
+
+def _times(counts: np.ndarray) -> np.ndarray:
+    """How many of the counts are 1, 2, ..., TRUSTED + 1."""
+    return np.bincount(np.minimum(counts, TRUSTED + 2), minlength=TRUSTED + 3)[1 : TRUSTED + 2]
+
+
 class Level:
     """The distinct n-grams of one length in a chunk, by sorted key. ``history`` is the
     place of their history in the sorted ``histories``; ``seen`` holds how many
     continuations of a history occur 1 to TRUSTED times and how often it is continued in
     all. ``lower`` tells of the same continuations after the history without its oldest
     word: how many occur 1 to TRUSTED times there, and how often the others do in all; on
-    level 2, where that history is empty, only twice their counts and one for each."""
+    level 2, where that history is empty, only twice their counts and one for each.
+    ``alone`` marks n-grams that no other chunk holds. N-grams after such a history are
+    counted at once; the others, ``asked``, in buckets."""
 
-    def __init__(self, tokens: Tokens, level: int, history_counts: np.ndarray, often: float):
-        if level == 1:
+    def __init__(self, tokens: Tokens, level: int, below: "Level | None", often: float):
+        n = len(tokens.tokens)
+        if below is None:
             self.keys, self.back = tokens.words, tokens.tokens
             self.at = np.zeros(len(self.keys), np.int64)
-            self.at[self.back] = np.arange(len(self.back))
-            history, hot = np.zeros(len(self.back), np.uint64), np.zeros(len(self.back), bool)
+            self.at[self.back] = np.arange(n)
+            history, hot, alone = np.zeros(n, np.uint64), np.zeros(n, bool), np.zeros(n, bool)
+            lower = np.zeros(n, np.int64)
         else:
+            shorter = below.counts[below.back]
+            lower = 2 * shorter + 1 if level == 2 else shorter
+            alone = np.roll(below.alone[below.back], 1)
+            hot = np.roll(shorter > often, 1)
+            alone[tokens.first[:-1]], hot[tokens.first[:-1]] = False, True
+            hot &= ~alone
             history = mixed(tokens.histories[level - 2])
-            gram, hot = joined(history, tokens.words[tokens.tokens]), history_counts > often
+            gram = joined(history, tokens.words[tokens.tokens])
             top = np.uint64(40)
             together = (history >> top << top) | (gram >> np.uint64(24))
             keys = np.where(hot, gram, together)
@@ -208,23 +242,42 @@ class Level:
         )
         self.history_at = self.at[first]
         self.hot = hot[self.history_at]
-        self.counts = np.zeros(len(self.keys), np.int64)
-        self.seen = np.zeros((len(self.histories), TRUSTED + 1), np.int64)
-        self.lower = np.zeros((len(self.histories), TRUSTED + 1), np.int64)
+        self.own = np.bincount(self.back, tokens.training, len(self.keys)).astype(np.int64)
+        self.lower_counts = lower[self.at]
+        self.alone = alone[self.at]
+        self.alone_history = alone[self.history_at]
+        self.asked = np.flatnonzero(~self.alone)
+        self.counts = np.where(self.alone, self.own, 0)
+        mine = np.flatnonzero(self.alone)
+        self.seen, self.lower = _gathered(
+            self.history[mine], self.own[mine], self.lower_counts[mine], len(self.histories), level
+        )
+
+    def parts(self, n: int) -> list[tuple[int, np.ndarray]]:
+        """Places of the n-grams asked for, by bucket."""
+        return [(b, self.asked[part]) for b, part in _parts(self.keys[self.asked], n)]
 
     def some_histories(self, hot: bool, n: int) -> list[tuple[int, np.ndarray]]:
-        """Places of the hot or the other histories, by bucket."""
-        own = np.flatnonzero(self.hot == hot)
+        """Places of the hot or the other histories of n-grams asked for, by bucket."""
+        own = np.flatnonzero((self.hot == hot) & ~self.alone_history)
         return [(b, own[part]) for b, part in _parts(self.histories[own], n)]
 
 
+class Sizes(NamedTuple):
+    """Words of the model, buckets, and how often a history occurs to be hot (see ``OFTEN``)."""
+
+    order: int
+    n_buckets: int
+    often: int
+
+
 class Reader:
     """A chunk with the answers it has had and the totals of each level. Levels follow from
     the answers to lower ones."""
 
-    def __init__(self, table: pa.Table, told: list[dict], totals: list[list[int]], order: int, n: int):
-        self.n_buckets = n
-        self.tokens = read_tokens(table, order)
+    def __init__(self, table: pa.Table, told: list[dict], totals: list[list[int]], sizes: Sizes):
+        self.sizes, self.n_buckets = sizes, sizes.n_buckets
+        self.tokens = read_tokens(table, sizes.order)
         self.totals = dict(enumerate(totals, 1))
         self.levels: list[Level] = []
         self.logs: list[np.ndarray] = []
@@ -238,18 +291,18 @@ class Reader:
     def next_level(self) -> Level:
         level = len(self.levels) + 1
         if level == 1:
-            return Level(self.tokens, 1, np.zeros(0), 0)
-        below = self.levels[-1]
-        counts = np.roll(below.counts[below.back], 1)
-        counts[self.tokens.first[:-1]] = np.iinfo(np.int64).max  # the beginning of a text
-        return Level(self.tokens, level, counts, self.totals[1][0] / (2 * self.n_buckets) + OFTEN)
+            return Level(self.tokens, 1, None, 0)
+        often = self.totals[1][0] / (2 * self.n_buckets) + self.sizes.often
+        return Level(self.tokens, level, self.levels[-1], often)
 
     def _hear(self, found: Level, told: list[dict]) -> None:
-        parts, n = dict(_parts(found.keys, self.n_buckets)), self.n_buckets
+        parts, n = dict(found.parts(self.n_buckets)), self.n_buckets
         places = {COUNTS: dict(found.some_histories(False, n)), HOT: dict(found.some_histories(True, n))}
         for a in told:
             if a["kind"] == COUNTS:
-                found.counts[parts[a["bucket"]]] = unpack(a["counts"])
+                part = parts[a["bucket"]]
+                found.counts[part] = unpack(a["counts"])
+                found.alone[part] = np.unpackbits(unpack(a["alone"]), count=len(part)) > 0
             own = places[a["kind"]].get(a["bucket"])
             if own is not None and a["seen"]:
                 found.seen[own] = unpack(a["seen"]).reshape(len(own), -1)
@@ -287,24 +340,22 @@ class Reader:
 
     def ask(self, chunk: int) -> list[dict]:
         level, found = len(self.levels) + 1, self.next_level()
-        counts = np.bincount(found.back, self.tokens.training, len(found.keys)).astype(np.uint32)
-        if level == 1:
-            lower = np.zeros(len(found.keys), np.uint8)
-        else:
-            lower = self.levels[-1].counts[self.levels[-1].back][found.at]
-            lower = (2 * lower + 1 if level == 2 else lower).astype(np.uint64)
         rows = []
-        for b, part in _parts(found.keys, self.n_buckets):
+        for b, part in found.parts(self.n_buckets):
             own, history = np.unique(found.history[part], return_inverse=True)
             rows.append(
                 {"kind": ASK, "bucket": b, "keys": pack_sorted(found.keys[part])}
-                | {"counts": pack(counts[part]), "lower": pack(lower[part])}
+                | {"counts": pack(found.own[part].astype(np.uint32))}
+                | {"lower": pack(found.lower_counts[part].astype(np.uint64))}
                 | {"histories": pack_sorted(found.histories[own])}
                 | {"history": _pack_close(history)}
                 | {"hot": pack(found.hot[own].astype(np.uint8))}
             )
         for b, own in found.some_histories(True, self.n_buckets):
             rows.append({"kind": WANT, "bucket": b, "histories": pack_sorted(found.histories[own])})
+        if found.alone.any():
+            times = dict(zip(NUMBERS, map(int, _times(found.own[found.alone])), strict=True))
+            rows.append({"kind": TOTALS, "bucket": chunk % self.n_buckets} | times)
         return [{"level": level, "chunk": chunk} | row for row in rows]
 
 
@@ -316,7 +367,7 @@ def _message(rows: list[dict]) -> pa.Table:
 def _count(table: pa.Table) -> pa.Table:
     """A bucket: count its n-grams over all chunks and tell each chunk its own."""
     asked = table.to_pylist()
-    forwarded = [a for a in asked if a["kind"] == WANT]
+    forwarded = [a for a in asked if a["kind"] != ASK]
     asked = [a for a in asked if a["kind"] == ASK]
     if not asked:
         return _message(forwarded)
@@ -342,22 +393,15 @@ def _count(table: pa.Table) -> pa.Table:
     if level == 1:
         total = np.array([counts.sum(), (counts > 0).sum(), *[0] * (TRUSTED - 1)])
     else:
-        total = np.bincount(np.minimum(counts, TRUSTED + 2), minlength=TRUSTED + 3)[1 : TRUSTED + 2]
+        total = _times(counts)
     rows = [
         {"level": level, "kind": TOTALS, "bucket": bucket}
         | dict(zip(NUMBERS, map(int, total), strict=True)),
         *forwarded,
     ]
     histories, of = np.unique(history, return_inverse=True)
-    seen = np.zeros((len(histories), TRUSTED + 1), np.int64)
-    few = (counts > 0) & (counts <= TRUSTED)
-    np.add.at(seen, (of[few], counts[few] - 1), 1)
-    np.add.at(seen[:, TRUSTED], of, counts)
-    mass = np.zeros((len(histories), TRUSTED + 1), np.int64)
-    there = counts > 0
-    few = there & (lower <= TRUSTED) if level > 2 else np.zeros(len(counts), bool)
-    np.add.at(mass, (of[few], lower[few] - 1), 1)
-    np.add.at(mass[:, TRUSTED], of[there & ~few], lower[there & ~few])
+    seen, mass = _gathered(of, counts, lower, len(histories), level)
+    alone = np.bincount(gram) == 1
     hot = np.zeros(len(histories), bool)
     for own, a in zip(owns, asked, strict=True):
         hot[np.searchsorted(histories, own[unpack(a["hot"]) > 0])] = True
@@ -365,7 +409,9 @@ def _count(table: pa.Table) -> pa.Table:
         mine = np.searchsorted(histories, owns[i])
         mine = mine[~hot[mine]]
         told = {"level": level, "kind": COUNTS, "bucket": bucket, "chunk": a["chunk"]}
-        told["counts"] = pack(counts[gram[until[i] : until[i + 1]]].astype(np.uint32))
+        grams = gram[until[i] : until[i + 1]]
+        told["counts"] = pack(counts[grams].astype(np.uint32))
+        told["alone"] = pack(np.packbits(alone[grams]))
         if level > 1 and len(mine):
             told |= {"seen": pack(seen[mine].astype(np.uint32)), "lower": pack(mass[mine])}
         rows.append(told)
@@ -439,14 +485,14 @@ def _told(tables: Tables, level: int, asked: DataFrame, n: int) -> Told:
     hot = parts.groupBy("bucket").applyInArrow(_add_parts, MESSAGE)
     hot = tables.write(f"frequent-{level}", hot)
     told = counted.where(F.col("kind") == COUNTS).unionByName(hot)
-    answers = ["level", "kind", "bucket", "chunk", "counts", "seen", "lower"]
+    answers = ["level", "kind", "bucket", "chunk", "counts", "seen", "lower", "alone"]
     return Told(told.select(*answers), list(total.first()))
 
 
-def _ask(totals: list[list[int]], order: int, n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _ask(totals: list[list[int]], sizes: Sizes) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def ask(table: pa.Table, told: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        return _message(Reader(table, told.to_pylist(), totals, order, n).ask(chunk))
+        return _message(Reader(table, told.to_pylist(), totals, sizes).ask(chunk))
 
     return ask
 
@@ -454,10 +500,10 @@ def _ask(totals: list[list[int]], order: int, n: int) -> Callable[[pa.Table, pa.
 SCORES = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _score(totals: list[list[int]], order: int, n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _score(totals: list[list[int]], sizes: Sizes) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
         table = table.sort_by("place")
-        reader = Reader(table, told.to_pylist(), totals, order, n)
+        reader = Reader(table, told.to_pylist(), totals, sizes)
         first, words = reader.tokens.first, reader.levels[0]
         known = words.counts[words.back] > 0
         made = {
@@ -473,7 +519,13 @@ def _score(totals: list[list[int]], order: int, n: int) -> Callable[[pa.Table, p
     return score
 
 
-def scores(docs: DataFrame, train: Column, order: int = 2) -> DataFrame:
+def scores(
+    docs: DataFrame,
+    train: Column,
+    order: int = 2,
+    chunk_bytes: int = CHUNK_BYTES,
+    often: int = OFTEN,
+) -> DataFrame:
     """``row`` (the columns of ``docs`` but the text) and the scores of the text under a
     model of ``order`` words learned from the rows for which ``train`` holds.
 
@@ -483,27 +535,29 @@ def scores(docs: DataFrame, train: Column, order: int = 2) -> DataFrame:
     empty table gives no rows. With nothing to learn from, everything is unknown and has
     probability one. Words are told apart by 64-bit hashes.
 
-    The tables of counts are written when this is called, and dropped once the scores are.
+    ``chunk_bytes`` is the text a task holds, ``often`` how often a history must occur to be
+    counted in several buckets. The tables of counts are written when this is called, and dropped once the scores are.
     """
-    n = chunks.chunk_count(docs)
+    n = chunks.chunk_count(docs, chunk_bytes)
+    sizes = Sizes(order, n, often)
     tables = Tables(docs.sparkSession, "katz")
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row")
     training = F.coalesce(train, F.lit(False)).alias("training")
     read = docs.select(row, docs.text, training, F.spark_partition_id().alias("part"))
     row = read.schema["row"].dataType.simpleString()
-    texts = read.mapInArrow(_cut, f"chunk bigint, place int, row {row}, {TOKENS}")
+    texts = read.mapInArrow(_cut(chunk_bytes), f"chunk bigint, place int, row {row}, {TOKENS}")
     texts = tables.write("tokens", texts)
     tokens = texts.where("place = 0").drop("place", "row")
     answers = docs.sparkSession.createDataFrame([], MESSAGE).select(
-        "level", "kind", "bucket", "chunk", "counts", "seen", "lower"
+        "level", "kind", "bucket", "chunk", "counts", "seen", "lower", "alone"
     )
     told: list[Told] = []
     for level in range(1, order + 1):
         known = reduce(DataFrame.unionByName, [t.rows for t in told], answers)
-        ask = _ask([t.totals for t in told], order, n)
+        ask = _ask([t.totals for t in told], sizes)
         told.append(_told(tables, level, chunks.by_chunk(tokens, known, ask, MESSAGE), n))
     known = reduce(DataFrame.unionByName, [t.rows for t in told], answers)
-    score = _score([t.totals for t in told], order, n)
+    score = _score([t.totals for t in told], sizes)
     found = tables.write("scores", chunks.by_chunk(texts, known, score, f"row {row}, {SCORES}"))
     for name in ["tokens", *[f"{kind}-{i}" for i in range(1, order + 1) for kind in ("counts", "frequent")]]:
         tables.drop(name)

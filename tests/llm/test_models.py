@@ -15,6 +15,19 @@ from growthgrain.llm import katz, language, queries, syncmers
 from growthgrain.llm.words import read_words
 
 
+def plain_discounts(times):
+    """What part of a count of 1 to 5 stays, from how many n-grams are seen 1 to 6 times."""
+    out = []
+    for r in range(1, 6):
+        d = -1
+        if all(times):
+            d = ((r + 1) * times[r] / times[r - 1] / r - 6 * times[5] / times[0]) / (
+                1 - 6 * times[5] / times[0]
+            )
+        out.append(d if 0 < d < 1 else 1 - 0.5 / r)
+    return out
+
+
 class PlainKatz:
     """The model with dictionaries; ``P(word | history)`` by recursion."""
 
@@ -30,13 +43,13 @@ class PlainKatz:
         self.after, self.factor = {}, {}
         for n in range(2, order + 1):
             times = Counter(self.counts[n].values())
-            self.factor[n] = katz.discounts([times[r] for r in range(1, katz.TRUSTED + 2)])
+            self.factor[n] = plain_discounts([times[r] for r in range(1, 7)])
             for gram in self.counts[n]:
                 self.after.setdefault(gram[:-1], []).append(gram[-1])
 
     def discounted(self, gram):
         c = self.counts[len(gram)][gram]
-        return c * (self.factor[len(gram)][c - 1] if c <= katz.TRUSTED else 1)
+        return c * (self.factor[len(gram)][c - 1] if c <= 5 else 1)
 
     def chance(self, word, history):
         if not history:
@@ -63,11 +76,11 @@ def tokens(text):
     return [*(text or "").encode().lower().split(), "</s>"]
 
 
-def check_scores(docs, rows, learns, order):
+def check_scores(docs, rows, learns, order, **sizes):
     plain = PlainKatz([tokens(t) for i, t in rows if learns(i)], order)
     base = PlainKatz([tokens(t) for i, t in rows if learns(i)], 1)
     train = F.coalesce(F.col("doc_id") % 5 != 1, F.lit(True))
-    found = katz.scores(docs, train, order).select("row.doc_id", *[f.split()[0] for f in katz.SCORES.split(", ")])
+    found = katz.scores(docs, train, order, **sizes).select("row.doc_id", *[f.split()[0] for f in katz.SCORES.split(", ")])
     found = sorted(found.collect(), key=lambda r: (str(r.doc_id), r.n_tokens, r.score))
     wanted = sorted(
         ((str(i), len(tokens(t)), plain.score(tokens(t)), base.score(tokens(t)), t) for i, t in rows),
@@ -94,15 +107,40 @@ def test_scores_of_odd_rows(odd, none, order):
     assert katz.scores(none, F.lit(True), order).count() == 0
 
 
-def test_frequent_histories_are_split_and_added_up(spark, monkeypatch):
-    rng = random.Random(5)
-    rows = []
-    for i in range(200):
-        words = [rng.choice(["hot", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(120))]
-        rows.append((i, " ".join(words)))
+def some_words(n, per_text, seed=5):
+    rng = random.Random(seed)
+    words = lambda: [rng.choice(["hot", "hot", f"w{rng.randrange(60)}", f"v{rng.randrange(3000)}"]) for _ in range(rng.randrange(per_text))]
+    return [(i, " ".join(words())) for i in range(n)]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_frequent_histories_and_many_buckets(spark, order):
+    rows = some_words(200, 120)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    monkeypatch.setattr(katz, "OFTEN", 10)
-    check_scores(docs, rows, lambda i: i % 5 != 1, 2)
+    learns = lambda i: i % 5 != 1
+    check_scores(docs, rows, learns, order, chunk_bytes=6000, often=3)
+
+
+def test_words_of_one_chunk_alone(spark):
+    rows = [(i, f"a{i // 9} b{i // 9} a{i // 9} c{i % 3} a{i // 9} b{i // 9}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    check_scores(docs, rows, lambda i: i % 5 != 1, 3, chunk_bytes=200)
+
+
+def test_tables_go_once_scores_are_there(spark, shared):
+    import subprocess
+
+    docs = spark.createDataFrame(some_words(20, 30), "doc_id bigint, text string")
+    folder = shared.removeprefix("file:")
+    names = lambda: set(subprocess.run(["ls", folder], capture_output=True, text=True).stdout.split())
+    before = names()
+    found = katz.scores(docs, F.lit(True), 3)
+    (new,) = names() - before
+    kept = subprocess.run(["ls", f"{folder}/{new}"], capture_output=True, text=True).stdout.split()
+    assert new.startswith("katz-") and kept == ["scores"]
+    assert found.count() == 20
+    plan = found._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and plan.count("\n") < 60
 
 
 def test_probabilities_after_a_history_add_up_to_one():

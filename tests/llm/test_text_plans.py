@@ -6,7 +6,7 @@ import pytest
 from odd_rows import none, odd, shared  # noqa: F401
 from pyspark.sql import functions as F
 
-from growthgrain.llm import chats, katz, mixing, substrings, syncmers
+from growthgrain.llm import chats, mixing, substrings, syncmers
 
 SAMPLE = "/root/testdata/sf0.001"
 PYTHON = re.compile("Python|Pandas|InArrow")
@@ -38,11 +38,10 @@ def test_native_operators_run_no_python(no_broadcast):
 def test_texts_pass_one_exchange(no_broadcast, odd):
     edits = plan_of(syncmers.edited_pairs(odd))
     assert len(re.findall(r"Exchange hashpartitioning\(range", edits)) == 1
-    for df in (substrings.repeats(odd), katz.scores(odd, F.lit(True))):
-        plan = plan_of(df, run=True).split("== Initial Plan ==")[0]
-        with_text = [line for line in plan.split("\n") if "Exchange hashpartitioning(chunk" in line]
-        texts = [line for line in with_text if "ReusedExchange" not in line]
-        assert any("ReusedExchange [chunk" in line for line in plan.split("\n")) and texts
+    plan = plan_of(substrings.repeats(odd), run=True).split("== Initial Plan ==")[0]
+    with_text = [line for line in plan.split("\n") if "Exchange hashpartitioning(chunk" in line]
+    texts = [line for line in with_text if "ReusedExchange" not in line]
+    assert any("ReusedExchange [chunk" in line for line in plan.split("\n")) and texts
 
 
 def test_turns_pass_one_exchange(no_broadcast):
