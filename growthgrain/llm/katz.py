@@ -42,6 +42,8 @@ OFTEN = 1000
 NOT_TRAINING = 1
 FOLDS = 5
 CHUNK_BYTES = 5_000_000
+#: From three words on, where most n-grams differ, questions go out in so many rounds.
+ROUNDS = 2
 
 #: What rows between chunks and buckets hold. ASK: the n-grams of a chunk. COUNTS: their
 #: counts and the continuations of their histories. WANT, PART, HOT: the same for
@@ -85,7 +87,7 @@ def cut_texts(texts: list[bytes | None], training: np.ndarray) -> list[bytes]:
     inner = np.ones(len(word), bool)
     inner[first[1:] - 1] = False
     word[inner] = word_hashes(words)
-    known, tokens = np.unique(word, return_inverse=True)
+    known, _, tokens = _distinct(word)
     sizes = np.diff(first).astype(np.uint32)
     return [
         pack(sizes),
@@ -185,6 +187,17 @@ def _unpack_close(packed: bytes) -> np.ndarray:
     return np.cumsum((steps >> 1).astype(np.int64) ^ -(steps & 1).astype(np.int64))
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place where each stands, and which one stands at each place."""
+    order = np.argsort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = np.diff(values[order]) != 0
+    back = np.empty(len(values), np.int64)
+    back[order] = np.cumsum(new) - 1
+    at = order[new]
+    return values[at], at, back
+
+
 def _gathered(
     of: np.ndarray, counts: np.ndarray, lower: np.ndarray, n: int, level: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -236,10 +249,8 @@ class Level:
             top = np.uint64(40)
             together = (history >> top << top) | (gram >> np.uint64(24))
             keys = np.where(hot, gram, together)
-            self.keys, self.at, self.back = np.unique(keys, return_index=True, return_inverse=True)
-        self.histories, first, self.history = np.unique(
-            history[self.at], return_index=True, return_inverse=True
-        )
+            self.keys, self.at, self.back = _distinct(keys)
+        self.histories, first, self.history = _distinct(history[self.at])
         self.history_at = self.at[first]
         self.hot = hot[self.history_at]
         self.own = np.bincount(self.back, tokens.training, len(self.keys)).astype(np.int64)
@@ -338,11 +349,14 @@ class Reader:
         shorter = self.logs[level - 2][found.at]
         return np.where(r > 0, known, backoff[found.history] + shorter)[found.back]
 
-    def ask(self, chunk: int) -> list[dict]:
+    def ask(self, chunk: int, round: int, rounds: int) -> list[dict]:
+        """Questions to the buckets of a round, every ``rounds``-th bucket."""
         level, found = len(self.levels) + 1, self.next_level()
         rows = []
         for b, part in found.parts(self.n_buckets):
-            own, history = np.unique(found.history[part], return_inverse=True)
+            if b % rounds != round:
+                continue
+            own, _, history = _distinct(found.history[part])
             rows.append(
                 {"kind": ASK, "bucket": b, "keys": pack_sorted(found.keys[part])}
                 | {"counts": pack(found.own[part].astype(np.uint32))}
@@ -351,6 +365,8 @@ class Reader:
                 | {"history": _pack_close(history)}
                 | {"hot": pack(found.hot[own].astype(np.uint8))}
             )
+        if round > 0:
+            return [{"level": level, "chunk": chunk} | row for row in rows]
         for b, own in found.some_histories(True, self.n_buckets):
             rows.append({"kind": WANT, "bucket": b, "histories": pack_sorted(found.histories[own])})
         if found.alone.any():
@@ -378,16 +394,10 @@ def _count(table: pa.Table) -> pa.Table:
     history = np.concatenate(
         [o[_unpack_close(a["history"])] for o, a in zip(owns, asked, strict=True)]
     )
-    order = np.argsort(keys, kind="stable")
-    new = np.diff(keys[order], prepend=np.uint64(0)) != 0
-    new[0] = True
-    begins = np.flatnonzero(new)
-    one = order[begins]
-    gram = np.empty(len(keys), np.int64)
-    gram[order] = np.cumsum(new) - 1
+    _, one, gram = _distinct(keys)
     del keys
-    counts = np.concatenate([unpack(a["counts"]) for a in asked]).astype(np.int64)
-    counts = np.add.reduceat(counts[order], begins)
+    counts = np.concatenate([unpack(a["counts"]) for a in asked])
+    counts = np.bincount(gram, counts, len(one)).astype(np.int64)
     lower = np.concatenate([unpack(a["lower"]) for a in asked])[one].astype(np.int64)
     history = history[one]
     if level == 1:
@@ -399,7 +409,7 @@ def _count(table: pa.Table) -> pa.Table:
         | dict(zip(NUMBERS, map(int, total), strict=True)),
         *forwarded,
     ]
-    histories, of = np.unique(history, return_inverse=True)
+    histories, _, of = _distinct(history)
     seen, mass = _gathered(of, counts, lower, len(histories), level)
     alone = np.bincount(gram) == 1
     hot = np.zeros(len(histories), bool)
@@ -474,10 +484,14 @@ class Told(NamedTuple):
     totals: list[int]
 
 
-def _told(tables: Tables, level: int, asked: DataFrame, n: int) -> Told:
-    """The table of a level: all n-grams that chunks asked for, counted in buckets."""
-    counted = asked.groupBy("bucket").applyInArrow(_count, MESSAGE)
-    counted = tables.write(f"counts-{level}", counted, by="kind")
+def _told(tables: Tables, level: int, asked: list[DataFrame], n: int) -> Told:
+    """The tables of a level: all n-grams that chunks asked for, counted in buckets. Each
+    round of questions is counted before the next is asked."""
+    rounds = []
+    for i, round in enumerate(asked):
+        counted = round.groupBy("bucket").applyInArrow(_count, MESSAGE)
+        rounds.append(tables.write(f"counts-{level}/round={i}", counted, by="kind"))
+    counted = reduce(DataFrame.unionByName, rounds)
     total = counted.where(F.col("kind") == TOTALS).agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in NUMBERS]
     )
@@ -489,10 +503,12 @@ def _told(tables: Tables, level: int, asked: DataFrame, n: int) -> Told:
     return Told(told.select(*answers), list(total.first()))
 
 
-def _ask(totals: list[list[int]], sizes: Sizes) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _ask(
+    totals: list[list[int]], sizes: Sizes, round: int, rounds: int
+) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def ask(table: pa.Table, told: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        return _message(Reader(table, told.to_pylist(), totals, sizes).ask(chunk))
+        return _message(Reader(table, told.to_pylist(), totals, sizes).ask(chunk, round, rounds))
 
     return ask
 
@@ -546,7 +562,8 @@ def scores(
     read = docs.select(row, docs.text, training, F.spark_partition_id().alias("part"))
     row = read.schema["row"].dataType.simpleString()
     texts = read.mapInArrow(_cut(chunk_bytes), f"chunk bigint, place int, row {row}, {TOKENS}")
-    texts = tables.write("tokens", texts)
+    n_files = max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    texts = tables.write_bucketed("tokens", texts, "chunk", n_files)
     tokens = texts.where("place = 0").drop("place", "row")
     answers = docs.sparkSession.createDataFrame([], MESSAGE).select(
         "level", "kind", "bucket", "chunk", "counts", "seen", "lower", "alone"
@@ -554,8 +571,12 @@ def scores(
     told: list[Told] = []
     for level in range(1, order + 1):
         known = reduce(DataFrame.unionByName, [t.rows for t in told], answers)
-        ask = _ask([t.totals for t in told], sizes)
-        told.append(_told(tables, level, chunks.by_chunk(tokens, known, ask, MESSAGE), n))
+        rounds = 1 if level < 3 else ROUNDS
+        asked = [
+            chunks.by_chunk(tokens, known, _ask([t.totals for t in told], sizes, i, rounds), MESSAGE)
+            for i in range(rounds)
+        ]
+        told.append(_told(tables, level, asked, n))
     known = reduce(DataFrame.unionByName, [t.rows for t in told], answers)
     score = _score([t.totals for t in told], sizes)
     found = tables.write("scores", chunks.by_chunk(texts, known, score, f"row {row}, {SCORES}"))
