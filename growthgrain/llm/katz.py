@@ -198,19 +198,39 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values[at], at, back
 
 
+def _row_sums(
+    of: np.ndarray, counts: np.ndarray, few: np.ndarray, summed: np.ndarray, n: int
+) -> np.ndarray:
+    """A row for each of ``n`` groups: how many of its ``few`` counts are 1, 2, ..., TRUSTED,
+    and the sum of those to be ``summed``."""
+    width = TRUSTED + 1
+    made = np.bincount(of[few] * width + counts[few] - 1, minlength=n * width).reshape(n, width)
+    made[:, TRUSTED] = np.bincount(of[summed], counts[summed], n)
+    return made
+
+
+def _pack_rows(seen: np.ndarray, lower: np.ndarray) -> dict[str, bytes]:
+    """Rows of both, which are few different ones: which it is, and those."""
+    rows = np.hstack([seen, lower])
+    marks = mixed(np.arange(1, rows.shape[1] + 1, dtype=np.uint64))
+    _, at, which = _distinct(mixed((rows.astype(np.uint64) * marks).sum(axis=1, dtype=np.uint64)))
+    return {"seen": pack(which.astype(np.uint32)), "lower": pack(rows[at])}
+
+
+def _unpack_rows(answer: dict) -> tuple[np.ndarray, np.ndarray]:
+    rows = unpack(answer["lower"]).reshape(-1, 2 * (TRUSTED + 1))[unpack(answer["seen"])]
+    return rows[:, : TRUSTED + 1], rows[:, TRUSTED + 1 :]
+
+
 def _gathered(
     of: np.ndarray, counts: np.ndarray, lower: np.ndarray, n: int, level: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """``seen`` and ``lower`` of ``n`` histories (see ``Level``) from the counts of the
     n-grams that continue them, ``of`` which history each is, and their ``lower`` counts."""
-    seen, below = (np.zeros((n, TRUSTED + 1), np.int64) for _ in range(2))
-    few = (counts > 0) & (counts <= TRUSTED)
-    np.add.at(seen, (of[few], counts[few] - 1), 1)
-    np.add.at(seen[:, TRUSTED], of, counts)
     there = counts > 0
+    seen = _row_sums(of, counts, there & (counts <= TRUSTED), there, n)
     few = there & (lower <= TRUSTED) if level > 2 else np.zeros(len(counts), bool)
-    np.add.at(below, (of[few], lower[few] - 1), 1)
-    np.add.at(below[:, TRUSTED], of[there & ~few], lower[there & ~few])
+    below = _row_sums(of, lower, few, there & ~few, n)
     return seen, below
 
 
@@ -316,8 +336,7 @@ class Reader:
                 found.alone[part] = np.unpackbits(unpack(a["alone"]), count=len(part)) > 0
             own = places[a["kind"]].get(a["bucket"])
             if own is not None and a["seen"]:
-                found.seen[own] = unpack(a["seen"]).reshape(len(own), -1)
-                found.lower[own] = unpack(a["lower"]).reshape(len(own), -1)
+                found.seen[own], found.lower[own] = _unpack_rows(a)
 
     @property
     def mass(self) -> float:
@@ -423,7 +442,7 @@ def _count(table: pa.Table) -> pa.Table:
         told["counts"] = pack(counts[grams].astype(np.uint32))
         told["alone"] = pack(np.packbits(alone[grams]))
         if level > 1 and len(mine):
-            told |= {"seen": pack(seen[mine].astype(np.uint32)), "lower": pack(mass[mine])}
+            told |= _pack_rows(seen[mine], mass[mine])
         rows.append(told)
     if hot.any():
         rows.append(
@@ -472,7 +491,7 @@ def _add_parts(table: pa.Table) -> pa.Table:
         mine = np.searchsorted(histories, unpack_sorted(a["histories"]))
         told.append(
             {"level": a["level"], "kind": HOT, "bucket": a["bucket"], "chunk": a["chunk"]}
-            | {"seen": pack(seen[mine]), "lower": pack(lower[mine])}
+            | _pack_rows(seen[mine], lower[mine])
         )
     return _message(told)
 
