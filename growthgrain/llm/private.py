@@ -316,6 +316,11 @@ def span_text(spans: Column) -> Column:
     return F.array_join(one, ",")
 
 
+def _number_of(spans: str, kind: int) -> Column:
+    # a second parameter of the function would be the place of the span, whatever its default
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def private_spans(
     docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: int = TRUST
 ) -> DataFrame:
@@ -340,8 +345,5 @@ def private_spans(
     spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(
         F.array_sort(F.concat("base", "added"))
     )
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}")
-        for k, name in enumerate(KINDS)
-    ]
+    counts = [_number_of("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return whole.select("row", *counts, "base", spans.alias("spans"))

@@ -197,3 +197,18 @@ def test_odd_rows(spark, odd, none):  # noqa: F811
     assert sorted(len(r.spans) for r in found) == sorted(len(s) for _, s in wanted)
     assert {r.bucket for r in found} == {"b"}
     assert private.private_spans(none).count() == 0
+
+
+def test_base_spans_are_counted_by_kind(spark):
+    texts = [
+        "a@b.co and c@d.org, 1.2.3.4, 4111 1111 1111 1111",
+        "+1 (202) 555-1234",
+        "1.2.3.4 5.6.7.8 9.9.9.9 then x@y.z and 2.2.2.2",
+        *["no one", "", None],
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2)
+    found = private.private_spans(docs).orderBy("row.doc_id")
+    numbers = [tuple(r) for r in found.select(*[f"n_{kind}" for kind in private.KINDS]).collect()]
+    counted = [Counter(kind for _, kind, _ in plain_base(t)) for t in texts]
+    assert numbers == [tuple(c[k] for k in range(len(private.KINDS))) for c in counted]
+    assert numbers[:2] == [(2, 1, 1, 0), (0, 0, 0, 1)]
