@@ -19,7 +19,13 @@ def scalars(one_row: DataFrame) -> dict[str, Column]:
 def _split(units: Column) -> tuple[Column, Column]:
     """Whole values and billionths of a number of billionths, the second not negative."""
     rest = F.pmod(units, F.lit(UNIT))
-    return F.round((units - rest) / F.lit(UNIT)).cast("decimal(10,0)"), rest.cast("decimal(10,0)")
+    return F.round((units - rest) / F.lit(UNIT)).cast("decimal(29,0)"), rest.cast("decimal(10,0)")
+
+
+def _whole(number: Column) -> Column:
+    """Nearest whole number to a double, as a decimal; from 2**53 on each is whole itself."""
+    near = F.floor(number + 0.5)
+    return F.when(F.abs(number) < 9e18, near).otherwise(number.cast("decimal(38,0)"))
 
 
 def weighted_sd(
@@ -34,13 +40,12 @@ def weighted_sd(
     Values are rounded to billionths. Weights, weighted values and weighted squares are
     added up as whole numbers, so exactly and in any order; they combine on the map side,
     and a group is six numbers. The mean is taken off the sums afterwards, exactly too, so
-    nothing cancels. Values from 9e9 on, and squares that add up to 1e20 or more, fail the
-    query.
+    nothing cancels. Squares of whole values, times their weights, may add up to 1e37; more
+    fail the query.
     """
     present = F.col(value).isNotNull()
     w = F.when(present, F.col(weight)).cast("decimal(19,0)")
-    units = F.floor(F.col(value).cast("double") * float(UNIT) + 0.5).cast("bigint")
-    a, b = _split(units)
+    a, b = _split(_whole(F.col(value).cast("double") * float(UNIT)))
     moments = {"w": w, "a": w * a, "b": w * b, "aa": w * a * a, "ab": w * a * b, "bb": w * b * b}
     sums = [F.sum(m.cast("decimal(38,0)")).alias(f"_{n}") for n, m in moments.items()]
     summed = df.groupBy(*keys).agg(
@@ -50,23 +55,31 @@ def weighted_sd(
         *[column.alias(c) for c, column in more.items()],
     )
     w, a, b, aa, ab, bb = (F.col(f"_{n}") for n in moments)
-    mean = F.expr("CASE WHEN _w <> 0 THEN _total div _w END")
+    total = F.col("_total")
+    mean = F.when(w != 0, F.round((total - total % w) / w).cast("decimal(38,0)"))
     mean_a, mean_b = _split(F.col("_mean"))
     large = aa - 2 * mean_a * a + mean_a * mean_a * w
     mixed = ab - mean_a * b - mean_b * a + mean_a * mean_b * w
     small = bb - 2 * mean_b * b + mean_b * mean_b * w
     unit = F.lit(UNIT).cast("decimal(10,0)")
-    off, weights = (F.col("_total") - F.col("_mean") * w).cast("double"), w.cast("double")
-    square = (large * unit * unit + 2 * mixed * unit + small).cast("double")
+    # the square in three digits to the base of a billion, the first of any size
+    carried, last = _split(F.col("_small"))
+    whole, middle = _split(2 * F.col("_mixed") + carried)
+    first, rest = F.col("_first"), F.col("_middle") * unit + F.col("_last")
+    square = F.when(first < F.lit(10).cast("decimal(38,0)") * unit * unit, (first * unit * unit + rest).cast("double"))
+    square = square.otherwise(first.cast("double") * float(UNIT) ** 2 + rest.cast("double"))
+    off, weights = (total - F.col("_mean") * w).cast("double"), w.cast("double")
     deviation = F.sqrt(F.greatest(square - off * off / weights, F.lit(0.0)) / weights)
     return (
         summed.withColumn("_total", (a * unit + b).cast("decimal(38,0)"))
         .withColumn("_mean", mean)
+        .withColumns({"_large": large, "_mixed": mixed, "_small": small})
+        .withColumns({"_first": F.col("_large") + whole, "_middle": middle, "_last": last})
         .select(
             *keys,
             F.when(F.col("_weight") == 0, F.lit(0.0))
             .when((F.col("_unweighted") > 0) | (w == 0), F.lit(None))
-            .otherwise(F.floor(deviation + 0.5) / float(UNIT))
+            .otherwise(_whole(deviation).cast("double") / float(UNIT))
             .alias(name),
             *more,
         )

@@ -327,6 +327,28 @@ def test_weighted_sd_is_exact_in_any_order(spark, value):
     assert found.pop() == pytest.approx(exact_sd(pairs), abs=1.01e-9)
 
 
+@pytest.mark.parametrize(
+    "value",
+    [
+        lambda rng: rng.uniform(0, 2e9),
+        lambda rng: 1e9 + rng.uniform(-1e-6, 1e-6),
+        lambda rng: -rng.uniform(0, 5e12),
+        lambda rng: rng.choice([0.25, 7e9, 5.4e12]),
+        lambda rng: 3e13,
+    ],
+)
+def test_weighted_sd_of_large_values(spark, value):
+    rng = random.Random(9)
+    pairs = [(value(rng), rng.randint(0, 10**6)) for _ in range(2000)]
+    found = set()
+    for parts in (1, 5):
+        rng.shuffle(pairs)
+        df = spark.createDataFrame([("k", x, w) for x, w in pairs], "k string, x double, w long")
+        found.add(weighted_sd(df.repartition(parts), ["k"], "x", "w", "sd").first()["sd"])
+    assert len(found) == 1
+    assert found.pop() == pytest.approx(exact_sd(pairs), rel=1e-14, abs=1.01e-9)
+
+
 def test_weighted_sd_holds_no_group_in_one_row(spark):
     df = spark.createDataFrame([("k", 1.0, 2)], "k string, x double, w long")
     plan = weighted_sd(df, ["k"], "x", "w", "sd")._jdf.queryExecution().optimizedPlan().toString()
