@@ -49,12 +49,15 @@ ROUNDS = 2
 #: counts and the continuations of their histories. WANT, PART, HOT: the same for
 #: histories too frequent for one bucket, asked for, added up and answered apart.
 ASK, COUNTS, WANT, PART, HOT, TOTALS = range(6)
-PACKED = ["keys", "counts", "lower", "histories", "history", "hot", "seen", "alone"]
+PACKED = ["keys", "counts", "lower", "histories", "history", "hot", "seen", "alone", "full"]
 NUMBERS = [f"total_{i}" for i in range(TRUSTED + 1)]
 TOKENS = "sizes binary, training binary, words binary, tokens binary"
 MESSAGE = "level int, kind int, bucket int, chunk bigint, " + ", ".join(
     [f"{c} binary" for c in PACKED] + [f"{c} bigint" for c in NUMBERS]
 )
+#: What a chunk needs of its answers to ask about the next level, and to score.
+TO_ASK = ["level", "kind", "bucket", "chunk", "counts", "alone"]
+TO_SCORE = [*TO_ASK, "full", "seen", "lower"]
 
 
 def training(doc_id: Column) -> Column:
@@ -168,10 +171,14 @@ def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
     return np.where((found > 0) & (found < 1), found, absolute)
 
 
+def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
+    """Buckets go by the upper 24 bits, so they never part the n-grams of a history."""
+    return ((keys >> np.uint64(40)).astype(np.int64) * n + n - 1) >> 24
+
+
 def _parts(keys: np.ndarray, n: int) -> list[tuple[int, slice]]:
-    """The buckets that sorted keys fall in, and where. Buckets go by the upper 24 bits, so
-    they never part the n-grams of a history."""
-    bucket = ((keys >> np.uint64(40)).astype(np.int64) * n + n - 1) >> 24
+    """The buckets that sorted keys fall in, and where."""
+    bucket = _bucket(keys, n)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]])
     return [(int(bucket[a]), slice(a, b)) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
@@ -187,15 +194,39 @@ def _unpack_close(packed: bytes) -> np.ndarray:
     return np.cumsum((steps >> 1).astype(np.int64) ^ -(steps & 1).astype(np.int64))
 
 
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in 32 bits, if they fit."""
+    fits = not len(numbers) or numbers.max() < 1 << 32
+    return numbers.astype(np.uint32 if fits else np.uint64)
+
+
+def _order(values: np.ndarray) -> np.ndarray:
+    """Places of 64-bit values in ascending order. Values with their place in the low bits are
+    sorted, which is faster than sorting places; then those that only the bits lost tell apart."""
+    low = np.uint64((1 << len(values).bit_length()) - 1)
+    order = np.sort(values & ~low | np.arange(len(values), dtype=np.uint64))
+    order = (order & low).astype(np.int64)
+    found = values[order]
+    down = np.flatnonzero(found[1:] < found[:-1])
+    if len(down):
+        upper = found | low
+        starts = np.flatnonzero(np.diff(upper, prepend=~upper[:1]))
+        group = np.zeros(len(starts), bool)
+        group[np.searchsorted(starts, down, "right") - 1] = True
+        mixed_up = np.flatnonzero(np.repeat(group, np.diff(starts, append=len(values))))
+        order[mixed_up] = order[mixed_up][np.argsort(found[mixed_up])]
+    return order
+
+
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct values, a place where each stands, and which one stands at each place."""
-    order = np.argsort(values)
+    order = _order(values)
+    found = values[order]
     new = np.ones(len(values), bool)
-    new[1:] = np.diff(values[order]) != 0
+    new[1:] = found[1:] != found[:-1]
     back = np.empty(len(values), np.int64)
     back[order] = np.cumsum(new) - 1
-    at = order[new]
-    return values[at], at, back
+    return found[new], order[new], back
 
 
 def _row_sums(
@@ -226,67 +257,154 @@ def _times(counts: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(counts, TRUSTED + 2), minlength=TRUSTED + 3)[1 : TRUSTED + 2]
 
 
+class Sizes(NamedTuple):
+    """Words of the model, buckets, and how often a history occurs to be hot (see ``OFTEN``)."""
+
+    order: int
+    n_buckets: int
+    often: int
+
+
 class Level:
-    """The distinct n-grams of one length in a chunk, by sorted key. ``history`` is the
-    place of their history in the sorted ``histories``; ``seen`` holds how many
-    continuations of a history occur 1 to TRUSTED times and how often it is continued in
-    all. ``lower`` tells of the same continuations after the history without its oldest
-    word: how many occur 1 to TRUSTED times there, and how often the others do in all; on
-    level 2, where that history is empty, only twice their counts and one for each.
-    ``alone`` marks n-grams that no other chunk holds. N-grams after such a history are
-    counted at once; the others, ``asked``, in buckets."""
-
-    def __init__(self, tokens: Tokens, level: int, below: "Level | None", often: float):
-        n = len(tokens.tokens)
+    """The distinct n-grams of one length in a chunk, by sorted key, and how often they occur
+    in all. ``alone`` marks n-grams that no other chunk holds. N-grams after such a history,
+    ``settled``, are counted at once; the others, ``asked``, in buckets. With ``round``, those
+    of every so many buckets only."""
+
+    def __init__(
+        self,
+        tokens: Tokens,
+        level: int,
+        below: "Level | None" = None,
+        often: float = 0,
+        n_buckets: int = 1,
+        round: tuple[int, int] = (0, 1),
+    ):
+        self.tokens, self.level, self.n_buckets = tokens, level, n_buckets
+        n, learnt = len(tokens.tokens), tokens.training
         if below is None:
             self.keys, self.back = tokens.words, tokens.tokens
             self.at = np.zeros(len(self.keys), np.int64)
             self.at[self.back] = np.arange(n)
-            history, hot, alone = np.zeros(n, np.uint64), np.zeros(n, bool), np.zeros(n, bool)
-            lower = np.zeros(n, np.int64)
+            self.settled = np.zeros(len(self.keys), bool)
         else:
-            shorter = below.counts[below.back]
-            lower = 2 * shorter + 1 if level == 2 else shorter
-            alone = np.roll(below.alone[below.back], 1)
-            hot = np.roll(shorter > often, 1)
-            alone[tokens.first[:-1]], hot[tokens.first[:-1]] = False, True
-            hot &= ~alone
-            history = mixed(tokens.histories[level - 2])
-            gram = joined(history, tokens.words[tokens.tokens])
+            self.shorter = below.counts[below.back]
+            settled, self.hot = np.empty(n, bool), np.empty(n, bool)
+            settled[1:] = below.alone[below.back[:-1]]
+            self.hot[1:] = self.shorter[:-1] > often
+            settled[tokens.first[:-1]], self.hot[tokens.first[:-1]] = False, True
+            self.hot &= ~settled
+            self.history = mixed(tokens.histories[level - 2])
+            gram = joined(self.history, tokens.words[tokens.tokens])
             top = np.uint64(40)
-            together = (history >> top << top) | (gram >> np.uint64(24))
-            keys = np.where(hot, gram, together)
-            self.keys, self.at, self.back = _distinct(keys)
-        self.histories, first, self.history = _distinct(history[self.at])
-        self.history_at = self.at[first]
-        self.hot = hot[self.history_at]
-        self.own = np.bincount(self.back, tokens.training, len(self.keys)).astype(np.int64)
-        self.lower_counts = lower[self.at]
-        self.alone = alone[self.at]
-        self.alone_history = alone[self.history_at]
-        self.asked = np.flatnonzero(~self.alone)
-        self.counts = np.where(self.alone, self.own, 0)
-        mine = np.flatnonzero(self.alone)
-        self.seen, self.lower = _gathered(
-            self.history[mine], self.own[mine], self.lower_counts[mine], len(self.histories), level
-        )
-
-    def parts(self, n: int) -> list[tuple[int, np.ndarray]]:
+            keys = np.where(
+                self.hot, gram, (self.history >> top << top) | (gram >> np.uint64(24))
+            )
+            if round[1] > 1:
+                here = np.flatnonzero(_bucket(keys, n_buckets) % round[1] == round[0])
+                self.keys, at, self.back = _distinct(keys[here])
+                self.at, learnt = here[at], learnt[here]
+            else:
+                self.keys, self.at, self.back = _distinct(keys)
+            self.settled = settled[self.at]
+        self.own = np.bincount(self.back, learnt, len(self.keys)).astype(np.int64)
+        self.asked = np.flatnonzero(~self.settled)
+        self.alone = self.settled.copy()
+        self.counts = np.where(self.settled, self.own, 0)
+
+    def lower_counts(self, of: np.ndarray) -> np.ndarray:
+        """Counts of the n-grams ``of`` without their oldest word; of single words, twice
+        their counts and one."""
+        if self.level == 1:
+            return np.zeros(len(of), np.int64)
+        shorter = self.shorter[self.at[of]]
+        return 2 * shorter + 1 if self.level == 2 else shorter
+
+    def histories(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted histories of the n-grams ``of``, a token after each, and the place of
+        each n-gram's history among them."""
+        if self.level == 1:
+            some = min(len(of), 1)
+            return np.zeros(some, np.uint64), self.at[of[:some]], np.zeros(len(of), np.int64)
+        at = self.at[of]
+        keys, first, place = _distinct(self.history[at])
+        return keys, at[first], place
+
+    def parts(self) -> list[tuple[int, np.ndarray]]:
         """Places of the n-grams asked for, by bucket."""
-        return [(b, self.asked[part]) for b, part in _parts(self.keys[self.asked], n)]
-
-    def some_histories(self, hot: bool, n: int) -> list[tuple[int, np.ndarray]]:
-        """Places of the hot or the other histories of n-grams asked for, by bucket."""
-        own = np.flatnonzero((self.hot == hot) & ~self.alone_history)
-        return [(b, own[part]) for b, part in _parts(self.histories[own], n)]
-
-
-class Sizes(NamedTuple):
-    """Words of the model, buckets, and how often a history occurs to be hot (see ``OFTEN``)."""
-
-    order: int
-    n_buckets: int
-    often: int
+        keys = self.keys[self.asked]
+        return [(b, self.asked[part]) for b, part in _parts(keys, self.n_buckets)]
+
+    def hot_histories(self) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """Sorted histories counted in several buckets, and where those of a bucket are."""
+        if self.level == 1:
+            return np.zeros(0, np.uint64), []
+        keys = np.unique(self.history[self.hot])
+        return keys, _parts(keys, self.n_buckets)
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    """A row for each history (see ``_row_sums``)."""
+    return unpack(packed).reshape(-1, TRUSTED + 1)
+
+
+def _rare(counts: np.ndarray) -> np.ndarray:
+    """Which counts tell that something was taken off after the history."""
+    return (counts > 0) & (counts <= TRUSTED)
+
+
+class Continued:
+    """How the histories of the n-grams ``some`` of a level, those whose counts are not
+    ``_rare``, are continued. ``times`` is how often in all, ``full`` whether no continuation
+    occurs 1 to TRUSTED times. ``seen`` holds how many occur 1 to TRUSTED times, and ``times``.
+    ``lower`` tells of the same continuations after the history without its oldest word: how
+    many occur 1 to TRUSTED times there, and how often the others do in all; on level 2, where
+    that history is empty, only twice their counts and one for each. The last two are there for
+    the histories of unseen n-grams, and those hot or settled."""
+
+    def __init__(self, found: Level, times: np.ndarray, told: list[dict]):
+        self.some = np.flatnonzero(~_rare(found.counts))
+        keys, self.at, self.of = found.histories(self.some)
+        self.times = times[self.at]
+        hot = found.hot[self.at]
+        settled = np.zeros(len(keys), bool)
+        settled[self.of] = found.settled[self.some]
+        self.seen, self.lower = self._settled(found, keys)
+        self.full = np.zeros(len(keys), bool)
+        places = {b: np.arange(p.start, p.stop) for b, p in _parts(keys, found.n_buckets)}
+        places = {b: p[~hot[p] & ~settled[p]] for b, p in places.items()}
+        unseen = np.zeros(len(keys), bool)
+        unseen[self.of[found.counts[self.some] == 0]] = True
+        for a in told:
+            if a["kind"] == COUNTS and a["full"]:
+                here = places.get(a["bucket"], np.zeros(0, np.int64))
+                self.full[here] = np.unpackbits(unpack(a["full"]), count=len(here)) > 0
+                here = here[unseen[here]]
+                self.seen[here] = _numbers(a["seen"])
+                self.lower[here] = _numbers(a["lower"])
+        hot_keys, parts = found.hot_histories()
+        place, mine = dict(parts), np.flatnonzero(hot)
+        mine_at = np.searchsorted(hot_keys, keys[mine])
+        for a in told:
+            if a["kind"] == HOT:
+                part = place[a["bucket"]]
+                here = (mine_at >= part.start) & (mine_at < part.stop)
+                at = mine_at[here] - part.start
+                self.seen[mine[here]] = _numbers(a["seen"])[at]
+                self.lower[mine[here]] = _numbers(a["lower"])[at]
+        whole = hot | settled
+        self.full[whole] = ~self.seen[whole, :-1].any(axis=1)
+        self.full &= self.times > 0  # nothing was taken off: make room for one more
+        self.room = self.times + self.full
+
+    def _settled(self, found: Level, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the chunk itself counts after the histories ``keys``."""
+        mine = np.flatnonzero(found.settled & (found.own > 0))
+        history = found.history[found.at[mine]]
+        of = np.minimum(np.searchsorted(keys, history), max(len(keys) - 1, 0))
+        there = np.flatnonzero(keys[of] == history) if len(keys) else np.zeros(0, np.int64)
+        mine, of = mine[there], of[there]
+        return _gathered(of, found.own[mine], found.lower_counts(mine), len(keys), found.level)
 
 
 class Reader:
@@ -294,91 +412,107 @@ class Reader:
     the answers to lower ones."""
 
     def __init__(self, table: pa.Table, told: list[dict], totals: list[list[int]], sizes: Sizes):
-        self.sizes, self.n_buckets = sizes, sizes.n_buckets
-        self.tokens = read_tokens(table, sizes.order)
+        self.sizes = sizes
+        self.tokens = read_tokens(table, min(sizes.order, len(totals) + 1))
         self.totals = dict(enumerate(totals, 1))
+        self.told = {level: [a for a in told if a["level"] == level] for level in self.totals}
         self.levels: list[Level] = []
-        self.logs: list[np.ndarray] = []
-        self.room = np.zeros(0)
         for level in self.totals:
             found = self.next_level()
-            self._hear(found, [a for a in told if a["level"] == level])
+            parts = dict(found.parts())
+            for a in self.told[level]:
+                if a["kind"] == COUNTS:
+                    part = parts[a["bucket"]]
+                    found.counts[part] = unpack(a["counts"])
+                    found.alone[part] = np.unpackbits(unpack(a["alone"]), count=len(part)) > 0
             self.levels.append(found)
-            self.logs.append(self._log10(level))
 
-    def next_level(self) -> Level:
-        level = len(self.levels) + 1
+    def next_level(self, round: int = 0, rounds: int = 1) -> Level:
+        level, n = len(self.levels) + 1, self.sizes.n_buckets
         if level == 1:
-            return Level(self.tokens, 1, None, 0)
-        often = self.totals[1][0] / (2 * self.n_buckets) + self.sizes.often
-        return Level(self.tokens, level, self.levels[-1], often)
-
-    def _hear(self, found: Level, told: list[dict]) -> None:
-        parts, n = dict(found.parts(self.n_buckets)), self.n_buckets
-        places = {COUNTS: dict(found.some_histories(False, n)), HOT: dict(found.some_histories(True, n))}
-        for a in told:
-            if a["kind"] == COUNTS:
-                part = parts[a["bucket"]]
-                found.counts[part] = unpack(a["counts"])
-                found.alone[part] = np.unpackbits(unpack(a["alone"]), count=len(part)) > 0
-            own = places[a["kind"]].get(a["bucket"])
-            if own is not None and a["seen"]:
-                found.seen[own] = unpack(a["seen"]).reshape(len(own), -1)
-                found.lower[own] = unpack(a["lower"]).reshape(len(own), -1)
+            return Level(self.tokens, 1, n_buckets=n)
+        often = self.totals[1][0] / (2 * n) + self.sizes.often
+        return Level(self.tokens, level, self.levels[-1], often, n, (round, rounds))
 
     @property
     def mass(self) -> float:
         """What the half counts of all words and of the unknown class add up to."""
         return self.totals[1][0] + 0.5 * (self.totals[1][1] + 1)
 
-    def _log10(self, level: int) -> np.ndarray:
-        """log10 of the probability of every token given the ``level - 1`` before it."""
-        found = self.levels[level - 1]
-        if level == 1:
-            return np.log10((found.counts + 0.5) / self.mass)[found.back]
-        factor = np.append(discounts(self.totals[level]), 1.0)
-        of = found.seen[:, -1].astype(float)
-        left = (found.seen[:, :-1] * np.arange(1, TRUSTED + 1)) @ (1 - factor[:-1])
-        full = (of > 0) & (left <= 0)  # nothing was taken off: make room for one more
-        left, room = np.where(full, 1.0, left), of + full
-        if level == 2:
-            lower = found.lower[:, -1] / (2 * self.mass)
-        else:
-            below = discounts(self.totals[level - 1]) * np.arange(1, TRUSTED + 1)
-            lower = found.lower[:, :-1] @ below + found.lower[:, -1]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                lower = lower / self.room[found.history_at]
-        self.room = room[found.history][found.back]
-        r = found.counts
+    def log10(self) -> Iterator[np.ndarray]:
+        """log10 of the probability of every token given the 0, 1, ... tokens before it."""
+        words, first = self.levels[0], self.tokens.first[:-1]
+        logs = np.log10((words.counts + 0.5) / self.mass)[words.back]
+        yield logs
+        room = np.zeros(0)
+        for level, found in enumerate(self.levels[1:], 2):
+            # A history is continued as often as it occurs, as it ends no document.
+            times = np.empty(len(logs), np.int64)
+            times[1:] = found.shorter[:-1]
+            times[first] = words.counts[np.searchsorted(words.keys, END)]
+            after = Continued(found, times, self.told[level])
+            factor = np.append(discounts(self.totals[level]), 1.0)
+            rooms = times[found.at]
+            rooms[after.some] = after.room[after.of]
+            made, seen = np.empty(len(rooms)), np.flatnonzero(found.counts)
+            r = found.counts[seen]
+            made[seen] = np.log10(factor[np.minimum(r, TRUSTED + 1) - 1] * r / rooms[seen])
+            unseen = np.flatnonzero(found.counts[after.some] == 0)
+            more = self._backoff(level, after, factor, room)[after.of[unseen]]
+            unseen = after.some[unseen]
+            made[unseen] = logs[found.at[unseen]] + more
+            logs, room = made[found.back], rooms[found.back]
+            yield logs
+
+    def _backoff(
+        self, level: int, after: Continued, factor: np.ndarray, room: np.ndarray
+    ) -> np.ndarray:
+        """log10 of what a probability of the next shorter model is multiplied by after each
+        history; ``room`` is that of the shorter history before each token."""
+        rare = np.arange(1, TRUSTED + 1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            backoff = np.where(of > 0, np.log10(left / room) - np.log10(1 - lower), 0.0)
-            known = np.log10(factor[np.minimum(r, TRUSTED + 1) - 1] * r / room[found.history])
-        shorter = self.logs[level - 2][found.at]
-        return np.where(r > 0, known, backoff[found.history] + shorter)[found.back]
+            left = np.einsum("ij,j->i", after.seen[:, :-1] * rare, 1 - factor[:-1])
+            left = np.where(after.full, 1.0, left)
+            if level == 2:
+                lower = after.lower[:, -1] / (2 * self.mass)
+            else:
+                below = discounts(self.totals[level - 1]) * rare
+                lower = np.einsum("ij,j->i", after.lower[:, :-1], below) + after.lower[:, -1]
+                lower = lower / room[after.at]
+            found = np.log10(left / after.room) - np.log10(1 - lower)
+        return np.where(after.times > 0, found, 0.0)
 
     def ask(self, chunk: int, round: int, rounds: int) -> list[dict]:
         """Questions to the buckets of a round, every ``rounds``-th bucket."""
-        level, found = len(self.levels) + 1, self.next_level()
+        level, found = len(self.levels) + 1, self.next_level(round, rounds)
+        lower = _narrow(found.lower_counts(np.arange(len(found.keys))))
+        histories, at, of = found.histories(found.asked)
+        hot = found.hot[at] if level > 1 else np.zeros(len(at), bool)
+        place = np.zeros(len(found.keys), np.uint64)
+        place[found.asked] = of
         rows = []
-        for b, part in found.parts(self.n_buckets):
+        for b, part in found.parts():
             if b % rounds != round:
                 continue
-            own, _, history = _distinct(found.history[part])
+            own, _, history = _distinct(place[part])
+            own = own.astype(np.int64)
             rows.append(
                 {"kind": ASK, "bucket": b, "keys": pack_sorted(found.keys[part])}
                 | {"counts": pack(found.own[part].astype(np.uint32))}
-                | {"lower": pack(found.lower_counts[part].astype(np.uint64))}
-                | {"histories": pack_sorted(found.histories[own])}
+                | {"lower": pack(lower[part])}
+                | {"histories": pack_sorted(histories[own])}
                 | {"history": _pack_close(history)}
-                | {"hot": pack(found.hot[own].astype(np.uint8))}
+                | {"hot": pack(hot[own].astype(np.uint8))}
             )
-        if round > 0:
-            return [{"level": level, "chunk": chunk} | row for row in rows]
-        for b, own in found.some_histories(True, self.n_buckets):
-            rows.append({"kind": WANT, "bucket": b, "histories": pack_sorted(found.histories[own])})
-        if found.alone.any():
-            times = dict(zip(NUMBERS, map(int, _times(found.own[found.alone])), strict=True))
-            rows.append({"kind": TOTALS, "bucket": chunk % self.n_buckets} | times)
+        if found.settled.any():
+            times = dict(zip(NUMBERS, map(int, _times(found.own[found.settled])), strict=True))
+            rows.append({"kind": TOTALS, "bucket": chunk % self.sizes.n_buckets} | times)
+        if round == 0:
+            keys, parts = found.hot_histories()
+            rows += [
+                {"kind": WANT, "bucket": b, "histories": pack_sorted(keys[part])}
+                for b, part in parts
+            ]
         return [{"level": level, "chunk": chunk} | row for row in rows]
 
 
@@ -417,25 +551,37 @@ def _count(table: pa.Table) -> pa.Table:
         *forwarded,
     ]
     histories, _, of = _distinct(history)
-    seen, mass = _gathered(of, counts, lower, len(histories), level)
     alone = np.bincount(gram) == 1
+    full = np.bincount(of[_rare(counts)], minlength=len(histories)) == 0
     hot = np.zeros(len(histories), bool)
     for own, a in zip(owns, asked, strict=True):
         hot[np.searchsorted(histories, own[unpack(a["hot"]) > 0])] = True
+    # The numbers of a history are told to those who have an n-gram after it that is unseen.
+    wanted = hot.copy()
+    wanted[of[counts == 0]] = True
+    place = np.cumsum(wanted) - 1
+    wanted = np.flatnonzero(wanted[of])
+    seen, mass = _gathered(
+        place[of[wanted]], counts[wanted], lower[wanted], place[-1] + 1, level
+    )
     for i, a in enumerate(asked):
-        mine = np.searchsorted(histories, owns[i])
-        mine = mine[~hot[mine]]
-        told = {"level": level, "kind": COUNTS, "bucket": bucket, "chunk": a["chunk"]}
         grams = gram[until[i] : until[i + 1]]
+        told = {"level": level, "kind": COUNTS, "bucket": bucket, "chunk": a["chunk"]}
         told["counts"] = pack(counts[grams].astype(np.uint32))
         told["alone"] = pack(np.packbits(alone[grams]))
-        if level > 1 and len(mine):
-            told |= {"seen": pack(seen[mine].astype(np.uint32)), "lower": pack(mass[mine])}
+        some = grams[~_rare(counts[grams])]
+        unseen = np.unique(of[some[counts[some] == 0]])
+        some = np.unique(of[some])
+        some = some[~hot[some]]
+        if level > 1 and len(some):
+            told["full"] = pack(np.packbits(full[some]))
+            unseen = place[unseen[~hot[unseen]]]
+            told |= {"seen": pack(_narrow(seen[unseen])), "lower": pack(mass[unseen])}
         rows.append(told)
     if hot.any():
         rows.append(
             {"level": level, "kind": PART, "histories": pack_sorted(histories[hot])}
-            | {"seen": pack(seen[hot]), "lower": pack(mass[hot])}
+            | {"seen": pack(seen[place[hot]]), "lower": pack(mass[place[hot]])}
         )
     return _message(rows)
 
@@ -451,7 +597,7 @@ def _split_parts(n_buckets: int) -> Callable[[pa.Table], pa.Table]:
                     rows.append(a)
                     continue
                 histories = unpack_sorted(a["histories"])
-                seen, lower = (unpack(a[c]).reshape(len(histories), -1) for c in ("seen", "lower"))
+                seen, lower = _numbers(a["seen"]), _numbers(a["lower"])
                 for b, part in _parts(histories, n_buckets):
                     rows.append(
                         {"level": a["level"], "kind": PART, "bucket": b}
@@ -473,7 +619,7 @@ def _add_parts(table: pa.Table) -> pa.Table:
     histories, of = np.unique(own, return_inverse=True)
     seen, lower = (np.zeros((len(histories), TRUSTED + 1), np.int64) for _ in range(2))
     for name, total in (("seen", seen), ("lower", lower)):
-        np.add.at(total, of, np.concatenate([unpack(a[name]) for a in parts]).reshape(len(own), -1))
+        np.add.at(total, of, np.concatenate([_numbers(a[name]) for a in parts]))
     told = []
     for a in wants:
         mine = np.searchsorted(histories, unpack_sorted(a["histories"]))
@@ -506,8 +652,7 @@ def _told(tables: Tables, level: int, asked: list[DataFrame], n: int) -> Told:
     hot = parts.groupBy("bucket").applyInArrow(_add_parts, MESSAGE)
     hot = tables.write(f"frequent-{level}", hot)
     told = counted.where(F.col("kind") == COUNTS).unionByName(hot)
-    answers = ["level", "kind", "bucket", "chunk", "counts", "seen", "lower", "alone"]
-    return Told(told.select(*answers), list(total.first()))
+    return Told(told.select(*TO_SCORE), list(total.first()))
 
 
 def _ask(
@@ -529,13 +674,14 @@ def _score(totals: list[list[int]], sizes: Sizes) -> Callable[[pa.Table, pa.Tabl
         reader = Reader(table, told.to_pylist(), totals, sizes)
         first, words = reader.tokens.first, reader.levels[0]
         known = words.counts[words.back] > 0
+        sums = [np.add.reduceat(logs, first[:-1]) for logs in reader.log10()]
         made = {
             "row": table.column("row"),
             "n_tokens": pa.array(np.diff(first), pa.int64()),
             "n_known": pa.array(np.add.reduceat(known, first[:-1], dtype=np.int64)),
             "train_tokens": pa.array(np.full(len(first) - 1, reader.totals[1][0])),
-            "base_score": pa.array(np.add.reduceat(reader.logs[0], first[:-1])),
-            "score": pa.array(np.add.reduceat(reader.logs[-1], first[:-1])),
+            "base_score": pa.array(sums[0]),
+            "score": pa.array(sums[-1]),
         }
         return pa.table(made)
 
@@ -572,12 +718,11 @@ def scores(
     n_files = max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = tables.write_bucketed("tokens", texts, "chunk", n_files)
     tokens = texts.where("place = 0").drop("place", "row")
-    answers = docs.sparkSession.createDataFrame([], MESSAGE).select(
-        "level", "kind", "bucket", "chunk", "counts", "seen", "lower", "alone"
-    )
+    answers = docs.sparkSession.createDataFrame([], MESSAGE).select(*TO_SCORE)
     told: list[Told] = []
     for level in range(1, order + 1):
         known = reduce(DataFrame.unionByName, [t.rows for t in told], answers)
+        known = known.where(F.col("kind") == COUNTS).select(*TO_ASK)
         rounds = 1 if level < 3 else ROUNDS
         asked = [
             chunks.by_chunk(tokens, known, _ask([t.totals for t in told], sizes, i, rounds), MESSAGE)

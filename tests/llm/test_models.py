@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_rows import ODD, none, odd, shared  # noqa: F401
 from pyspark.sql import functions as F
@@ -127,6 +128,52 @@ def test_words_of_one_chunk_alone(spark):
     check_scores(docs, rows, lambda i: i % 5 != 1, 3, chunk_bytes=200)
 
 
+def told(texts, training, level):
+    """What the buckets tell one chunk per text of n-grams of a length, and the chunks' readers."""
+    sizes, totals, rows = katz.Sizes(3, 2, 1000), [], []
+    tables = [
+        pa.table({"chunk": [i]} | {f.split()[0]: [v] for f, v in zip(katz.TOKENS.split(", "), found)})
+        for i, found in enumerate(
+            katz.cut_texts([t.encode()], np.array([learns])) for t, learns in zip(texts, training)
+        )
+    ]
+    for _ in range(level):
+        readers = [
+            katz.Reader(table, [a for a in rows if a["chunk"] == i], totals, sizes)
+            for i, table in enumerate(tables)
+        ]
+        asked = [row for i, reader in enumerate(readers) for row in reader.ask(i, 0, 1)]
+        found = []
+        for bucket in range(sizes.n_buckets):
+            mine = [row for row in asked if row["bucket"] == bucket]
+            found += katz._count(katz._message(mine)).to_pylist() if mine else []
+        totals.append([sum(a[c] or 0 for a in found if a["kind"] == katz.TOTALS) for c in katz.NUMBERS])
+        rows += [a for a in found if a["kind"] == katz.COUNTS]
+    return [a for a in rows if a["level"] == level]
+
+
+@pytest.mark.parametrize("level", [2, 3])
+def test_numbers_of_histories_go_only_where_a_word_is_unseen(level):
+    learnt = " ".join(f"a b w{i} c" for i in range(40))
+    for text, some in ((learnt, False), ("a b other", True)):
+        answers = told([learnt, learnt + " d", text], [True, True, False], level)
+        numbers = [len(katz.unpack(a[c])) for a in answers for c in ("seen", "lower") if a[c]]
+        assert len(answers) > 3 and (sum(numbers) > 0) == some
+        assert sum(numbers) <= 2 * 6 * len(text.split()) * some
+
+
+def test_places_in_ascending_order():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 5000):
+        for top in (1, 3, 1 << 20):
+            upper = rng.integers(0, top, n).astype(np.uint64) << np.uint64(44)
+            for low in (1, 7, 1 << 30):
+                keys = upper | rng.integers(0, low, n).astype(np.uint64)
+                order = katz._order(keys)
+                assert (np.sort(keys) == keys[order]).all()
+                assert (np.sort(order) == np.arange(n)).all()
+
+
 def test_tables_go_once_scores_are_there(spark, shared):
     import subprocess
 
