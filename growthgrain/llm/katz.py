@@ -42,8 +42,9 @@ OFTEN = 1000
 NOT_TRAINING = 1
 FOLDS = 5
 CHUNK_BYTES = 5_000_000
-#: From three words on, where most n-grams differ, questions go out in so many rounds.
-ROUNDS = 2
+#: From three words on, where most n-grams differ, questions go out in so many rounds. Two
+#: take less disk than one, and more time.
+ROUNDS = 1
 
 #: What rows between chunks and buckets hold. ASK: the n-grams of a chunk. COUNTS: their
 #: counts and the continuations of their histories. WANT, PART, HOT: the same for
@@ -694,6 +695,7 @@ def scores(
     order: int = 2,
     chunk_bytes: int = CHUNK_BYTES,
     often: int = OFTEN,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """``row`` (the columns of ``docs`` but the text) and the scores of the text under a
     model of ``order`` words learned from the rows for which ``train`` holds.
@@ -705,7 +707,8 @@ def scores(
     probability one. Words are told apart by 64-bit hashes.
 
     ``chunk_bytes`` is the text a task holds, ``often`` how often a history must occur to be
-    counted in several buckets. The tables of counts are written when this is called, and dropped once the scores are.
+    counted in several buckets, ``rounds`` in how many steps n-grams of three words and more
+    are counted. The tables of counts are written when this is called, and dropped once the scores are.
     """
     n = chunks.chunk_count(docs, chunk_bytes)
     sizes = Sizes(order, n, often)
@@ -723,10 +726,10 @@ def scores(
     for level in range(1, order + 1):
         known = reduce(DataFrame.unionByName, [t.rows for t in told], answers)
         known = known.where(F.col("kind") == COUNTS).select(*TO_ASK)
-        rounds = 1 if level < 3 else ROUNDS
+        steps = 1 if level < 3 else rounds
         asked = [
-            chunks.by_chunk(tokens, known, _ask([t.totals for t in told], sizes, i, rounds), MESSAGE)
-            for i in range(rounds)
+            chunks.by_chunk(tokens, known, _ask([t.totals for t in told], sizes, i, steps), MESSAGE)
+            for i in range(steps)
         ]
         told.append(_told(tables, level, asked, n))
     known = reduce(DataFrame.unionByName, [t.rows for t in told], answers)

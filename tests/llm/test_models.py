@@ -122,6 +122,12 @@ def test_frequent_histories_and_many_buckets(spark, order):
     check_scores(docs, rows, learns, order, chunk_bytes=6000, often=3)
 
 
+def test_questions_in_two_rounds(spark):
+    rows = some_words(120, 60)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    check_scores(docs, rows, lambda i: i % 5 != 1, 3, chunk_bytes=6000, often=3, rounds=2)
+
+
 def test_words_of_one_chunk_alone(spark):
     rows = [(i, f"a{i // 9} b{i // 9} a{i // 9} c{i % 3} a{i // 9} b{i // 9}") for i in range(90)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
